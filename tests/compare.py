@@ -1,0 +1,65 @@
+"""Run every query on Spark and its check SQL on DuckDB over one folder and compare all values."""
+
+from __future__ import annotations
+
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+ROOT = Path(__file__).resolve().parents[1]
+sys.path.insert(0, str(ROOT))
+
+import __spark_entry__ as E  # noqa: E402
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+          "labels conversations").split()
+
+
+def duck(folder: str):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    return con
+
+
+def plain(value):
+    return round(value, 9) if isinstance(value, float) else value
+
+
+def rows_of(columns: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+def compare(spark, con, name: str, folder: str) -> str:
+    """Empty when equal, else what differs."""
+    df = E.queries()[name](spark, folder)
+    mine = rows_of(df.columns, df.collect())
+    cur = con.execute(E.oracle_sql()[name])
+    columns = [d[0] for d in cur.description]
+    theirs = rows_of(columns, cur.fetchall())
+    if sorted(df.columns) != sorted(columns):
+        return f"columns {sorted(df.columns)} != {sorted(columns)}"
+    if mine != theirs:
+        odd = next((p for p in zip(mine, theirs) if p[0] != p[1]), None)
+        return f"{len(mine)} rows against {len(theirs)}, first difference {str(odd)[:700]}"
+    return ""
+
+
+if __name__ == "__main__":
+    from postaudit.session import build_session
+
+    folder = sys.argv[1]
+    spark = build_session(master="local[8]", **{
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("ERROR")
+    con = duck(folder)
+    for name in sys.argv[2:] or E.queries():
+        begin = time.time()
+        try:
+            verdict = compare(spark, con, name, folder) or "ok"
+        except Exception as failure:  # report and go on with the next query
+            verdict = f"FAILED {str(failure)[:900]}"
+        print(f"{name:24} {time.time() - begin:6.2f}s {verdict}", flush=True)
