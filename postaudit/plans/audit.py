@@ -43,7 +43,7 @@ def audit_archives(files: DataFrame, jobs: DataFrame, phrases: Sequence[str], ru
 
     The distinct originals are written once; every later step reads that table.
     """
-    read = ingest(files, F.lit(run_ts), job_id)
+    read = ingest(files, run_ts, job_id)
     posts = materialise(keep_first(drop_reposts(read.posts)))
     return audit_posts(posts, jobs, phrases, run_ts, failed=read.bad_archives, bad_rows=read.bad_rows, **options)
 

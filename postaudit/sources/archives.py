@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,7 +98,7 @@ def job_of_path() -> Column:
     return F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
 
 
-def ingest(files: DataFrame, run_ts: Column, job_id: Column | None = None, all_parts: bool = False,
+def ingest(files: DataFrame, run_ts: dt.datetime, job_id: Column | None = None, all_parts: bool = False,
            max_bytes: int = S.MAX_ARCHIVE_BYTES, chunk_chars: int = CHUNK_CHARS) -> Ingested:
     """Posts, unreadable archives and unreadable elements of a set of files.
 
@@ -113,6 +114,6 @@ def ingest(files: DataFrame, run_ts: Column, job_id: Column | None = None, all_p
     good = good_rows(raw, bad)
     failed = bad.unionByName(refused).withColumn("job_id", job_id)
     return Ingested(
-        posts=normalise(good, run_ts, job_id),
+        posts=normalise(good, F.lit(run_ts), job_id),
         bad_archives=failed.select("job_id", "path", "error"),
         bad_rows=good.filter(F.col("tweet").isNull()).select(job_id.alias("job_id"), "path", "pos"))

@@ -82,7 +82,7 @@ def element_chunks(blocks: Iterable[tuple[str, bool]],
             cut = mark == "," and depth == 1 and token.start() - begin >= chunk_chars
             if closed or cut:
                 piece = buffer[begin:token.start()]
-                if (mark == "}" and closed) or (not piece.strip() and count > 0):
+                if (mark == "}" and closed) or (not piece.strip() and (cut or count > 0)):
                     yield first, None
                     return
                 yield first, f"[{piece}]"

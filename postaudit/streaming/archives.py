@@ -47,7 +47,7 @@ def audit_stream(files: DataFrame, jobs: DataFrame | Callable[[DataFrame], DataF
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = clock()
-        read = ingest(batch, F.lit(now))
+        read = ingest(batch, now)
         fresh = materialise(keep_first(drop_reposts(read.posts)))
         known = jobs if isinstance(jobs, DataFrame) else jobs(batch)
         posts, earlier = fresh, None
