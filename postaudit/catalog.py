@@ -13,6 +13,7 @@ from postaudit.fixtures import BLOCKED, Views, job_name, job_number
 from postaudit.functions import calls as C, criteria as Cr, paging as Pg, posts as Po, prompts as Pr
 from postaudit.functions import responses as R, text as T
 from postaudit.operators import dedupe, jobs, pending, policy, quota, routing, rules, serving
+from postaudit.session import materialise
 from postaudit.sources import archives as A
 
 QUOTA_LIMIT = 600
@@ -71,7 +72,8 @@ def archive_errors(v: Views) -> DataFrame:
 
 
 def archive_parse(v: Views) -> DataFrame:
-    raw = _raw(v.js_files)
+    # Read by both sides of the join: unzip and parse once.
+    raw = materialise(_raw(v.js_files))
     good = A.good_rows(raw, A.bad_archives(raw))
     name = F.split("path", "/")
     posts = A.normalise(good, _run_ts(), F.col("path")).withColumnRenamed("job_id", "path")

@@ -18,7 +18,7 @@ from postaudit.functions.criteria import parse_criteria
 from postaudit.functions.text import post_url
 from postaudit.operators.joins import join_by_job
 from postaudit.operators.pending import mark_processed
-from postaudit.operators.routing import flag_in_one_pass, route
+from postaudit.operators.routing import FLAGGED, flag_in_one_pass, route
 from postaudit.operators.rules import drop_reposts, rule_scorer
 
 BLOCKED = ["", "Crypto", "late"]
@@ -145,9 +145,11 @@ class Views:
     @cached_property
     def state(self) -> DataFrame:
         """Original posts with route, needs_scoring, processed and the outcome should_flag."""
-        marked = mark_processed(self.routed, self.scored)
-        return rule_scorer(marked).withColumn(
-            "should_flag", ~F.col("needs_scoring") | F.col("result.should_flag")).drop("result")
+        # The text is judged before the join, so only keys and outcomes are shuffled.
+        judged = rule_scorer(self.routed).select(
+            "job_id", "tweet_id", "route", ((F.col("route") == FLAGGED) | F.col("result.should_flag")).alias("should_flag"),
+            "created_at", "pos")
+        return mark_processed(judged, self.scored)
 
     @cached_property
     def job_updates(self) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
 from postaudit.functions.text import flag_id, post_url
-from postaudit.operators.rules import apply_cascade, has_own_criteria, keep_flagged, rule_hits, rule_result
+from postaudit.operators.rules import (
+    apply_cascade, audit_code, cascade_result, code_hits, code_step, has_own_criteria, keep_flagged, rule_result)
 
 FLAGGED, NEEDS_SCORING, PROCESSED = "flagged_now", "needs_scoring", "processed"
 
@@ -53,11 +54,12 @@ def union_flags(by_filter: DataFrame, by_scorer: DataFrame) -> DataFrame:
 
 def flag_in_one_pass(posts: DataFrame, phrases: Sequence[str], flagged_at: Column) -> DataFrame:
     """The same rows as the union when the scorer is the built-in one, reading the posts once."""
-    judged = route(posts, phrases).withColumn(
-        "_hits", F.when(F.col("route") == NEEDS_SCORING, rule_hits(F.col("text"))))
-    scored = rule_result(F.col("_hits"))
-    kept = judged.filter((F.col("route") == FLAGGED) | (F.col("_hits") > 0)).withColumn(
-        "_verdict", F.struct(
-            F.coalesce("filter_result.score", scored["score"]).alias("score"),
-            F.coalesce("filter_result.reason", scored["reason"]).alias("reason")))
-    return flag_rows(kept, "_verdict", F.coalesce("filter_result.filter_reason", F.lit(S.SCORER_REASON)), flagged_at)
+    kept = posts.withColumn("_code", audit_code(F.col("text"), phrases, has_own_criteria())).filter(
+        F.col("_code") > 0)
+    filtered = cascade_result(code_step(F.col("_code")), phrases)
+    scored = rule_result(code_hits(F.col("_code")))
+    judged = kept.withColumn("_verdict", F.struct(
+        F.coalesce(filtered["score"], scored["score"]).alias("score"),
+        F.coalesce(filtered["reason"], scored["reason"]).alias("reason"),
+        F.coalesce(filtered["filter_reason"], F.lit(S.SCORER_REASON)).alias("filter_reason")))
+    return flag_rows(judged, "_verdict", F.col("_verdict.filter_reason"), flagged_at)

@@ -10,6 +10,7 @@ from postaudit import schema as S
 from postaudit.functions.text import contains_any, is_repost, with_lowered
 
 _ABUSIVE, _HATE, _THREAT = 1, 2, 4
+CODE_BASE = 8
 
 
 def drop_reposts(posts: DataFrame) -> DataFrame:
@@ -20,12 +21,15 @@ def _bit(hit: Column, bit: int) -> Column:
     return F.when(hit, bit).otherwise(0)
 
 
+def _rule_bits(low: Column) -> Column:
+    return (_bit(contains_any(low, S.RULE_ABUSIVE), _ABUSIVE)
+            + _bit(contains_any(low, S.RULE_HATE), _HATE)
+            + _bit(contains_any(low, S.RULE_THREAT), _THREAT))
+
+
 def rule_hits(text: Column) -> Column:
     """Which of the three phrase groups hit, as a bit set; all the text work of the scorer."""
-    return with_lowered(text, lambda low: (
-        _bit(contains_any(low, S.RULE_ABUSIVE), _ABUSIVE)
-        + _bit(contains_any(low, S.RULE_HATE), _HATE)
-        + _bit(contains_any(low, S.RULE_THREAT), _THREAT)))
+    return with_lowered(text, _rule_bits)
 
 
 def group_hit(text: Column, phrases: Sequence[str]) -> Column:
@@ -66,13 +70,34 @@ def first_phrase(low: Column, phrases: Sequence[str]) -> Column:
     return F.lit(None).cast("int") if chain is None else chain
 
 
-def cascade_step(text: Column, phrases: Sequence[str]) -> Column:
-    """First step of the cascade that hits: a rank in `phrases`, then threat, then hate; else NULL."""
+def _first_step(low: Column, phrases: Sequence[str]) -> Column:
     threat, hate = len(phrases), len(phrases) + 1
-    return with_lowered(text, lambda low: F.coalesce(
+    return F.coalesce(
         first_phrase(low, phrases),
         F.when(contains_any(low, S.CASCADE_THREAT), threat),
-        F.when(contains_any(low, S.CASCADE_HATE), hate)))
+        F.when(contains_any(low, S.CASCADE_HATE), hate))
+
+
+def cascade_step(text: Column, phrases: Sequence[str]) -> Column:
+    """First step of the cascade that hits: a rank in `phrases`, then threat, then hate; else NULL."""
+    return with_lowered(text, lambda low: _first_step(low, phrases))
+
+
+def audit_code(text: Column, phrases: Sequence[str], gate: Column) -> Column:
+    """Cascade and scorer in one number: 0 for clean, below CODE_BASE the scorer's hits, above it the step.
+
+    One number, so that filtering on it looks at the text once.
+    """
+    return with_lowered(text, lambda low: F.coalesce(
+        (F.when(gate, _first_step(low, phrases)) + 1) * CODE_BASE, _rule_bits(low)))
+
+
+def code_step(code: Column) -> Column:
+    return F.when(code >= CODE_BASE, (code / CODE_BASE).cast("int") - 1)
+
+
+def code_hits(code: Column) -> Column:
+    return F.when(code < CODE_BASE, code)
 
 
 def cascade_result(step: Column, phrases: Sequence[str]) -> Column:

@@ -19,6 +19,7 @@ from postaudit.operators.rules import drop_reposts, rule_scorer
 from postaudit.operators.scoring import Scorer
 from postaudit.session import materialise
 from postaudit.sources.archives import ingest
+from postaudit.sources.tables import write_by_job
 
 
 
@@ -48,6 +49,15 @@ def audit_archives(files: DataFrame, jobs: DataFrame, phrases: Sequence[str], ru
     return audit_posts(posts, jobs, phrases, run_ts, failed=read.bad_archives, bad_rows=read.bad_rows, **options)
 
 
+def save_audit(audit: Audit, path: str, run: str) -> None:
+    """Write the tables of one run under `path`/<table>/run=<run>; saving again replaces that run only."""
+    for name in ("posts", "flagged", "new_scores"):
+        write_by_job(getattr(audit, name), f"{path}/{name}/run={run}", mode="overwrite")
+    for name in ("waiting", "bad_archives", "bad_rows"):
+        getattr(audit, name).write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
+    audit.status.join(audit.progress, "job_id", "left").write.mode("overwrite").parquet(f"{path}/jobs/run={run}")
+
+
 def _score_rows(scored: DataFrame, stamp: Column) -> DataFrame:
     """Rows of the score table; the text is kept only where the flag table needs it."""
     if "score_status" not in scored.columns:
@@ -81,7 +91,7 @@ def audit_posts(posts: DataFrame, jobs: DataFrame, phrases: Sequence[str], run_t
         waiting = resume_pending(waiting, scored)
     chosen, later = waiting, waiting.limit(0)
     if quota is not None:
-        room = quota if scored is None else room_left(scored, run_ts.date(), quota)
+        room = quota if scored is None else room_left(scored, run_ts.astimezone(dt.timezone.utc).date(), quota)
         placed = admit(waiting, room)
         chosen = waiting.join(placed.filter("admitted").select(*POST_KEY), list(POST_KEY), "left_semi")
         later = waiting.join(placed.filter("NOT admitted").select(*POST_KEY), list(POST_KEY), "left_semi")

@@ -95,11 +95,14 @@ def test_delay_is_capped_and_messages(spark):
                    "Forbidden (403) - API key may not have access to model 'm'. Response: b", "HTTP 418: b"]
 
 
-def fake_model(prompts):
-    if any("crash" in p for p in prompts):
-        raise ValueError("boom")
-    return ['{"should_flag": true, "score": 2, "reason": "bad tone"}' if "rude" in p else
-            "nothing to say" if "mute" in p else '{"should_flag": false}' for p in prompts]
+def fake_model():
+    def answer(prompts):
+        if any("crash" in p for p in prompts):
+            raise ValueError("boom")
+        return ['{"should_flag": true, "score": 2, "reason": "bad tone"}' if "rude" in p else
+                "nothing to say" if "mute" in p else '{"should_flag": false}' for p in prompts]
+
+    return answer
 
 
 def test_model_scorer_in_an_audit(spark):
@@ -108,7 +111,7 @@ def test_model_scorer_in_an_audit(spark):
         rows, "job_id STRING, tweet_id STRING, text STRING, created_at TIMESTAMP, pos BIGINT").coalesce(1)
     jobs = spark.createDataFrame([("j", None)], "job_id STRING, criteria STRING").select(
         "job_id", parse_criteria(F.col("criteria")).alias("criteria"))
-    audit = audit_posts(posts, jobs, [], dt.datetime(2024, 2, 1), scorer=model_scorer(fake_model))
+    audit = audit_posts(posts, jobs, [], dt.datetime(2024, 2, 1), scorer=model_scorer(fake_model()))
     got = {r.tweet_id: (r.result.should_flag, r.result.score, r.result.reason, r.score_status)
            for r in audit.scored.collect()}
     assert got == {

@@ -95,7 +95,7 @@ def test_daily_calls_on_events(spark):
     source = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{source}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(source)
-    counted = St.daily_calls(stream.withColumnRenamed("ts", "scored_at"))
+    counted = St.daily_calls(stream.withColumn("scored_at", F.col("ts").cast("timestamp")))
     query = counted.writeStream.outputMode("complete").format("memory").queryName("calls").trigger(availableNow=True).start()
     query.awaitTermination()
     expected = events.groupBy(F.to_date("ts").alias("day")).count()
