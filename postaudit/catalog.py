@@ -97,19 +97,17 @@ def rule_flags(v: Views) -> DataFrame:
 
 
 def _group(phrases: list[str]) -> Callable[[Views], DataFrame]:
-    return lambda v: v.originals.select("tweet_id", rules.group_hit(F.col("text"), phrases).alias("hit"))
+    return lambda v: rules.group_hit(v.originals, phrases).select("tweet_id", "hit")
 
 
 def _step(phrases: list[str], score: float, reason: str) -> Callable[[Views], DataFrame]:
-    return lambda v: v.originals.filter(rules.group_hit(F.col("text"), phrases)).select(
+    return lambda v: rules.group_hit(v.originals, phrases).filter("hit").select(
         "tweet_id", F.lit(score).alias("score"), F.lit(reason).alias("reason"))
 
 
 def filter_blocked_phrase(v: Views) -> DataFrame:
-    hit = v.originals.withColumn(
-        "rank", T.with_lowered(F.col("text"), lambda low: rules.first_phrase(low, BLOCKED)))
-    phrase = F.get(F.array(*[F.lit(p) for p in BLOCKED]), F.col("rank"))
-    return hit.filter(F.col("rank").isNotNull()).select(
+    phrase = F.get(F.array(*[F.lit(p) for p in BLOCKED]), F.col("_rank"))
+    return rules.bind_phrase(v.originals, BLOCKED).filter(F.col("_rank").isNotNull()).select(
         "tweet_id", phrase.alias("phrase"), F.concat(F.lit(S.REASON_BLOCKED), phrase).alias("reason"))
 
 
@@ -200,7 +198,7 @@ _VIEWS: dict[str, Callable[[Views], DataFrame]] = {
     "phrase_contains": lambda v: v.posts.select("tweet_id", _value(T.contains_phrase(F.col("text"), F.lit("Crypto")))),
     "array_json_roundtrip": lambda v: v.table("documents").select(
         F.col("doc_id").cast("string").alias("tweet_id"),
-        _value(T.array_to_json(F.array(job_name(job_number(F.col("doc_id"))), "lang", "source")))).withColumn(
+        _value(T.array_to_json(F.array(job_name(job_number()), "lang", "source")))).withColumn(
         "restored", F.array_join(T.json_to_array(F.col("value")), "|")),
     "ts_rfc3339": lambda v: v.posts.select("tweet_id", _value(T.rfc3339(F.col("created_at")))).withColumn(
         "restored", _ntz(T.from_rfc3339(F.col("value")))),

@@ -40,8 +40,8 @@ def _by(key: Column, values: dict[int, str] | list[str], default: str | None = N
     return chain.otherwise(default) if default is not None else chain
 
 
-def job_number(doc_id: Column) -> Column:
-    return F.when(doc_id % 3 == 0, 0).otherwise(F.floor(doc_id / 20))
+def job_number() -> Column:
+    return F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.expr("doc_id div 20"))
 
 
 def job_name(number: Column) -> Column:
@@ -89,7 +89,7 @@ class Views:
     def posts(self) -> DataFrame:
         doc = F.col("doc_id")
         return self.table("documents").select(
-            job_name(job_number(doc)).alias("job_id"),
+            job_name(job_number()).alias("job_id"),
             doc.cast("string").alias("tweet_id"),
             F.concat(_by(doc % 20, PREFIXES, ""), F.col("text")).alias("text"),
             F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("created_at"),
@@ -106,11 +106,12 @@ class Views:
 
     @cached_property
     def policy(self) -> DataFrame:
-        return self.spark.createDataFrame(list(enumerate(BLOCKED)), "rank INT, phrase STRING")
+        rows = ", ".join(f"({rank}, '{phrase}')" for rank, phrase in enumerate(BLOCKED))
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS policy(rank, phrase)")
 
     @cached_property
     def jobs_in(self) -> DataFrame:
-        numbers = self.table("documents").select(job_number(F.col("doc_id")).alias("k")).distinct()
+        numbers = self.table("documents").select(job_number().alias("k")).distinct()
         text = job_criteria_text(F.col("k"))
         return numbers.select(job_name(F.col("k")).alias("job_id"), "k", text.alias("criteria_text"),
                               parse_criteria(text).alias("criteria"))
@@ -139,7 +140,7 @@ class Views:
         labelled = self.table("labels").select("doc_id")
         doc = F.col("doc_id")
         return labelled.select(
-            job_name(job_number(doc)).alias("job_id"), doc.cast("string").alias("tweet_id"),
+            job_name(job_number()).alias("job_id"), doc.cast("string").alias("tweet_id"),
             F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("scored_at"))
 
     @cached_property
@@ -167,7 +168,7 @@ class Views:
             event.alias("call_id"),
             F.get(F.array(*[F.lit(c) for c in codes]), (event % 9).cast("int")).alias("status"),
             _by(event % 4, ["RESOURCE_EXHAUSTED", "quota exceeded", "slow down", "slow down"]).alias("body"),
-            F.floor(event / 9).cast("int").alias("_turn")).withColumn("attempt", F.col("_turn") % 4).drop("_turn")
+            F.expr("int(event_id div 9)").alias("_turn")).withColumn("attempt", F.col("_turn") % 4).drop("_turn")
 
     @cached_property
     def responses(self) -> DataFrame:
@@ -209,7 +210,7 @@ class Views:
             entities.alias("entities"))
         about = self.table("documents").select(F.col("doc_id").alias("pos"), "lang", "source")
         return (self.posts.join(about, "pos")
-                .select("job_id", F.floor(doc / 20).alias("part"), "pos", tweet.alias("tweet")))
+                .select("job_id", F.expr("pos div 20").alias("part"), "pos", tweet.alias("tweet")))
 
     @cached_property
     def archives(self) -> DataFrame:

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
 
 
-def with_lowered(text: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `body` over the lower-cased text, lower-casing once per row.
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add `value` as a column that is computed once per row, whatever is done with it later.
 
-    A plain projection would do when the result is only selected. When it is filtered, the
-    optimizer moves the predicate below the projection and repeats lower(text) for every
-    phrase; binding it as a lambda argument keeps it at one.
+    A column added by a plain projection is computed again by every filter on it: the optimizer
+    moves the filter below the projection and puts the expression in place of its name, at each
+    mention. It does not do so below a generator, here one that yields a single row.
     """
-    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), body), 0)
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def bind_lowered(df: DataFrame, name: str = "_low") -> DataFrame:
+    """Add the lower-cased text, empty for none."""
+    return bind(df, name, F.lower(F.coalesce("text", F.lit(""))))
 
 
 def needed(phrases: Sequence[str]) -> list[str]:

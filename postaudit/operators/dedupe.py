@@ -6,15 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from postaudit.operators.joins import BROADCAST_BYTES, measured_bytes
+from postaudit.session import materialise
+
 POST_KEY = ("job_id", "tweet_id")
 
 
-def keep_first(posts: DataFrame, keys: Sequence[str] = POST_KEY, order: Sequence[str] = ("pos",)) -> DataFrame:
+def keep_first(posts: DataFrame, keys: Sequence[str] = POST_KEY, order: Sequence[str] = ("pos",),
+               limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per key, the first by `order`.
 
-    An aggregate and not a ranking window: every task first keeps its own best row, so a post
-    copied a billion times sends one row per task instead of filling one task.
+    The repeated keys are found first, from the key columns alone. When they are few, only their
+    rows are reduced and all other rows stay where they are; otherwise all rows are.
     """
+    keys = list(keys)
+    repeated = materialise(posts.groupBy(*keys).count().filter("count > 1").select(*keys))
+    if measured_bytes(repeated) > limit_bytes:
+        return _reduce(posts, keys, order)
+    repeated = F.broadcast(repeated)
+    copies = posts.join(repeated, keys, "left_semi").select(*posts.columns)
+    single = posts.join(repeated, keys, "left_anti").select(*posts.columns)
+    return single.unionByName(_reduce(copies, keys, order))
+
+
+def _reduce(posts: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
+    """An aggregate and not a ranking window: every task first keeps its own best row, so a post
+    copied a billion times sends one row per task instead of filling one task."""
     rest = [c for c in posts.columns if c not in keys]
     best = F.min_by(F.struct(*rest), F.struct(*order)).alias("_best")
     return posts.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*posts.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_BYTES = 32 << 20
@@ -31,3 +33,10 @@ def join_by_job(posts: DataFrame, jobs: DataFrame, how: str = "inner",
     spread = posts.withColumn("_salt", salt("tweet_id", salts=salts))
     copies = jobs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, ["job_id", "_salt"], how).drop("_salt")
+
+
+def match_keys(rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str,
+               limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows whose key is in `keys` (left_semi) or is not (left_anti); rows do not move for few keys."""
+    keys = keys.select(*on)
+    return rows.join(F.broadcast(keys) if measured_bytes(keys) <= limit_bytes else keys, list(on), how)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from postaudit.functions.criteria import criteria_or_default
 from postaudit.operators.dedupe import POST_KEY
-from postaudit.operators.joins import join_by_job
-from postaudit.operators.routing import FLAGGED, NEEDS_SCORING
+from postaudit.operators.joins import join_by_job, match_keys
+from postaudit.operators.routing import NEEDS_SCORING
 
 QUEUE_ORDER = ("created_at", "pos", "job_id", "tweet_id")
 
@@ -32,14 +32,10 @@ def pending_top(state: DataFrame, n: int) -> DataFrame:
 
 def resume_pending(posts: DataFrame, scored: DataFrame) -> DataFrame:
     """Posts without a score; running it again after a stop goes on where the scores end."""
-    return posts.join(scored.select(*POST_KEY), list(POST_KEY), "left_anti")
+    return match_keys(posts, scored, POST_KEY, "left_anti")
 
 
 def with_criteria(waiting: DataFrame, jobs: DataFrame) -> DataFrame:
     """Waiting posts with their job's criteria, the defaults where it has none; unknown jobs drop out."""
     known = jobs.select("job_id", "criteria")
     return join_by_job(waiting, known).withColumn("criteria", criteria_or_default(F.col("criteria")))
-
-
-def flagged_now(state: DataFrame) -> DataFrame:
-    return state.filter(F.col("route") == FLAGGED)

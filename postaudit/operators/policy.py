@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
-from postaudit.functions.text import contains_phrase, with_lowered
+from postaudit.functions.text import contains_phrase
 from postaudit.operators.joins import SALTS, measured_bytes, salt
-from postaudit.operators.rules import first_phrase
+from postaudit.operators.rules import bind_phrase
 
 LIST_BYTES = 64 << 10
 GRAM = 3
@@ -30,9 +30,8 @@ def match_policy(posts: DataFrame, policy: DataFrame, limit_bytes: int = LIST_BY
     if phrases is None:
         hit = match_policy_by_grams(posts, policy)
     else:
-        rank = with_lowered(F.col("text"), lambda low: first_phrase(low, phrases))
         named = F.get(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), F.col("_rank"))
-        hit = (posts.select("job_id", "tweet_id", rank.alias("_rank")).filter(F.col("_rank").isNotNull())
+        hit = (bind_phrase(posts.select("job_id", "tweet_id", "text"), phrases).filter(F.col("_rank").isNotNull())
                .select("job_id", "tweet_id", named.alias("phrase")))
     return hit.withColumn("reason", F.concat(F.lit(S.REASON_BLOCKED), F.col("phrase")))
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
-from postaudit.functions.text import flag_id, post_url
+from postaudit.functions.text import bind_lowered, flag_id, post_url
 from postaudit.operators.rules import (
-    apply_cascade, audit_code, cascade_result, code_hits, code_step, has_own_criteria, keep_flagged, rule_result)
+    apply_cascade, bind_hits, bind_step, cascade_result, has_own_criteria, keep_flagged, rule_result)
 
 FLAGGED, NEEDS_SCORING, PROCESSED = "flagged_now", "needs_scoring", "processed"
 
@@ -54,10 +54,10 @@ def union_flags(by_filter: DataFrame, by_scorer: DataFrame) -> DataFrame:
 
 def flag_in_one_pass(posts: DataFrame, phrases: Sequence[str], flagged_at: Column) -> DataFrame:
     """The same rows as the union when the scorer is the built-in one, reading the posts once."""
-    kept = posts.withColumn("_code", audit_code(F.col("text"), phrases, has_own_criteria())).filter(
-        F.col("_code") > 0)
-    filtered = cascade_result(code_step(F.col("_code")), phrases)
-    scored = rule_result(code_hits(F.col("_code")))
+    stepped = bind_step(bind_lowered(posts), phrases, has_own_criteria())
+    kept = bind_hits(stepped, F.col("_step").isNull()).filter(F.col("_step").isNotNull() | (F.col("_hits") > 0))
+    filtered = cascade_result(F.col("_step"), phrases)
+    scored = rule_result(F.col("_hits"))
     judged = kept.withColumn("_verdict", F.struct(
         F.coalesce(filtered["score"], scored["score"]).alias("score"),
         F.coalesce(filtered["reason"], scored["reason"]).alias("reason"),

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
-from postaudit.functions.text import contains_any, is_repost, with_lowered
+from postaudit.functions.text import bind, bind_lowered, contains_any, is_repost
 
 _ABUSIVE, _HATE, _THREAT = 1, 2, 4
-CODE_BASE = 8
+_LABELS = {_ABUSIVE: "abusive", _HATE: "hate_speech", _THREAT: "threatening"}
 
 
 def drop_reposts(posts: DataFrame) -> DataFrame:
@@ -21,26 +21,26 @@ def _bit(hit: Column, bit: int) -> Column:
     return F.when(hit, bit).otherwise(0)
 
 
-def _rule_bits(low: Column) -> Column:
-    return (_bit(contains_any(low, S.RULE_ABUSIVE), _ABUSIVE)
+def bind_hits(posts: DataFrame, when: Column | None = None) -> DataFrame:
+    """Add `_hits`: which of the three phrase groups hit `_low`, as a bit set; NULL where not `when`."""
+    low = F.col("_low")
+    bits = (_bit(contains_any(low, S.RULE_ABUSIVE), _ABUSIVE)
             + _bit(contains_any(low, S.RULE_HATE), _HATE)
             + _bit(contains_any(low, S.RULE_THREAT), _THREAT))
+    return bind(posts, "_hits", bits if when is None else F.when(when, bits))
 
 
-def rule_hits(text: Column) -> Column:
-    """Which of the three phrase groups hit, as a bit set; all the text work of the scorer."""
-    return with_lowered(text, _rule_bits)
-
-
-def group_hit(text: Column, phrases: Sequence[str]) -> Column:
-    return with_lowered(text, lambda low: contains_any(low, phrases))
+def group_hit(posts: DataFrame, phrases: Sequence[str], name: str = "hit") -> DataFrame:
+    """Add whether a text holds one of the phrases."""
+    return bind(bind_lowered(posts), name, contains_any(F.col("_low"), phrases)).drop("_low")
 
 
 def rule_result(hits: Column) -> Column:
     """struct(should_flag, score, reason, labels); the later group wins, labels add up."""
     abusive, hate, threat = (hits.bitwiseAND(bit) > 0 for bit in (_ABUSIVE, _HATE, _THREAT))
-    labels = F.array_compact(F.array(
-        F.when(abusive, "abusive"), F.when(hate, "hate_speech"), F.when(threat, "threatening")))
+    # One constant list for every combination of hits.
+    combinations = [[name for bit, name in _LABELS.items() if value & bit] for value in range(8)]
+    labels = F.get(F.array(*[F.array(*map(F.lit, names)).cast("array<string>") for names in combinations]), hits)
     return F.struct(
         (hits > 0).alias("should_flag"),
         F.when(threat, 0.95).when(hate, 0.9).when(abusive, 0.85).otherwise(0.0).alias("score"),
@@ -52,8 +52,7 @@ def rule_result(hits: Column) -> Column:
 
 def rule_scorer(posts: DataFrame) -> DataFrame:
     """The default scorer: adds `result`."""
-    return posts.withColumn("_hits", rule_hits(F.col("text"))).withColumn(
-        "result", rule_result(F.col("_hits"))).drop("_hits")
+    return bind_hits(bind_lowered(posts)).withColumn("result", rule_result(F.col("_hits"))).drop("_low", "_hits")
 
 
 def keep_flagged(scored: DataFrame) -> DataFrame:
@@ -70,34 +69,23 @@ def first_phrase(low: Column, phrases: Sequence[str]) -> Column:
     return F.lit(None).cast("int") if chain is None else chain
 
 
-def _first_step(low: Column, phrases: Sequence[str]) -> Column:
-    threat, hate = len(phrases), len(phrases) + 1
-    return F.coalesce(
-        first_phrase(low, phrases),
-        F.when(contains_any(low, S.CASCADE_THREAT), threat),
-        F.when(contains_any(low, S.CASCADE_HATE), hate))
-
-
-def cascade_step(text: Column, phrases: Sequence[str]) -> Column:
-    """First step of the cascade that hits: a rank in `phrases`, then threat, then hate; else NULL."""
-    return with_lowered(text, lambda low: _first_step(low, phrases))
+def bind_phrase(posts: DataFrame, phrases: Sequence[str]) -> DataFrame:
+    """Add `_rank`, the position of the first phrase contained, see first_phrase."""
+    return bind(bind_lowered(posts), "_rank", first_phrase(F.col("_low"), phrases)).drop("_low")
 
 
-def audit_code(text: Column, phrases: Sequence[str], gate: Column) -> Column:
-    """Cascade and scorer in one number: 0 for clean, below CODE_BASE the scorer's hits, above it the step.
+def bind_step(posts: DataFrame, phrases: Sequence[str], gate: Column | None = None) -> DataFrame:
+    """Add `_step`, the first step of the cascade that hits `_low`.
 
-    One number, so that filtering on it looks at the text once.
+    A position in `phrases`, then one number for threat and one for hate; NULL for no hit and
+    where `gate` does not hold.
     """
-    return with_lowered(text, lambda low: F.coalesce(
-        (F.when(gate, _first_step(low, phrases)) + 1) * CODE_BASE, _rule_bits(low)))
-
-
-def code_step(code: Column) -> Column:
-    return F.when(code >= CODE_BASE, (code / CODE_BASE).cast("int") - 1)
-
-
-def code_hits(code: Column) -> Column:
-    return F.when(code < CODE_BASE, code)
+    low, threat, hate = F.col("_low"), len(phrases), len(phrases) + 1
+    step = F.coalesce(
+        first_phrase(low, phrases),
+        F.when(contains_any(low, S.CASCADE_THREAT), threat),
+        F.when(contains_any(low, S.CASCADE_HATE), hate))
+    return bind(posts, "_step", step if gate is None else F.when(gate, step))
 
 
 def cascade_result(step: Column, phrases: Sequence[str]) -> Column:
@@ -116,11 +104,8 @@ def cascade_result(step: Column, phrases: Sequence[str]) -> Column:
 
 def apply_cascade(posts: DataFrame, phrases: Sequence[str], gate: Column | None = None) -> DataFrame:
     """Adds `filter_result`; rows for which `gate` does not hold are not looked at."""
-    step = cascade_step(F.col("text"), phrases)
-    if gate is not None:
-        step = F.when(gate, step)
-    return posts.withColumn("_step", step).withColumn(
-        "filter_result", cascade_result(F.col("_step"), phrases)).drop("_step")
+    return bind_step(bind_lowered(posts), phrases, gate).withColumn(
+        "filter_result", cascade_result(F.col("_step"), phrases)).drop("_low", "_step")
 
 
 def has_own_criteria() -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postaudit.functions.criteria import criteria_or_default
 from postaudit.operators.dedupe import POST_KEY, keep_first
 from postaudit.operators.jobs import job_status, progress_from_tables
-from postaudit.operators.joins import join_by_job
+from postaudit.operators.joins import join_by_job, match_keys
 from postaudit.operators.pending import resume_pending
 from postaudit.operators.quota import admit, room_left
 from postaudit.operators.routing import NEEDS_SCORING, filter_flags, route, scorer_flags, union_flags
@@ -93,8 +93,8 @@ def audit_posts(posts: DataFrame, jobs: DataFrame, phrases: Sequence[str], run_t
     if quota is not None:
         room = quota if scored is None else room_left(scored, run_ts.astimezone(dt.timezone.utc).date(), quota)
         placed = admit(waiting, room)
-        chosen = waiting.join(placed.filter("admitted").select(*POST_KEY), list(POST_KEY), "left_semi")
-        later = waiting.join(placed.filter("NOT admitted").select(*POST_KEY), list(POST_KEY), "left_semi")
+        chosen = match_keys(waiting, placed.filter("admitted"), POST_KEY, "left_semi")
+        later = match_keys(waiting, placed.filter("NOT admitted"), POST_KEY, "left_semi")
     asked = chosen.select("job_id", "tweet_id", "text", "created_at",
                           criteria_or_default(F.col("criteria")).alias("criteria"))
     now = materialise(_score_rows(scorer(asked), stamp))

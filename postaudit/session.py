@@ -1,8 +1,9 @@
-"""Session settings the operators rely on, and the one way they cut lineage."""
+"""Session settings the operators rely on, and the one way they keep interim results."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once and go on from the written copy.
+    """Write `df` to the shared folder once and go on from the written table.
 
-    Used where rows must not change between two readings (ranks) or must not be computed
-    twice (unzip, model calls). The copy survives the loss of executors.
+    Used where rows must not change between two readings (ranks) or must not be computed twice
+    (unzip, model calls). The table survives the loss of executors, and later steps read only
+    the columns they need of it. Clearing the folder is left to its owner.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/postaudit/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

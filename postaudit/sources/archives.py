@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from postaudit import schema as S
 from postaudit.functions.posts import post_columns
 from postaudit.functions.text import unwrap_js
+from postaudit.operators.joins import match_keys
 from postaudit.session import materialise
 from postaudit.sources.chunks import CHUNK_CHARS, read_archive
 
@@ -85,7 +86,7 @@ def bad_archives(raw: DataFrame) -> DataFrame:
 
 def good_rows(raw: DataFrame, bad: DataFrame) -> DataFrame:
     """Rows of archives without a broken piece; one error fails its archive as a whole."""
-    return raw.filter(F.col("error").isNull()).join(bad.select("path"), "path", "left_anti").drop("error")
+    return match_keys(raw.filter(F.col("error").isNull()), bad, ["path"], "left_anti").drop("error")
 
 
 def normalise(raw: DataFrame, run_ts: Column, job_id: Column) -> DataFrame:

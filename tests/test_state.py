@@ -40,11 +40,12 @@ def test_join_by_job_beyond_the_broadcast_limit(spark, how):
 
 
 def test_keep_first_on_one_hot_key(spark):
-    rows = [("j", "hot", f"t{i}", i) for i in range(500)] + [("j", str(i % 5), f"u{i}", i) for i in range(50)]
+    rows = [("j", "hot", f"t{i}", i) for i in range(500)] + [("j", str(i % 5), f"u{i}", i) for i in range(50)] + [("j", "once", "x", 9)]
     random.Random(1).shuffle(rows)
     frame = spark.createDataFrame(rows, "job_id STRING, tweet_id STRING, text STRING, pos BIGINT").repartition(7)
-    got = {r.tweet_id: (r.text, r.pos) for r in dedupe.keep_first(frame).collect()}
-    assert got == {"hot": ("t0", 0), **{str(i): (f"u{i}", i) for i in range(5)}}
+    few = {r.tweet_id: (r.text, r.pos) for r in dedupe.keep_first(frame).collect()}
+    many = {r.tweet_id: (r.text, r.pos) for r in dedupe.keep_first(frame, limit_bytes=0).collect()}
+    assert few == many == {"hot": ("t0", 0), **{str(i): (f"u{i}", i) for i in range(5)}, "once": ("x", 9)}
 
 
 def test_global_rank(spark):
