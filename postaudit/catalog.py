@@ -43,15 +43,8 @@ def _raw(files: DataFrame) -> DataFrame:
     return A.parse_pieces(A.read_pieces(files))
 
 
-def _parsed_js(v: Views) -> DataFrame:
-    """Raw posts of the JS files, read without a Python step."""
-    body = T.unwrap_js(A.js_text(F.col("content")))
-    return v.js_files.select("path", F.posexplode(A.parse_array(body))).select(
-        "path", "pos", F.col("col.tweet").alias("tweet"))
-
-
 def _tweets(v: Views) -> DataFrame:
-    return _parsed_js(v).select(F.col("tweet.id_str").alias("tweet_id"), "tweet", "tweet.entities")
+    return A.parse_js_files(v.js_files).select(F.col("tweet.id_str").alias("tweet_id"), "tweet", "tweet.entities")
 
 
 def archive_format(v: Views) -> DataFrame:
@@ -128,8 +121,8 @@ def _marked(v: Views) -> DataFrame:
     return pending.mark_processed(v.routed, v.scored)
 
 
-def _admission(v: Views) -> DataFrame:
-    return quota.admit(pending.pending(_marked(v)), quota.room_left(v.scored, QUOTA_DAY, QUOTA_LIMIT))
+def _admission(v: Views, state: DataFrame) -> DataFrame:
+    return quota.admit(pending.pending(state), quota.room_left(v.scored, QUOTA_DAY, QUOTA_LIMIT))
 
 
 def _criteria_columns(*more: str) -> list[Column]:
@@ -141,7 +134,9 @@ def _criteria_columns(*more: str) -> list[Column]:
 def job_status(v: Views) -> DataFrame:
     failed = v.jobs_in.filter(F.col("k") % 7 == 3).select(
         "job_id", F.lit(S.ERROR_PREFIX + S.ERROR_JSON).alias("error"))
-    return jobs.job_status(v.jobs_in, jobs.job_progress(v.state), failed, _admission(v))
+    # Counters and admission read the same state.
+    state = materialise(v.state)
+    return jobs.job_status(v.jobs_in, jobs.job_progress(state), failed, _admission(v, state))
 
 
 # --- external model ----------------------------------------------------------------------
@@ -175,7 +170,7 @@ def _outcomes(v: Views) -> DataFrame:
 _VIEWS: dict[str, Callable[[Views], DataFrame]] = {
     "archive_format": archive_format,
     "archive_zip_member": archive_zip_member,
-    "archive_js": lambda v: _parsed_js(v).groupBy("path").agg(F.count("tweet").alias("posts")),
+    "archive_js": lambda v: A.parse_js_files(v.js_files).groupBy("path").agg(F.count("tweet").alias("posts")),
     "archive_errors": archive_errors,
     "archive_parse": archive_parse,
     "js_unwrap": lambda v: v.js_texts.select("tweet_id", _value(T.unwrap_js(F.col("js")))),
@@ -235,7 +230,7 @@ _VIEWS: dict[str, Callable[[Views], DataFrame]] = {
     "job_updates_coalesced": lambda v: jobs.coalesce_updates(v.job_updates).select(
         "id", "window_start", "status", "created_at", "updated_at"),
     "quota_usage": lambda v: quota.quota_usage(v.scored),
-    "quota_admission": lambda v: _admission(v).select("job_id", "tweet_id", "admitted"),
+    "quota_admission": lambda v: _admission(v, _marked(v)).select("job_id", "tweet_id", "admitted"),
     "quota_reset_at": lambda v: v.scored.select(
         F.to_date("scored_at").alias("day"), _ntz(Pg.quota_reset_at(F.col("scored_at"))).alias("reset_at")).distinct(),
     "flagged_list": lambda v: serving.flagged_list(v.flagged, "job-0").select(*SHOWN),

@@ -87,13 +87,17 @@ class Views:
 
     @cached_property
     def posts(self) -> DataFrame:
+        return self._described_posts.drop("lang", "source")
+
+    @cached_property
+    def _described_posts(self) -> DataFrame:
         doc = F.col("doc_id")
         return self.table("documents").select(
             job_name(job_number()).alias("job_id"),
             doc.cast("string").alias("tweet_id"),
             F.concat(_by(doc % 20, PREFIXES, ""), F.col("text")).alias("text"),
             F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("created_at"),
-            doc.alias("pos"))
+            doc.alias("pos"), "lang", "source")
 
     @cached_property
     def originals(self) -> DataFrame:
@@ -208,9 +212,7 @@ class Views:
             F.when(doc % 4 == 3, F.col("text")).alias("text"),
             F.when(doc % 13 == 5, "some day").otherwise(stamp).alias("created_at"),
             entities.alias("entities"))
-        about = self.table("documents").select(F.col("doc_id").alias("pos"), "lang", "source")
-        return (self.posts.join(about, "pos")
-                .select("job_id", F.expr("pos div 20").alias("part"), "pos", tweet.alias("tweet")))
+        return self._described_posts.select("job_id", F.expr("pos div 20").alias("part"), "pos", tweet.alias("tweet"))
 
     @cached_property
     def archives(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postaudit import schema as S
 from postaudit.functions.posts import post_columns
-from postaudit.functions.text import unwrap_js
+from postaudit.functions.text import bind, bind_body
 from postaudit.operators.joins import match_keys
 from postaudit.session import materialise
 from postaudit.sources.chunks import CHUNK_CHARS, read_archive
@@ -65,11 +65,19 @@ def parse_array(body: Column) -> Column:
     return F.from_json(F.concat(F.lit('{"a":'), body, F.lit("}")), f"a ARRAY<STRUCT<{S.RAW_POST_DDL}>>")["a"]
 
 
+def parse_js_files(files: DataFrame) -> DataFrame:
+    """Raw posts of files known to be plain JS of ordinary length, without a Python step: path, pos, tweet.
+
+    A file that cannot be read gives no row; parse_pieces also tells why.
+    """
+    return bind_body(files, js_text(F.col("content"))).select(
+        "path", F.posexplode(parse_array(F.col("_body")))).select("path", "pos", F.col("col.tweet").alias("tweet"))
+
+
 def parse_pieces(pieces: DataFrame) -> DataFrame:
     """Raw posts of all pieces: path, member, pos, tweet, error; a broken piece is one row with error."""
-    body = F.when(F.col("cut"), F.col("js")).otherwise(unwrap_js(F.col("js")))
-    parsed = (pieces.withColumn("_body", body)
-              .withColumn("_raw", F.when(F.col("_body") != "", parse_array(F.col("_body")))))
+    # Unwrapping a piece that is an array already gives the piece.
+    parsed = bind(bind_body(pieces, F.col("js")), "_raw", F.when(F.col("_body") != "", parse_array(F.col("_body"))))
     error = F.coalesce("error", F.when(F.col("_body") == "", S.ERROR_UNWRAP)
                        .when(F.col("_raw").isNull(), S.ERROR_JSON))
     rows = parsed.select("path", "member", "first_pos", error.alias("error"), F.posexplode_outer("_raw"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postaudit import schema as S
-from postaudit.functions.text import is_repost, needed, unwrap_js
+from postaudit.functions.text import is_repost, needed, shared_words, unwrap_js
 from postaudit.operators import policy, routing, rules
 
 
@@ -74,6 +74,14 @@ def test_every_listed_phrase_hits(spark):
     assert needed(["threaten", "threatening"]) == ["threaten"]
 
 
+@pytest.mark.parametrize("phrases", [
+    S.RULE_ABUSIVE, S.RULE_HATE, S.RULE_THREAT, S.CASCADE_THREAT, S.CASCADE_HATE, ["kill a", "kill b", "b kill", "kill"]])
+def test_every_phrase_is_kept_under_some_word(phrases):
+    groups = shared_words(phrases)
+    assert sorted(p for members in groups.values() for p in members) == sorted(phrases)
+    assert all(word in p for word, members in groups.items() for p in members)
+
+
 def test_brackets_are_literal(spark):
     [literal, other] = scored(spark, ["all [group] are late", "all g are late"])
     assert literal.should_flag and not other.should_flag
