@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,14 @@ def build_session(app: str = "postaudit", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="postaudit-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="postaudit-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from postaudit.operators.joins import salt
-
 BUCKETS = 64
 
 
@@ -13,17 +11,15 @@ def job_bucket(job_id: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(job_id), F.lit(buckets)).cast("int")
 
 
-def write_by_job(df: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS,
-                 files_per_bucket: int = 8) -> None:
+def write_by_job(df: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
     """Write rows under a bounded number of job buckets.
 
-    Jobs are too many for a folder each. A bucket is written by up to `files_per_bucket` tasks,
-    so a large job does not end in one, and rows are sorted by job so that Parquet statistics
-    skip the row groups of other jobs.
+    Jobs are too many for a folder each. Rebalancing splits the bucket of a large job into tasks
+    of the advisory partition size and joins small ones; rows are sorted by job so that Parquet
+    statistics skip the row groups of other jobs.
     """
-    bucketed = df.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
-    spread = salt("tweet_id", salts=files_per_bucket)
-    (bucketed.repartition(F.col("job_bucket"), spread)
+    (df.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
+     .hint("rebalance", F.col("job_bucket"))
      .sortWithinPartitions("job_bucket", "job_id")
      .write.mode(mode).partitionBy("job_bucket").parquet(path))
 

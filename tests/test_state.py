@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from postaudit import session
 from postaudit.functions.criteria import DEFAULTS, parse_criteria
 from postaudit.functions.paging import quota_reset_at
 from postaudit.operators import dedupe, jobs, joins, pending, quota, ranking
-from postaudit.plans.audit import audit_posts
+from postaudit.plans.audit import audit_posts, save_audit
 from postaudit.sources.tables import read_job, write_by_job
 
 T0 = dt.datetime(2024, 1, 1)
@@ -205,3 +206,36 @@ def test_tables_by_job(spark, tmp_path):
     one = read_job(spark, str(tmp_path / "t"), "job-0", buckets=8)
     assert one.count() == posts.filter("job_id = 'job-0'").count()
     assert "PartitionFilters: [isnotnull(job_bucket" in one._jdf.queryExecution().toString()
+
+
+def test_saved_runs_replace_themselves(spark, tmp_path):
+    posts, known = make_posts(spark), make_jobs(spark)
+    audit = audit_posts(posts, known, ["Crypto"], T0)
+    for _ in range(2):
+        save_audit(audit, str(tmp_path), "a")
+    save_audit(audit, str(tmp_path), "b")
+    flagged = spark.read.parquet(f"{tmp_path}/flagged")
+    assert flagged.count() == 2 * audit.flagged.count() and set(flagged.select("run").distinct().collect()) == {
+        ("a",), ("b",)}
+    assert spark.read.parquet(f"{tmp_path}/jobs/run=a").count() == 4
+
+
+def test_hot_bucket_is_split_on_write(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        rows = spark.range(20000, numPartitions=8).select(
+            F.lit("job-0").alias("job_id"), F.col("id").cast("string").alias("tweet_id"), F.md5(F.col("id").cast("string")))
+        write_by_job(rows, str(tmp_path / "t"))
+        assert len(list((tmp_path / "t").rglob("part-*.parquet"))) > 4
+        assert read_job(spark, str(tmp_path / "t"), "job-0").count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_own_folder_only_where_none_is_set(spark, monkeypatch):
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    assert session.shared_dir(Bare()) == session.shared_dir(Bare()) != spark.conf.get("spark.checkpoint.dir")
