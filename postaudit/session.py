@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -33,19 +34,44 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="postaudit-")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+@cache
+def _run_id(session: SparkSession) -> str:
+    return uuid.uuid4().hex
+
+
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder that driver and executors share: `folder`, else the session's spark.checkpoint.dir.
+
+    Only a session within one process may do without; anywhere else each executor would write to a disk
+    that the others can't read, so that is an error.
+    """
+    found = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[[^,\]]*(,\d+)?\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def interim_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """Where this session keeps its interim tables; `clear_interim` removes it."""
+    return f"{shared_dir(spark, folder)}/postaudit/{_run_id(spark)}"
+
+
+def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write `df` to the shared folder once and go on from the written table.
 
     Used where rows must not change between two readings (ranks) or must not be computed twice
     (unzip, model calls). The table survives the loss of executors, and later steps read only
-    the columns they need of it. Clearing the folder is left to its owner.
+    the columns they need of it. `clear_interim` removes what a session has written so.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/postaudit/{uuid.uuid4().hex}"
+    path = f"{interim_dir(spark, folder)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_interim(spark: SparkSession, folder: str | None = None) -> None:
+    """Remove the session's interim tables, once nothing that was made from them is still to be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(interim_dir(spark, folder))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as E
+from postaudit import catalog, oracle
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,10 +15,10 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, con, name):
     assert compare(spark, con, name, FOLDER) == ""
 
