@@ -4,12 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postaudit.llm import exact
+from postaudit.llm import bpe, exact, mixing, simhash
 from postaudit.llm.common import table
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+sums AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+           [3, 1, 2][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS weight
+    FROM sized GROUP BY source),
+ranked AS (
+    SELECT *, row_number() OVER o AS place,
+           1.5::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pool,
+           sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+    FROM sums WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST)),
+first AS (SELECT * FROM ranked WHERE pool * weight <= 2 * source_size * shares ORDER BY place LIMIT 1),
+goals AS (
+    SELECT r.source, r.source_size,
+           CASE WHEN r.place < f.place THEN (2 * r.source_size)::DOUBLE ELSE r.weight * f.pool / f.shares END AS target
+    FROM ranked r, first f),
+rated AS (
+    SELECT doc_id, size, source_size, target,
+           CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+           ('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS chance
+    FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source)
+SELECT doc_id, size, source_size, target,
+       (size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM rated
+"""
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.tokenise(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, digests_only=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -24,11 +67,15 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_mix_sources": op3_mix_sources,
+        "op6_byte_bpe": op6_byte_bpe,
         "op8_exact_dedup": op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mix_sources": OP3_SQL,
         "op8_exact_dedup": OP8_SQL,
     }

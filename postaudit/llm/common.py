@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_PARTS = 1000
@@ -51,3 +51,16 @@ def cut(sizes: np.ndarray, limit: int) -> list[slice]:
             start, total = i, 0
         total += n
     return [*out, slice(start, len(sizes))] if len(sizes) > start else out
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, text_key) -> DataFrame:
+    """The row of `docs` for each row of `kept` (doc_id, text_key; distinct), one of those that repeat both.
+
+    Both steps need the rows by the same key, so texts move once.
+    """
+    of = lambda df, key: df.withColumn("none_", F.col("doc_id").isNull()).withColumn(
+        "id_", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("key_", key)
+    keys = ["id_", "none_", "key_"]
+    found = of(docs, text_key).join(of(kept, F.col("text_key")).select(keys), keys, "left_semi")
+    place = F.row_number().over(Window.partitionBy(keys).orderBy("id_"))
+    return found.withColumn("place_", place).filter("place_ = 1").select(*docs.columns)

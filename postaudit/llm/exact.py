@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postaudit.llm.common import salted_lookup
+from postaudit.llm.common import keep_rows, salted_lookup
 from postaudit.session import materialise
 
 CAPACITY = 50_000
@@ -84,9 +84,5 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, folder: str | None =
 
 def drop_exact_copies(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
     """`docs` without the rows that `exact_dedup` drops; all columns are passed on."""
-    report = exact_dedup(docs, capacity, folder).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    kept = report.groupBy(F.col("doc_id").alias("kept_id_"), "text_sha256").agg(F.count(F.lit(1)).alias("rows_"))
-    found = docs.withColumn("sha_", F.sha2(F.coalesce("text", F.lit("")), 256)).join(
-        kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.col("sha_") == F.col("text_sha256")), "inner")
-    once = found.filter("rows_ = 1").select(*docs.columns)
-    return once.unionByName(found.filter("rows_ > 1").dropDuplicates(["doc_id", "sha_"]).select(*docs.columns))
+    kept = exact_dedup(docs, capacity, folder).filter("kept").select("doc_id", F.col("text_sha256").alias("text_key"))
+    return keep_rows(docs, kept, F.sha2(F.coalesce("text", F.lit("")), 256))

@@ -1,0 +1,64 @@
+"""Ids against the tiktoken library, decoding as an exact round trip."""
+
+import base64
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from postaudit.llm import bpe
+
+PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+TEXTS = ["", None, " ", "a", "Hello  world\n\n  x", "don't I'LL", "ĠéĀ▁ <|endoftext|><s>", "日本語 テスト 🎉🎉", "x" * 3000, " " * 500,
+         "été naïve Straße ñandú 12345678 3.14", "\x00\x01\x7f\x80\xad", "á퟿�", "### *** $$$%%%&&&!!",
+         "word " * 40_000]
+
+
+@pytest.fixture(scope="module")
+def other():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def own():
+    return bpe.Codec(open(PATH, "rb").read(), PATTERN)
+
+
+def test_as_tiktoken(own, other):
+    rng = random.Random(1)
+    letters = "abcdeéèñüß  \n\t.,!'’0123AÄ日🎉­&#|"
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(2000)]
+    texts += ["".join(map(chr, rng.choices([*range(0xD800), *range(0xE000, 0x20000)], k=30))) for _ in range(300)]
+    for text in texts:
+        ids = np.frombuffer(own.encode(text), "<u4").tolist()
+        assert ids == other.encode_ordinary(text), text[:80]
+        assert own.decode(own.encode(text)) == text.encode()
+
+
+def test_cache_and_pieces_change_nothing(other, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "PIECE_TOKENS", 5)
+    fresh = bpe.Codec(open(PATH, "rb").read(), PATTERN)
+    text = "one two three four five six one two seven, eight nine"
+    assert np.frombuffer(fresh.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+
+
+def test_rows(spark, other):
+    rows = [(i, t, 5, "k") for i, t in enumerate(TEXTS)] + [(None, "a", 1, "k"), (3, "a", 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids string")
+    got = bpe.tokenise(docs, PATH, PATTERN)
+    want = []
+    for i, t, *_ in rows:
+        ids = other.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256((t or "").encode()).hexdigest(), ids))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    digests = bpe.tokenise(docs, PATH, PATTERN, digests_only=True)
+    assert sorted(map(tuple, digests.collect()), key=repr) == sorted((w[:4] for w in want), key=repr)
+    back = bpe.detokenise(got, PATH, PATTERN).collect()
+    assert sorted(map(tuple, back), key=repr) == sorted(((i, t or "") for i, t, *_ in rows), key=repr)
+    assert bpe.tokenise(docs.limit(0), PATH, PATTERN).collect() == []
