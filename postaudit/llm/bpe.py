@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +67,21 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + _field(2, 2, trainer) + _field(3, 2, normaliser)
 
 
+@lru_cache(maxsize=2)
+def newer_characters(pattern: str) -> frozenset[str]:
+    """Letters and digits of a Unicode version that the regex module knows and the tiktoken library doesn't yet.
+
+    Found by asking it: with byte pairs "a" + first byte (and "1" + first byte) as its only merges, an encoding
+    merges the first two bytes just where its pattern keeps both characters in one match.
+    """
+    pairs = [bytes([b]) for b in range(256)] + [bytes([a, b]) for a in b"a1" for b in range(0xC2, 0xF5)]
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={p: i for i, p in enumerate(pairs)}, special_tokens={})
+    letter, digit = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+    unknown = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"]
+    return frozenset(c for c in unknown for lead, kind in (("a", letter), ("1", digit))
+                     if kind.match(c) and probe.encode_ordinary(lead + c)[0] < 256)
+
+
 class Codec:
     """Encodes and decodes by one vocabulary; made once in a task."""
 
@@ -77,6 +95,9 @@ class Codec:
         inverse = {letter: b for b, letter in self.letters.items()}
         self.tokens = {rank: bytes(inverse[c] for c in self.model.id_to_piece(i + 1)) for i, rank in enumerate(self.ids)}
         self.known: dict[str, bytes] = {}
+        self.newer = newer_characters(pattern)
+        self.any_newer = regex.compile("[" + "".join(self.newer) + "]") if self.newer else None
+        self.unlike = dict.fromkeys(map(ord, self.newer), "\uE000")  # a character that is neither letter nor digit
 
     def pre_token(self, text: str) -> bytes:
         """The ids of one match, as little-endian unsigned 32-bit integers."""
@@ -93,16 +114,22 @@ class Codec:
             self.known[text] = made
         return made
 
-    def encode(self, text: str) -> bytes:
-        known, new, out, part = self.known.get, self.pre_token, [], []
-        for match in self.pattern.finditer(text) if len(text) > PIECE_TOKENS else ():
-            part.append(known(match[0]) or new(match[0]))
-            if len(part) == PIECE_TOKENS:  # long texts in pieces
-                out.append(b"".join(part))
-                part.clear()
+    def split(self, text: str) -> Iterator[str]:
+        """The pattern's matches; newer letters and digits divide as the tiktoken library has it."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if self.any_newer and self.any_newer.search(text):
+                return (text[m.start():m.end()] for m in self.pattern.finditer(text.translate(self.unlike)))
         if len(text) <= PIECE_TOKENS:
-            part = [known(m) or new(m) for m in self.pattern.findall(text)]
-        return b"".join([*out, *part])
+            return iter(self.pattern.findall(text))
+        return (m[0] for m in self.pattern.finditer(text))
+
+    def encode(self, text: str) -> bytes:
+        known, new, out, matches = self.known.get, self.pre_token, [], self.split(text)
+        while part := [known(m) or new(m) for m in islice(matches, PIECE_TOKENS)]:  # long texts in pieces
+            out.append(b"".join(part))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
