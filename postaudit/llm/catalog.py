@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postaudit.llm import bpe, exact, mixing, simhash
+from postaudit.llm import bpe, exact, langid, mixing, quality, simhash, suffix, vptree, warc
 from postaudit.llm.common import table
 
 
@@ -48,11 +48,25 @@ FROM rated
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op5_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.mark_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.tokenise(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, digests_only=True)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,12 +79,59 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH good AS (
+    SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings
+    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, len(q.vec) + 1), i -> q.vec[i] * c.vec[i])),
+                       (a, b) -> a + b) AS score
+    FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
+def op10_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH hashed AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (
+    SELECT *, list_aggregate(list_transform(range(1, 41), i ->
+        lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), 'string_agg', '') AS bits,
+        max(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id
+    FROM hashed)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), i ->
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(1, 6), j ->
+               CASE WHEN bits[5 * i + j] = '1' THEN (1 << (5 - j)) ELSE 0 END))::INT]), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM bits
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mix_sources": op3_mix_sources,
+        "op4_language_id": op4_language_id,
+        "op5_run_length_dedup": op5_run_length_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_vantage_point_search": op9_vantage_point_search,
+        "op10_warc_packages": op10_warc_packages,
     }
 
 
@@ -78,4 +139,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": OP3_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op9_vantage_point_search": OP9_SQL,
+        "op10_warc_packages": OP10_SQL,
     }

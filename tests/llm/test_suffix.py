@@ -1,0 +1,85 @@
+"""Repeated strings against a plain search of all windows."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from postaudit.llm import suffix
+
+
+def brute(texts, length):
+    raws = [(t or "").encode() for t in texts]
+    often = Counter(r[i:i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = [False] * len(r)
+        for i in range(len(r) - length + 1):
+            if often[r[i:i + length]] > 1:
+                gone[i:i + length] = [True] * length
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(r, gone) if not g)
+        out.append((len(r), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def corpus(seed=3):
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgé ", k=rng.randrange(1, 9))) for _ in range(300)]
+    free = lambda n: " ".join(rng.choices(words, k=n))
+    passage, line = free(60), free(42)
+    texts = [None, "", "short", "x" * 199, "y" * 200, "z" * 201, "ab" * 300, free(5) * 60, passage, line, "é" * 150]
+    for i in range(60):
+        texts.append(free(rng.randrange(80)) + (passage if i % 3 else line) + free(rng.randrange(80)))
+    base = free(200)
+    for _ in range(12):
+        at = rng.randrange(len(base))
+        texts.append(base[:at] + "#" + base[at:])
+    texts += [base, base, passage[3:], "q" + passage, free(900)]
+    return texts
+
+
+@pytest.mark.parametrize("group", [1, 4096])
+def test_marks(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "INDEX_BYTES", 20_000)
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 60_000)
+    texts = corpus()
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n int, key string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.mark_repeats(docs, group=group).collect()}
+    want = brute(texts, suffix.LENGTH)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_ids_that_are_null_or_repeat(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(260))
+    rows = [(None, text), (1, "own " * 3), (1, text[:230] + "!"), (2, "z" * 50), (2, "z" * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in suffix.mark_repeats(docs).collect()), key=repr)
+    assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 200))), key=repr)
+
+
+def test_empty(spark):
+    assert suffix.mark_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_windows_of_a_piece_share_the_anchor(monkeypatch):
+    monkeypatch.setattr(suffix, "PIECE", 700)
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 100, 5000).astype(np.uint8)
+    seen = np.zeros(len(raw) - 199, int)
+    for first, last, hashes in suffix.anchors(raw):
+        for a, b, h in zip(first, last, hashes):
+            seen[a:b + 1] += 1
+            for start in (a, b):
+                one, = suffix.anchors(raw[start:start + 200])
+                assert one[2].tolist() == [h]
+    assert (seen == 1).all()
+
+
+def test_index_is_run_compressed():
+    text = bytes(np.random.default_rng(2).integers(97, 123, 300).astype(np.uint8))
+    index = suffix.build_index([text, *[text[:i] + b"~" + text[i:] for i in range(20, 280, 10)]])
+    assert index.lengths.sum() == len(index.text) and len(index.heads) < len(index.text) / 5
+    assert (index.heads[1:] != index.heads[:-1]).all()
