@@ -78,13 +78,16 @@ def utf8(text: str | None) -> bytes:
 @dataclass
 class RunIndex:
     """A run-compressed transform of strings, each ended by a mark of its own: `heads` and `lengths` of the runs, and the
-    text positions sampled at the first and last row of each run."""
+    text positions sampled at the first and last row of each run. `names` numbers the strings of `depth`
+    symbols that start at each position."""
 
     text: np.ndarray
     heads: np.ndarray
     lengths: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    names: np.ndarray
+    depth: int
 
     def matches(self, least: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, position, length) of matches of `least` or more that can't be extended to the left.
@@ -92,53 +95,60 @@ class RunIndex:
         Within a run the row above a suffix is that of its left extension, so the statistics of all other
         positions follow from the samples where runs meet: one less for each position to the right.
         """
-        a, b = self.first[1:], self.last[:-1]
+        a, b, last = self.first[1:], self.last[:-1], len(self.text) - 1
+        for step in {0, max(0, least - self.depth)}:  # names of parts that overlap tell which samples agree so far
+            good = self.names[np.minimum(a + step, last)] == self.names[np.minimum(b + step, last)]
+            a, b = a[good], b[good]
         size = np.zeros(len(a), np.int64)
         for at in range(0, len(a), 2048):
             x, y, steps = a[at:at + 2048], b[at:at + 2048], np.arange(longest)
-            left, right = (self.text[np.minimum(p[:, None] + steps, len(self.text) - 1)] for p in (x, y))
+            left, right = (self.text[np.minimum(p[:, None] + steps, last)] for p in (x, y))
             ends = (left != right) | (left == 0)
             size[at:at + 2048] = np.where(ends.any(axis=1), ends.argmax(axis=1), longest)
         good = size >= least
         return a[good], b[good], size[good]
 
 
-def build_index(strings: list[bytes]) -> RunIndex:
+def build_index(strings: list[bytes], least: int = LENGTH) -> RunIndex:
     """Sort all suffixes by doubling prefixes, then keep only the runs."""
-    n = sum(map(len, strings)) + len(strings)
-    text, ends = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at = 0
-    begins = np.zeros(n, bool)
-    for s in strings:
-        text[at:at + len(s)] = np.frombuffer(s, np.uint8)
-        text[at:at + len(s)] += 1
-        ends[at:at + len(s) + 1] = at + len(s)
-        begins[at] = True
-        at += len(s) + 1
-    depth, places = 7, np.arange(n)
-    keys = np.zeros(n, np.int64)
+    sizes = np.array([len(s) for s in strings])
+    n, starts = int(sizes.sum()) + len(strings), np.concatenate([[0], np.cumsum(sizes + 1)])
+    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
+    text[starts[1:] - 1] = 0
+    ends, places = np.repeat(starts[1:] - 1, sizes + 1), np.arange(n)
+    bits = max(1, (n - 1).bit_length())
+    keys, depth, names = np.zeros(n, np.int64), 4, (np.zeros(n, np.int64), 0)
     for k in range(depth):
         keys = keys * 512 + np.where(places + k < ends, text[np.minimum(places + k, n - 1)], 0)
-    longest = max(map(len, strings)) + 1
+    # Keys carry their position in the low bits: one plain sort, and tails that are equal stay in the strings' order.
     while True:
-        order = np.argsort(keys, kind="stable")  # equal strings' tails stay in the order of the strings
-        step = np.concatenate([[0], np.cumsum(keys[order][1:] != keys[order][:-1])])
+        if max(int(keys.max()).bit_length(), 1) + bits < 64:
+            both = np.sort(keys << bits | places)
+            order, sorted_keys = both & ((1 << bits) - 1), both >> bits
+        else:
+            order = np.argsort(keys, kind="stable")
+            sorted_keys = keys[order]
+        step = np.concatenate([[0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = step
-        if depth >= longest or step[-1] == n - 1:
+        if depth <= least:
+            names = rank, depth
+        if depth > sizes.max() or step[-1] == n - 1:
             break
         ahead = places + depth
         keys = rank * (n + 1) + np.where(ahead <= ends, rank[np.minimum(ahead, n - 1)] + 1, 0)
         depth *= 2
-    before = np.where(begins[order], -1 - order, text[order - 1])  # a string's start follows a mark of its own
+    starting = np.zeros(n, bool)
+    starting[starts[:-1]] = True
+    before = np.where(starting[order], -1 - order, text[order - 1])  # a string's start follows a mark of its own
     edge = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
     final = np.concatenate([edge[1:], [n]]) - 1
-    return RunIndex(text.astype(np.int16), before[edge], final - edge + 1, order[edge], order[final])
+    return RunIndex(text.astype(np.int16), before[edge], final - edge + 1, order[edge], order[final], *names)
 
 
 def repeated(strings: list[bytes], often: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each of the (different) strings the byte ranges that repeat, given how often each string occurs."""
-    index = build_index(strings)
+    index = build_index(strings, length)
     a, b, size = index.matches(length, max(map(len, strings)))
     change = np.zeros(len(index.text) + 1, np.int64)
     for place in (a, b):
