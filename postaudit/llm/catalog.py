@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postaudit.llm import bpe, exact, langid, mixing, quality, simhash, suffix, vptree, warc
+import corpus_pipeline
+from postaudit.llm import bpe, exact, langid, mixing, passages, quality, simhash, suffix, vptree, warc
 from postaudit.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -86,11 +91,9 @@ def op9_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH good AS (
     SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings
-    WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    WHERE len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
 scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id,
-           list_reduce(list_prepend(0::DOUBLE, list_transform(range(1, len(q.vec) + 1), i -> q.vec[i] * c.vec[i])),
-                       (a, b) -> a + b) AS score
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec) AS score
     FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
@@ -107,14 +110,15 @@ OP10_SQL = """
 WITH hashed AS (
     SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 bits AS (
-    SELECT *, list_aggregate(list_transform(range(1, 41), i ->
-        lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), 'string_agg', '') AS bits,
-        max(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id
+    SELECT *, list_aggregate([lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0') for i in range(1, 41)],
+                             'string_agg', '') AS bits,
+           max(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id
     FROM hashed)
 SELECT page_id, payload_bytes,
-       list_aggregate(list_transform(range(0, 32), i ->
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(1, 6), j ->
-               CASE WHEN bits[5 * i + j] = '1' THEN (1 << (5 - j)) ELSE 0 END))::INT]), 'string_agg', '') AS payload_digest,
+       list_aggregate(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + strpos(
+           '00000 00001 00010 00011 00100 00101 00110 00111 01000 01001 01010 01011 01100 01101 01110 01111 '
+           || '10000 10001 10010 10011 10100 10101 10110 10111 11000 11001 11010 11011 11100 11101 11110 11111 ',
+           bits[5 * i + 1:5 * i + 5] || ' ') // 6] for i in range(0, 32)], 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM bits
@@ -123,6 +127,7 @@ FROM bits
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mix_sources": op3_mix_sources,
         "op4_language_id": op4_language_id,
@@ -132,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_vantage_point_search": op9_vantage_point_search,
         "op10_warc_packages": op10_warc_packages,
+        "pipeline": corpus_pipeline.run,
     }
 
 
