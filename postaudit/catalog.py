@@ -13,6 +13,7 @@ from postaudit.fixtures import BLOCKED, Views, job_name, job_number
 from postaudit.functions import calls as C, criteria as Cr, paging as Pg, posts as Po, prompts as Pr
 from postaudit.functions import responses as R, text as T
 from postaudit.operators import dedupe, jobs, pending, policy, quota, routing, rules, serving
+from postaudit.plans import audit
 from postaudit.session import materialise
 from postaudit.sources import archives as A
 
@@ -69,7 +70,7 @@ def archive_parse(v: Views) -> DataFrame:
     raw = materialise(_raw(v.js_files))
     good = A.good_rows(raw, A.bad_archives(raw))
     name = F.split("path", "/")
-    posts = A.normalise(good, _run_ts(), F.col("path")).withColumnRenamed("job_id", "path")
+    posts = A.normalise(good, _run_ts(), F.col("path")).drop("path").withColumnRenamed("job_id", "path")
     return rules.drop_reposts(posts).select(
         F.get(name, F.lit(0)).alias("job_id"), F.get(name, F.lit(1)).cast("bigint").alias("part"),
         "pos", "tweet_id", "text", _ntz(F.col("created_at")).alias("created_at"),
@@ -109,12 +110,31 @@ def _filter_rows(judged: DataFrame) -> DataFrame:
 
 
 def flagged_union(v: Views) -> DataFrame:
-    by_filter = routing.filter_flags(v.routed, v.flagged_at)
-    scored = rules.rule_scorer(v.routed.filter(F.col("route") == routing.NEEDS_SCORING))
-    flags = routing.union_flags(by_filter, routing.scorer_flags(scored, v.flagged_at))
+    flags = routing.flag_in_one_pass(v.posts_with_job, BLOCKED, v.flagged_at)
     return flags.select("job_id", "tweet_id", "filter_reason", "score", "reason", "url")
 
 
+def policy_table(v: Views) -> DataFrame:
+    """A policy of many phrases: the heads of the benchmark's items."""
+    table = v.table("benchmark").select(F.col("item_id").alias("rank"), F.substring("text", 1, 24).alias("phrase"))
+    return policy.match_policy(v.originals, table).select("tweet_id", "phrase", "reason")
+
+
+def _two_runs(v: Views) -> tuple[audit.Audit, audit.Audit]:
+    """A run over every third post, then one over all of them that knows the first."""
+    run_ts = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+    known = v.jobs_in.select("job_id", "criteria")
+    posts = v.originals.select("job_id", "tweet_id", "text", "created_at", "pos")
+    first = audit.audit_posts(posts.filter(F.col("pos") % 3 == 0), known, BLOCKED, run_ts)
+    before = audit.History(first.posts, first.flagged, first.scored, first.waiting)
+    return first, audit.audit_posts(posts, known, BLOCKED, run_ts, before=before)
+
+
+def second_run_flags(v: Views) -> DataFrame:
+    first, second = _two_runs(v)
+    return first.flagged.unionByName(second.flagged).select("job_id", "tweet_id", "filter_reason", "score", "reason")
+
+
 # --- state -------------------------------------------------------------------------------
 
 def _marked(v: Views) -> DataFrame:
@@ -207,6 +227,9 @@ _VIEWS: dict[str, Callable[[Views], DataFrame]] = {
     "rule_flags": rule_flags,
     "filter_blocked_phrase": filter_blocked_phrase,
     "policy_join": lambda v: policy.match_policy(v.originals, v.policy).select("tweet_id", "phrase", "reason"),
+    "policy_table": policy_table,
+    "second_run_flags": second_run_flags,
+    "second_run_progress": lambda v: _two_runs(v)[1].progress,
     "filter_threat": _step(S.CASCADE_THREAT, 1.0, S.REASON_CASCADE_THREAT),
     "filter_hate": _step(S.CASCADE_HATE, 0.95, S.REASON_CASCADE_HATE),
     "filter_cascade": lambda v: _filter_rows(rules.apply_cascade(v.originals, BLOCKED)),

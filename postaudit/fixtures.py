@@ -145,7 +145,7 @@ class Views:
         doc = F.col("doc_id")
         return labelled.select(
             job_name(job_number()).alias("job_id"), doc.cast("string").alias("tweet_id"),
-            F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("scored_at"))
+            F.expr("timestampadd(MINUTE, 7 * doc_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("scored_at"))
 
     @cached_property
     def state(self) -> DataFrame:
@@ -158,11 +158,13 @@ class Views:
 
     @cached_property
     def job_updates(self) -> DataFrame:
+        """Events as updates of ten jobs, two a second, so that flush windows merge many."""
+        at = F.expr("timestampadd(SECOND, cast(event_id div 2 AS int), TIMESTAMP_NTZ'2024-01-01 00:00:00')")
         return self.table("events").select(
-            F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("id"),
+            F.concat(F.lit("job-"), (F.col("user_id") % 10).cast("string")).alias("id"),
             F.concat(F.lit("file-"), F.col("event_id").cast("string")).alias("file_id"),
-            F.col("event_type").alias("status"), F.col("ts").alias("created_at"),
-            F.col("ts").alias("updated_at"), F.col("event_id").alias("n"))
+            F.col("event_type").alias("status"), at.alias("created_at"),
+            at.alias("updated_at"), F.col("event_id").alias("n"))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -182,7 +184,7 @@ class Views:
             F.lit(', "score": '), (doc % 30 - 10).cast("string"), F.lit('e-1, "reason": "'), F.col("source"),
             F.lit('", "labels": ["abusive", "'), F.col("lang"), F.lit('"]} - done'))
         return self.table("documents").select("doc_id", (
-            F.when(doc % 11 == 0, F.concat(F.lit("no verdict for "), F.col("source")))
+            F.when(doc % 17 == 0, F.lit(None)).when(doc % 11 == 0, F.concat(F.lit("no verdict for "), F.col("source")))
             .when(doc % 13 == 0, F.concat(F.lit('{"should_flag": true, "score": "high", "reason": "'),
                                           F.col("source"), F.lit('"}')))
             .when(doc % 7 == 0, F.concat(F.lit('{"should_flag": tr} '), F.col("source")))

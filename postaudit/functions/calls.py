@@ -26,26 +26,6 @@ def call_class(status: Column, body: Column, attempt: Column, max_retries: int =
     )
 
 
-def call_error(status: Column, body: Column, model: str) -> Column:
-    """The message kept with a failed call, NULL for a good one."""
-    code = status.cast("string")
-    return (
-        F.when(status.isNull(), F.concat(F.lit("API error: "), body))
-        .when(status == 200, F.lit(None).cast("string"))
-        .when(status == 400, F.concat(
-            F.lit("Bad request (400) - Check API key format and request. Response: "), body))
-        .when(status == 401, "Unauthorized (401) - INVALID API KEY. Check the key in the environment")
-        .when(status == 403, F.concat(
-            F.lit(f"Forbidden (403) - API key may not have access to model '{model}'. Response: "), body))
-        .when(status == 404, F.concat(
-            F.lit(f"Not found (404) - Model '{model}' not found. Check if model name is correct. Response: "), body))
-        .when(status == 429, body)
-        .when(status.isin(500, 502, 503, 504), F.concat(
-            F.lit("Server error ("), code, F.lit(") - API is temporarily unavailable. Response: "), body))
-        .otherwise(F.concat(F.lit("HTTP "), code, F.lit(": "), body))
-    )
-
-
 def retry_delay(outcome: Column, attempt: Column, max_retries: int = S.MAX_RETRIES) -> Column:
     """Seconds to wait after attempt 0, 1, …; NULL when there is no further attempt."""
     doubled = F.pow(F.lit(2.0), attempt)

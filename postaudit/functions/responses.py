@@ -7,8 +7,8 @@ from pyspark.sql import Column, functions as F
 from postaudit import schema as S
 from postaudit.functions.text import between_first_and_last
 
+EMPTY_ENVELOPE = "the answer holds no text part"
 # Error texts.
-EMPTY_ENVELOPE = "empty response from model"
 BAD_ENVELOPE = "failed to decode response"
 BAD_FORMAT = "invalid response format: "
 BAD_VERDICT = "failed to parse JSON response"
@@ -36,7 +36,8 @@ def clamp_score(score: Column) -> Column:
 
 
 def parse_verdict(response: Column) -> Column:
-    """struct(should_flag, score, reason, labels, error) from text around one JSON object."""
+    """struct(should_flag, score, reason, labels, error) from text around one JSON object; NULL is no such text."""
+    response = F.coalesce(response, F.lit(""))
     body = between_first_and_last(response, "{", "}")
     parsed = _strict_json(body, _VERDICT_DDL)
     verdict = parsed["a"]

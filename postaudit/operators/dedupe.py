@@ -6,24 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from postaudit.operators.joins import BROADCAST_BYTES, measured_bytes
 from postaudit.session import materialise
 
 POST_KEY = ("job_id", "tweet_id")
 
 
-def keep_first(posts: DataFrame, keys: Sequence[str] = POST_KEY, order: Sequence[str] = ("pos",),
-               limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per key, the first by `order`.
+def keep_first(posts: DataFrame, keys: Sequence[str] = POST_KEY, order: Sequence[str] | None = None) -> DataFrame:
+    """One row per key, the first by `order`: file, member and place where the posts have them, then the text.
 
-    The repeated keys are found first, from the key columns alone. When they are few, only their
-    rows are reduced and all other rows stay where they are; otherwise all rows are.
+    The repeated keys are found first, from the key columns alone and as a written table whose size Spark
+    knows, so rows without a copy stay where they are as long as that table can be broadcast. Only rows
+    with copies are reduced.
     """
     keys = list(keys)
+    order = list(order or [c for c in ("path", "member", "pos", "created_at", "text") if c in posts.columns])
     repeated = materialise(posts.groupBy(*keys).count().filter("count > 1").select(*keys))
-    if measured_bytes(repeated) > limit_bytes:
-        return _reduce(posts, keys, order)
-    repeated = F.broadcast(repeated)
     copies = posts.join(repeated, keys, "left_semi").select(*posts.columns)
     single = posts.join(repeated, keys, "left_anti").select(*posts.columns)
     return single.unionByName(_reduce(copies, keys, order))

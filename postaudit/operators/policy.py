@@ -2,65 +2,62 @@
 
 from __future__ import annotations
 
+import math
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
-from postaudit.functions.text import contains_phrase
-from postaudit.operators.joins import SALTS, measured_bytes, salt
-from postaudit.operators.rules import bind_phrase
-
-LIST_BYTES = 64 << 10
-GRAM = 3
-
 
-def policy_phrases(policy: DataFrame, limit_bytes: int = LIST_BYTES) -> list[str] | None:
-    """The phrases in rank order when the table is within `limit_bytes`, else None."""
-    if measured_bytes(policy) > limit_bytes:
-        return None
-    return [row["phrase"] for row in policy.orderBy("rank").collect()]
+PIECE_BYTES = 16 << 20
+"""Phrases that a task searches for at once; a larger policy is searched for in several pieces."""
 
+_FOUND = "rank bigint, phrase string"
 
-def match_policy(posts: DataFrame, policy: DataFrame, limit_bytes: int = LIST_BYTES) -> DataFrame:
-    """Posts that contain a policy phrase, with the one of lowest rank: job_id, tweet_id, phrase, reason.
 
-    A small policy becomes a list tested within the scan. A large one is joined on short pieces
-    of text, see match_policy_by_grams.
-    """
-    phrases = policy_phrases(policy, limit_bytes)
-    if phrases is None:
-        hit = match_policy_by_grams(posts, policy)
-    else:
-        named = F.get(F.array(*[F.lit(p) for p in phrases]).cast("array<string>"), F.col("_rank"))
-        hit = (bind_phrase(posts.select("job_id", "tweet_id", "text"), phrases).filter(F.col("_rank").isNotNull())
-               .select("job_id", "tweet_id", named.alias("phrase")))
-    return hit.withColumn("reason", F.concat(F.lit(S.REASON_BLOCKED), F.col("phrase")))
+def _searcher(rows: list[tuple[str, int, str]], spark) -> callable:
+    """A column function from lower-cased text to the contained phrase of lowest rank, in one pass over the text."""
+    sent = spark.sparkContext.broadcast(rows)
+    made: dict[str, ahocorasick.Automaton] = {}
 
+    @F.pandas_udf(_FOUND)
+    def first(lows: pd.Series) -> pd.DataFrame:
+        if "own" not in made:
+            own = ahocorasick.Automaton()
+            for low, rank, phrase in sent.value:
+                own.add_word(low, min((rank, phrase), own.get(low, (rank, phrase))))
+            own.make_automaton()
+            made["own"] = own
+        found = [min((hit for _, hit in made["own"].iter(low)), default=(None, None)) if low else (None, None)
+                 for low in lows]
+        return pd.DataFrame({"rank": pd.array([r for r, _ in found], "Int64"), "phrase": [p for _, p in found]})
 
-def _grams(low: Column, size: int) -> Column:
-    """The distinct substrings of `low` of the given length."""
-    chars = F.split(low, "")
-    last = F.size(chars) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i + 1, size), "")))
+    return first
 
 
-def match_policy_by_grams(posts: DataFrame, policy: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Exact match for a policy of any size: equal first characters narrow, containment decides.
+def first_of_policy(policy: DataFrame, low: Column, piece_bytes: int = PIECE_BYTES) -> Column:
+    """struct(rank, phrase) of the policy's first phrase that lower-cased text `low` contains, NULL where none is.
 
-    Every phrase is filed under its first GRAM characters (all of them when shorter), every text
-    under its distinct pieces of those lengths. Only keys travel with the pieces; the pair of
-    text and phrase is tested after joining the text back. Frequent pieces are salted.
+    Empty phrases are skipped. Pieces of bounded size go to the tasks, as many as the policy needs; each
+    is one pass over the texts, whatever the number of its phrases.
     """
+    spark = policy.sparkSession
     wanted = policy.filter(F.coalesce("phrase", F.lit("")) != "").select(
-        "rank", "phrase", F.substring(F.lower("phrase"), 1, GRAM).alias("gram"))
-    sizes = [r["n"] for r in wanted.select(F.length("gram").alias("n")).distinct().collect()]
-    pieces = F.flatten(F.array(*[_grams(F.lower("text"), n) for n in sizes])) if sizes else F.array()
-    keys = ["job_id", "tweet_id"]
-    filed = posts.select(*keys, F.explode(pieces.cast("array<string>")).alias("gram"))
-    filed = filed.withColumn("_salt", salt("tweet_id", salts=salts))
-    spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = filed.join(spread, ["gram", "_salt"]).select(*keys, "rank", "phrase")
-    matched = pairs.join(posts.select(*keys, "text"), keys).filter(
-        contains_phrase(F.col("text"), F.col("phrase")))
-    return (matched.groupBy(*keys).agg(F.min(F.struct("rank", "phrase")).alias("first"))
-            .select(*keys, F.col("first.phrase").alias("phrase")))
+        F.lower("phrase").alias("low"), F.col("rank").cast("bigint").alias("rank"), "phrase")
+    size = wanted.agg(F.sum(F.octet_length("low") + F.octet_length("phrase") + 64)).first()[0] or 0
+    pieces, best = max(1, math.ceil(size / piece_bytes)), F.lit(None).cast(f"struct<{_FOUND}>")
+    for piece in range(pieces if size else 0):
+        part = wanted.filter(F.pmod(F.xxhash64("low"), F.lit(pieces)) == piece).collect()  # piece_bytes, about
+        if not part:
+            continue
+        found = _searcher([tuple(r) for r in part], spark)(low)
+        best = F.least(best, F.when(found["rank"].isNotNull(), found))
+    return best
+
+
+def match_policy(posts: DataFrame, policy: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Posts that contain a policy phrase, with the one of lowest rank: job_id, tweet_id, phrase, reason."""
+    judged = posts.select("job_id", "tweet_id", first_of_policy(policy, F.lower("text"), piece_bytes).alias("_first"))
+    hit = judged.filter(F.col("_first").isNotNull()).select("job_id", "tweet_id", F.col("_first.phrase").alias("phrase"))
+    return hit.withColumn("reason", F.concat(F.lit(S.REASON_BLOCKED), F.col("phrase")))

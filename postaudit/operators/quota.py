@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from postaudit import schema as S
 from postaudit.operators.pending import QUEUE_ORDER
-from postaudit.operators.ranking import global_rank
+from postaudit.operators.ranking import global_rank, narrow
 
 
 def quota_usage(scored: DataFrame) -> DataFrame:
@@ -25,11 +25,17 @@ def used_on(scored: DataFrame, day: dt.date) -> int:
 def admit(waiting: DataFrame, room: int) -> DataFrame:
     """Waiting posts with `admitted`: the first `room` in queue order are, the rest wait for the reset.
 
-    Only keys and order columns are ranked, never the texts.
+    Counts over the time column find where the last admitted post lies; only the posts of that moment are ranked,
+    by their keys, all others follow from their time.
     """
     keys = waiting.select(*QUEUE_ORDER)
-    ranked = global_rank(keys, [F.col(c) for c in QUEUE_ORDER], "_rank")
-    return ranked.withColumn("admitted", F.col("_rank") <= F.lit(max(room, 0))).drop("_rank")
+    if room <= 0:
+        return keys.withColumn("admitted", F.lit(False))
+    at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62)))
+    low, high, before = narrow(keys, at, room, room)
+    ranked = global_rank(keys.filter(at.between(low, high)), [F.col(c) for c in QUEUE_ORDER], "_rank")
+    edge = ranked.withColumn("admitted", F.col("_rank") <= F.lit(room - before)).drop("_rank")
+    return keys.filter(~at.between(low, high)).withColumn("admitted", at < low).unionByName(edge)
 
 
 def room_left(scored: DataFrame, day: dt.date, limit: int = S.DAILY_QUOTA) -> int:

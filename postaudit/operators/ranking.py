@@ -1,4 +1,4 @@
-"""Row numbers and top rows over a whole table without a one-task sort."""
+"""Row numbers, top rows and places in a whole table without a one-task sort."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from postaudit.operators.joins import SALTS, salt
+from postaudit.operators.joins import salt
 from postaudit.session import materialise
 
 _ROW_BITS = (1 << 33) - 1
+SALTS = 128
+SLICES = 1000
+CLOSE_ROWS = 50_000
+"""A range of times with this many rows is narrow enough to be sorted."""
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -32,6 +36,39 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
             .drop("_part", "_row", "_start"))
 
 
+def narrow(df: DataFrame, key: Column, first: int, last: int, close: int = CLOSE_ROWS) -> tuple[int, int, int]:
+    """(low, high, before): a range of the integer `key` that holds the rows `first` to `last` (from 1) in
+    ascending order, and the number of rows below it.
+
+    Each round counts the rows of a thousand slices of the range, in one aggregate over the key alone, and goes on in
+    those that hold the wanted rows. It ends with few rows to sort, or with one key value.
+    """
+    keys = df.select(key.alias("k"))
+    ends = keys.agg(F.min("k").alias("low"), F.max("k").alias("high")).first()
+    low, high, before = ends["low"] or 0, ends["high"] or 0, 0
+    while low < high:
+        width = (high - low) // SLICES + 1
+        inside = keys.filter(F.col("k").between(low, high))
+        counts = sorted(tuple(r) for r in inside.groupBy(  # 1,001 rows at most
+            F.floor((F.col("k") - low) / width).cast("bigint").alias("s")).count().collect())
+        ahead, held, lowest, highest = before, 0, None, high
+        for slot, n in counts:
+            if lowest is None and ahead + n >= first:
+                lowest, before = slot, ahead
+            if lowest is not None:
+                held += n
+            ahead += n
+            if lowest is not None and ahead >= last:
+                highest = min(high, low + (slot + 1) * width - 1)
+                break
+        if lowest is None:  # fewer rows than asked for
+            return high + 1, high + 1, ahead
+        low, high, same = low + lowest * width, highest, (low, high)
+        if held <= close or (low, high) == same:
+            break
+    return low, high, before
+
+
 def top_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int, spread_by: str,
                 salts: int = SALTS) -> DataFrame:
     """The first `n` rows of every key; a key's rows are first narrowed in `salts` separate tasks."""

@@ -9,15 +9,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postaudit import schema as S
 from postaudit.functions.text import bind_lowered, flag_id, post_url
 from postaudit.operators.rules import (
-    apply_cascade, bind_hits, bind_step, cascade_result, has_own_criteria, keep_flagged, rule_result)
+    apply_cascade, apply_policy_cascade, bind_hits, bind_step, cascade_result, has_own_criteria, keep_flagged, rule_result)
 
 FLAGGED, NEEDS_SCORING, PROCESSED = "flagged_now", "needs_scoring", "processed"
 
 
-def route(posts: DataFrame, phrases: Sequence[str], scorer_present: bool = True) -> DataFrame:
-    """Adds `filter_result` and `route` to posts that carry their job's criteria."""
+Policy = Sequence[str] | DataFrame | None
+
+
+def route(posts: DataFrame, policy: Policy, scorer_present: bool = True) -> DataFrame:
+    """Adds `filter_result` and `route` to posts that carry their job's criteria.
+
+    `policy` is a list of phrases, a table (rank, phrase) of any size, or None: without a policy no filter
+    applies, the fixed ones neither.
+    """
     rest = NEEDS_SCORING if scorer_present else PROCESSED
-    return apply_cascade(posts, phrases, has_own_criteria()).withColumn(
+    if policy is None:
+        nothing = F.lit(None).cast("struct<filter_reason: string, score: double, reason: string>")
+        judged = posts.withColumn("filter_result", nothing)
+    elif isinstance(policy, DataFrame):
+        judged = apply_policy_cascade(posts, policy, has_own_criteria())
+    else:
+        judged = apply_cascade(posts, policy, has_own_criteria())
+    return judged.withColumn(
         "route", F.when(F.col("filter_result").isNotNull(), FLAGGED).otherwise(rest))
 
 

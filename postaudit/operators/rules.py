@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
 from postaudit.functions.text import bind, bind_lowered, contains_any, is_repost
+from postaudit.operators.policy import first_of_policy
 
 _ABUSIVE, _HATE, _THREAT = 1, 2, 4
 _LABELS = {_ABUSIVE: "abusive", _HATE: "hate_speech", _THREAT: "threatening"}
@@ -108,6 +109,16 @@ def apply_cascade(posts: DataFrame, phrases: Sequence[str], gate: Column | None
         "filter_result", cascade_result(F.col("_step"), phrases)).drop("_low", "_step")
 
 
+def apply_policy_cascade(posts: DataFrame, policy: DataFrame, gate: Column | None = None) -> DataFrame:
+    """apply_cascade with the phrases of a table (rank, phrase)."""
+    first = first_of_policy(policy, F.col("_low"))
+    stepped = bind(bind_step(bind_lowered(posts), [], gate), "_first", first if gate is None else F.when(gate, first))
+    blocked = F.struct(F.lit("blocked_phrase").alias("filter_reason"), F.lit(1.0).alias("score"),
+                       F.concat(F.lit(S.REASON_BLOCKED), F.col("_first.phrase")).alias("reason"))
+    return stepped.withColumn("filter_result", F.when(F.col("_first").isNotNull(), blocked).otherwise(
+        cascade_result(F.col("_step"), []))).drop("_low", "_step", "_first")
+
+
 def has_own_criteria() -> Column:
     """The gate of the cascade: only jobs that brought criteria are filtered before scoring."""
     return F.col("criteria").isNotNull()

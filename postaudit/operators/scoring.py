@@ -2,59 +2,85 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from postaudit import schema as S
+from postaudit.functions.calls import call_class, retry_delay
 from postaudit.functions.prompts import build_prompt
 from postaudit.functions.responses import or_error_default, parse_verdict
+from postaudit.session import materialise
 
 Scorer = Callable[[DataFrame], DataFrame]
-Model = Callable[[list[str]], list[str]]
+Answer = str | tuple[int, str] | None
+Model = Callable[[list[str]], list[Answer]]
+
+SCORED, FAILED, WAITING = "scored", "failed", "waiting"
 
 
 def _ask(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Adds status and response; a plain text answer has status 200, a call without any answer none."""
+    def one(prompt: str) -> Answer:
+        try:
+            return model([prompt])[0]
+        except Exception as failure:
+            return None, str(failure)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            prompts = batch.pop("prompt").tolist()
+            prompts = batch["prompt"].tolist()
             try:
-                answers, errors = list(model(prompts)), [None] * len(prompts)
+                answers = list(model(prompts))
             except Exception:  # a failing batch is asked again post by post
-                answers, errors = [], []
-                for prompt in prompts:
-                    try:
-                        answers.append(model([prompt])[0])
-                        errors.append(None)
-                    except Exception as failure:
-                        answers.append(None)
-                        errors.append(str(failure))
-            yield batch.assign(response=answers, call_error=errors)
+                answers = [one(p) for p in prompts]
+            if len(answers) != len(prompts):
+                answers = [(400, f"{len(answers)} answers to {len(prompts)} prompts")] * len(prompts)
+            pairs = [a if isinstance(a, tuple) else (200, a) for a in answers]
+            yield batch.assign(status=pd.array([s for s, _ in pairs], "Int32"), response=[b for _, b in pairs])
 
     return run
 
 
-def model_scorer(model: Model) -> Scorer:
-    """A scorer that sends each post's prompt to `model`, a function from prompts to responses.
+def model_scorer(model: Model, retries: int = S.MAX_RETRIES, pause: Callable[[float], None] = time.sleep) -> Scorer:
+    """A scorer that sends each post's prompt to `model`, a function from prompts to answers.
 
-    Posts must carry `criteria`; those of one batch may differ. Criteria do not go to Python,
-    they are part of the prompt. A post whose call or response fails gets the unflagged error
-    result and score_status `failed`.
+    An answer is the response text, or (status, body) as the service gave it; an exception is a call without
+    answer. Calls that may work later are asked again after their delay, up to `retries` times, all of an
+    attempt together. A post that meets the daily quota gets score_status `waiting` and is not scored;
+    one whose call, format or batch is bad gets the unflagged error result and `failed`. Each attempt is
+    written, so answers that were paid for are not asked for again. Posts must carry `criteria`;
+    they do not go to Python, being part of the prompt.
     """
     def score(posts: DataFrame) -> DataFrame:
         prompt = build_prompt(F.col("text"), F.col("created_at"), F.col("criteria"))
-        asked = posts.withColumn("prompt", prompt).drop("criteria")
-        fields = [f for f in asked.schema.fields if f.name != "prompt"]
-        answer = T.StructType(fields + [T.StructField("response", T.StringType()),
-                                        T.StructField("call_error", T.StringType())])
-        answered = asked.mapInPandas(_ask(model), answer)
-        read = answered.withColumn("_verdict", parse_verdict(F.col("response")))
-        error = F.coalesce(F.col("call_error"), F.col("_verdict.error"))
+        asked, done = posts.withColumn("prompt", prompt).drop("criteria"), None
+        answer = T.StructType([*asked.schema.fields, T.StructField("status", T.IntegerType()),
+                               T.StructField("response", T.StringType())])
+        for attempt in range(retries + 1):
+            outcome = call_class(F.col("status"), F.col("response"), F.lit(attempt), retries)
+            delay = retry_delay(F.col("outcome"), F.lit(attempt), retries)
+            tried = materialise(asked.mapInPandas(_ask(model), answer).withColumn("outcome", outcome)
+                                .withColumn("delay", delay))
+            ended = tried.filter("delay IS NULL")
+            done = ended if done is None else done.unionByName(ended)
+            again = tried.filter("delay IS NOT NULL")
+            wait = again.agg(F.max("delay")).first()[0]
+            if wait is None:
+                break
+            pause(wait)
+            asked = again.select(*asked.columns)
+        read = done.withColumn("_verdict", parse_verdict(F.col("response")))
+        good = F.col("outcome") == "ok"
+        error = F.when(good, F.col("_verdict.error")).otherwise(
+            F.concat_ws(": ", F.col("outcome"), F.col("status").cast("string"), F.col("response")))
         outcome = F.struct(*[F.col(f"_verdict.{n}").alias(n) for n in ("should_flag", "score", "reason", "labels")],
                            error.alias("error"))
-        return (read.withColumn("result", or_error_default(outcome))
-                .withColumn("score_status", F.when(error.isNull(), "scored").otherwise("failed"))
+        status = F.when(error.isNull(), SCORED).when(F.col("outcome") == "daily_quota", WAITING).otherwise(FAILED)
+        return (read.withColumn("result", or_error_default(outcome)).withColumn("score_status", status)
                 .withColumn("score_error", error)
-                .drop("_verdict", "response", "call_error"))
+                .drop("_verdict", "response", "status", "outcome", "delay", "prompt"))
 
     return score

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from postaudit import schema as S
 from postaudit.functions.paging import page_bounds, page_offset, total_pages
-from postaudit.operators.ranking import global_rank, top_per_key
+from postaudit.operators.joins import join_by_job
+from postaudit.operators.ranking import global_rank, narrow, top_per_key
 
-# Pages that end within this many rows come from a top-k, deeper ones from ranks.
-TOP_K_ROWS = 100_000
+# URLs of one JSON payload, about; a longer export comes in several.
+PART_URLS = 10_000
 
 
 def _newest_first():
@@ -29,10 +30,15 @@ def flagged_page(flagged: DataFrame, job_id: str | None = None, page: int | None
     page, size = page_bounds(page, size)
     start = page_offset(page, size)
     rows = of_job(flagged, job_id)
-    if start + size <= TOP_K_ROWS:
-        return rows.orderBy(*_newest_first()).offset(start).limit(size)
-    ranked = global_rank(rows, _newest_first(), "_rank")
-    return ranked.filter(F.col("_rank").between(start + 1, start + size)).drop("_rank").orderBy(*_newest_first())
+    newest = -F.unix_micros(F.col("flagged_at").cast("timestamp"))
+    low, high, before = narrow(rows, newest, start + 1, start + size)
+    near = rows.filter(newest.between(low, high))
+    if low < high:
+        return near.orderBy(*_newest_first()).offset(start - before).limit(size)
+    # One moment may hold any number of flags.
+    ranked = global_rank(near, _newest_first(), "_rank")
+    return (ranked.filter(F.col("_rank").between(start - before + 1, start - before + size)).drop("_rank")
+            .orderBy(*_newest_first()))
 
 
 def flagged_by_id(flagged: DataFrame, flag_id: str) -> DataFrame:
@@ -40,7 +46,11 @@ def flagged_by_id(flagged: DataFrame, flag_id: str) -> DataFrame:
 
 
 def flagged_count(flagged: DataFrame, job_id: str | None = None) -> DataFrame:
-    return of_job(flagged, job_id).groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    """Flags of each job that has any, or the one number of `job_id`, which may be 0."""
+    n = F.count(F.lit(1)).alias("n")
+    if job_id:
+        return of_job(flagged, job_id).agg(n).select(F.lit(job_id).alias("job_id"), "n")
+    return flagged.groupBy("job_id").agg(n)
 
 
 def flagged_count_rollup(flagged: DataFrame) -> DataFrame:
@@ -56,10 +66,12 @@ def page_meta(flagged: DataFrame, job_id: str | None = None, page: int | None =
         total_pages(F.col("total"), size).alias("total_pages"))
 
 
-def export_urls(flagged: DataFrame, job_id: str | None = None, limit: int = S.EXPORT_LIMIT) -> DataFrame:
-    """URLs of the newest `limit` flags; empty URLs are dropped after the limit, as part of it."""
-    newest = of_job(flagged, job_id).select("flagged_at", "id", "url").orderBy(*_newest_first()).limit(limit)
-    return newest.filter(F.col("url") != "").select("url")
+def export_urls(flagged: DataFrame, job_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """URLs of all flags, or of the newest `limit`; empty URLs are dropped after the limit, as part of it."""
+    rows = of_job(flagged, job_id).select("flagged_at", "id", "url")
+    if limit is not None:
+        rows = rows.orderBy(*_newest_first()).limit(limit)
+    return rows.filter(F.col("url") != "").select("url")
 
 
 def write_url_lines(urls: DataFrame, path: str, mode: str = "error") -> None:
@@ -67,26 +79,29 @@ def write_url_lines(urls: DataFrame, path: str, mode: str = "error") -> None:
     urls.select("url").write.mode(mode).text(path)
 
 
-def _payload(rows: DataFrame, *keys: str) -> DataFrame:
-    # At most `limit` short rows per key reach this list.
+def _payload(rows: DataFrame) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.when(F.col("url") != "", F.struct(
         (-F.unix_micros(F.col("flagged_at").cast("timestamp"))).alias("age"), "id", "url"))))
     urls = F.transform(listed, lambda r: r["url"])
-    return rows.groupBy(*keys).agg(urls.alias("urls")).withColumn("count", F.size("urls").cast("bigint"))
+    rows = rows.groupBy("job_id", "part").agg(urls.alias("urls")).withColumn("count", F.size("urls").cast("bigint"))
+    return rows.select("job_id", "part", "count", F.to_json(F.struct("urls", "count", "job_id")).alias("payload"))
 
 
-def export_json(flagged: DataFrame, job_id: str | None = None, limit: int = S.EXPORT_LIMIT) -> DataFrame:
-    """One row with the payload {urls, count, job_id} of one job, or of all jobs together."""
-    newest = of_job(flagged, job_id).select("flagged_at", "id", "url").orderBy(*_newest_first()).limit(limit)
-    return _with_json(_payload(newest).withColumn("job_id", F.lit(job_id or "")))
+def export_json(flagged: DataFrame, job_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Payloads {urls, count, job_id} of one job, or of all jobs together under an empty job_id."""
+    rows = of_job(flagged, job_id).withColumn("job_id", F.lit(job_id or ""))
+    return export_json_per_job(rows, limit)
 
 
-def export_json_per_job(flagged: DataFrame, limit: int = S.EXPORT_LIMIT) -> DataFrame:
-    """One payload row per job, each with its own newest `limit` flags."""
-    rows = flagged.select("job_id", "flagged_at", "id", "url")
-    newest = top_per_key(rows, "job_id", _newest_first(), limit, spread_by="id")
-    return _with_json(_payload(newest, "job_id"))
-
+def export_json_per_job(flagged: DataFrame, limit: int | None = None, part_urls: int = PART_URLS) -> DataFrame:
+    """Payloads of each job: job_id, part, count, payload; all its flags, or its newest `limit`.
 
-def _with_json(rows: DataFrame) -> DataFrame:
-    return rows.select("job_id", "count", F.to_json(F.struct("urls", "count", "job_id")).alias("payload"))
+    A job of up to `part_urls` flags is one payload. A larger one is dealt to several by id, each in order,
+    so no payload grows with the job.
+    """
+    rows = flagged.select("job_id", "flagged_at", "id", "url")
+    if limit is not None:
+        rows = top_per_key(rows, "job_id", _newest_first(), limit, spread_by="id")
+    sizes = rows.groupBy("job_id").agg(F.ceil(F.count(F.lit(1)) / part_urls).cast("int").alias("parts"))
+    dealt = join_by_job(rows.withColumnRenamed("id", "tweet_id"), sizes).withColumnRenamed("tweet_id", "id")
+    return _payload(dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))

@@ -96,7 +96,9 @@ flagged AS (
     created_at + INTERVAL 1 DAY AS flagged_at, score, reason, filter_reason,
     CASE WHEN doc_id % 17 = 0 THEN '' ELSE '{S.POST_URL_BASE}' || f.tweet_id END AS url
   FROM flags f JOIN originals USING (tweet_id)),
-scored AS (SELECT job_id, tweet_id, created_at AS scored_at FROM docs JOIN labels USING (doc_id)),
+scored AS (
+  SELECT job_id, tweet_id, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 7 MINUTE AS scored_at
+  FROM docs JOIN labels USING (doc_id)),
 state AS (
   SELECT o.job_id, o.tweet_id, o.created_at, o.pos, g.tweet_id IS NULL AS needs_scoring,
     g.tweet_id IS NOT NULL OR s.tweet_id IS NOT NULL AS processed,
@@ -124,7 +126,8 @@ raws AS (
   FROM posts),
 files AS (SELECT DISTINCT job_id || '/' || part AS path, part, job_id FROM posts),
 updates AS (
-  SELECT 'job-' || user_id AS id, 'file-' || event_id AS file_id, event_type AS status, ts, event_id AS n FROM events),
+  SELECT 'job-' || user_id % 10 AS id, 'file-' || event_id AS file_id, event_type AS status,
+    TIMESTAMP '2024-01-01' + (event_id // 2) * INTERVAL 1 SECOND AS ts, event_id AS n FROM events),
 calls AS (
   SELECT event_id AS call_id, list_extract([200, 400, 401, 403, 404, 429, 429, 500, 503], event_id % 9 + 1) AS status,
     CASE event_id % 4 WHEN 0 THEN 'RESOURCE_EXHAUSTED' WHEN 1 THEN 'quota exceeded' ELSE 'slow down' END AS body,
@@ -139,9 +142,10 @@ verdicts AS (
     CASE WHEN kind = 'good' THEN greatest(0, least(1, (doc_id % 30 - 10) / 10.0))::DOUBLE END AS score,
     CASE WHEN kind = 'good' THEN source END AS reason,
     CASE WHEN kind = 'good' THEN 'abusive|' || lang END AS labels,
-    CASE kind WHEN 'none' THEN 'invalid response format: no verdict for ' || source
+    CASE kind WHEN 'null' THEN 'invalid response format: '
+      WHEN 'none' THEN 'invalid response format: no verdict for ' || source
       WHEN 'bad' THEN 'failed to parse JSON response' END AS error
-  FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'none' WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN 'bad'
+  FROM (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'null' WHEN doc_id % 11 = 0 THEN 'none' WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN 'bad'
           ELSE 'good' END AS kind FROM docs))
 """
 
@@ -223,6 +227,16 @@ _QUERIES = {
         SELECT tweet_id, min_by(phrase, rank) AS phrase, {_text(S.REASON_BLOCKED)} || min_by(phrase, rank) AS reason
         FROM originals JOIN (VALUES {", ".join(f"({n}, {_text(p)})" for n, p in enumerate(BLOCKED))}) policy(rank, phrase)
           ON phrase <> '' AND contains(lower(text), lower(phrase)) GROUP BY tweet_id""",
+    "policy_table": f"""
+        SELECT tweet_id, min_by(phrase, rank) AS phrase, {_text(S.REASON_BLOCKED)} || min_by(phrase, rank) AS reason
+        FROM originals JOIN (SELECT item_id AS rank, text[1:24] AS phrase FROM benchmark)
+          ON phrase <> '' AND contains(lower(text), lower(phrase)) GROUP BY tweet_id""",
+    "second_run_flags": "SELECT job_id, tweet_id, filter_reason, score, reason FROM flags",
+    "second_run_progress": """
+        SELECT job_id, count(*) AS total, count(*) AS processed, count(*) FILTER (g.tweet_id IS NULL) AS calls,
+          count(*) FILTER (f.tweet_id IS NOT NULL) AS flagged
+        FROM originals LEFT JOIN gated g USING (job_id, tweet_id) LEFT JOIN flags f USING (job_id, tweet_id)
+        GROUP BY job_id""",
     "filter_threat": f"""
         SELECT tweet_id, 1.0::DOUBLE AS score, {_text(S.REASON_CASCADE_THREAT)} AS reason
         FROM originals WHERE {_any(S.CASCADE_THREAT)}""",
@@ -273,19 +287,17 @@ _QUERIES = {
     "page_meta": """
         SELECT 3 AS page, 20 AS page_size, count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages
         FROM flagged""",
-    "export_urls": f"""
-        SELECT url FROM (SELECT url FROM flagged {_NEWEST} LIMIT 10000) WHERE url <> ''""",
+    "export_urls": "SELECT url FROM flagged WHERE url <> ''",
     "export_json": """
-        SELECT job_id, count(*) FILTER (url <> '') AS count, '{"urls":[' || coalesce(string_agg(
+        SELECT job_id, 0 AS part, count(*) FILTER (url <> '') AS count, '{"urls":[' || coalesce(string_agg(
             CASE WHEN url <> '' THEN '"' || url || '"' END, ',' ORDER BY flagged_at DESC, id), '') || '],"count":'
             || count(*) FILTER (url <> '') || ',"job_id":"' || job_id || '"}' AS payload
-        FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY flagged_at DESC, id) AS n FROM flagged)
-        WHERE n <= 10000 GROUP BY job_id""",
+        FROM flagged GROUP BY job_id""",
     "llm_prompt": f"SELECT tweet_id, {_PROMPT} AS prompt FROM originals JOIN criteria USING (job_id)",
     "llm_envelope": """
         SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE text END AS response,
           CASE WHEN doc_id % 5 = 0 THEN 'failed to decode response' WHEN doc_id % 7 = 0
-            THEN 'empty response from model' END AS error FROM docs""",
+            THEN 'the answer holds no text part' END AS error FROM docs""",
     "llm_response": "SELECT doc_id, should_flag, score, reason, labels, error FROM verdicts",
     "llm_batch_errors": """
         SELECT doc_id, coalesce(should_flag, false) AS should_flag, coalesce(score, 0)::DOUBLE AS score,

@@ -42,10 +42,8 @@ WHITE_SPACE = "".join(map(chr, [
 
 POST_URL_BASE = "https://twitter.com/i/web/status/"
 ZIP_MAGIC_HEX = "504B0304"
-MAX_ARCHIVE_BYTES = 500 << 20
 PAGE_SIZE_DEFAULT = 20
 PAGE_SIZE_MAX = 100
-EXPORT_LIMIT = 10_000
 DAILY_QUOTA = 10_000_000
 MAX_RETRIES = 3
 QUOTA_MARKERS = ["RESOURCE_EXHAUSTED", "quota exceeded", "Quota exceeded", "daily quota", "Daily quota"]
@@ -79,6 +77,11 @@ SCORED_DDL = (
     "score_status STRING, score_error STRING, scored_at TIMESTAMP"
 )
 
+FLAGGED_DDL = (
+    "id STRING, tweet_id STRING, job_id STRING, text STRING, created_at TIMESTAMP, flagged_at TIMESTAMP, "
+    "reason STRING, score DOUBLE, url STRING, filter_reason STRING"
+)
+
 ARCHIVE_FILE = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("modificationTime", T.TimestampType()),

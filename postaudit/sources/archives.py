@@ -98,25 +98,33 @@ def good_rows(raw: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def normalise(raw: DataFrame, run_ts: Column, job_id: Column) -> DataFrame:
-    return raw.filter(F.col("tweet").isNotNull()).select(
-        job_id.alias("job_id"), "pos", *post_columns(F.col("tweet"), run_ts))
+    """Posts of readable elements, see has_post; path, member and pos tell where each stands."""
+    place = [c for c in ("path", "member") if c in raw.columns]
+    return raw.filter(has_post()).select(job_id.alias("job_id"), *place, "pos", *post_columns(F.col("tweet"), run_ts))
+
+
+def has_post() -> Column:
+    """Whether an element holds a post; one without an id could not be told from another."""
+    return F.col("tweet").isNotNull() & (F.coalesce("tweet.id_str", F.lit("")) != "")
 
 
 def job_of_path() -> Column:
-    """The file name without its extension."""
-    return F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    """The whole path: files of one name in two folders, or of two formats, are different jobs."""
+    return F.regexp_replace("path", "^file:/+", "/")
 
 
 def ingest(files: DataFrame, run_ts: dt.datetime, job_id: Column | None = None, all_parts: bool = False,
-           max_bytes: int = S.MAX_ARCHIVE_BYTES, chunk_chars: int = CHUNK_CHARS) -> Ingested:
+           max_bytes: int | None = None, chunk_chars: int = CHUNK_CHARS) -> Ingested:
     """Posts, unreadable archives and unreadable elements of a set of files.
 
-    Files above `max_bytes` are refused by their listed length, without being read. Parsed rows
-    are written once, so that finding the bad archives does not unzip everything again.
+    Files of any size are read; with `max_bytes`, larger ones are refused by their listed length. Parsed rows
+    are written once, so that finding the bad archives does not unzip everything again. Elements
+    without a post or an id are bad rows.
     """
     job_id = job_of_path() if job_id is None else job_id
-    fitting = files.filter(F.col("length") <= max_bytes)
-    refused = files.filter(F.col("length") > max_bytes).select(
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    fitting = files.filter(small)
+    refused = files.filter(~small).select(
         "path", F.lit(f"{S.ERROR_PREFIX}file size exceeds maximum allowed size of {max_bytes} bytes").alias("error"))
     raw = materialise(parse_pieces(read_pieces(fitting, all_parts, chunk_chars)))
     bad = bad_archives(raw)
@@ -125,4 +133,4 @@ def ingest(files: DataFrame, run_ts: dt.datetime, job_id: Column | None = None,
     return Ingested(
         posts=normalise(good, F.lit(run_ts), job_id),
         bad_archives=failed.select("job_id", "path", "error"),
-        bad_rows=good.filter(F.col("tweet").isNull()).select(job_id.alias("job_id"), "path", "pos"))
+        bad_rows=good.filter(~has_post()).select(job_id.alias("job_id"), "path", "member", "pos"))

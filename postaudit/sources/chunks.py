@@ -54,11 +54,12 @@ def element_chunks(blocks: Iterable[tuple[str, bool]],
                    chunk_chars: int = CHUNK_CHARS) -> Iterator[tuple[int, str | None]]:
     """Cut the array in a stream of text into (number of first element, JSON array text) pieces.
 
-    Only the current piece is held. None for a piece tells that the array is not closed, has an
-    empty element at a cut, or is followed by another `]`.
+    Only the current piece is held. As for a text that is not cut, an empty piece tells that no array opens or
+    no bracket closes behind it, and None that the array is not closed, has an empty element at a
+    cut, or is followed by another `]`.
     """
     buffer, at, depth = "", 0, 0
-    opened = closed = False
+    opened = closed = ends = False
     first = count = 0
     for block, final in blocks:
         buffer += block
@@ -67,6 +68,9 @@ def element_chunks(blocks: Iterable[tuple[str, bool]],
             if start is None:
                 continue
             buffer, depth, opened = buffer[start + 1:], 1, True
+            ends = "]" in buffer
+        else:
+            ends = ends or "]" in block
         begin = 0
         while not closed:
             token = _TOKEN.search(buffer, at)
@@ -96,7 +100,7 @@ def element_chunks(blocks: Iterable[tuple[str, bool]],
                 return
             buffer, at = "", 0
     if not closed:
-        yield first, None
+        yield first, None if ends else ""
 
 
 def read_archive(content: bytes, all_parts: bool = False,
@@ -126,8 +130,8 @@ def _read_member(stream, size: int, name: str, chunk_chars: int) -> Iterator[dic
         yield _piece(name, js=stream.read().decode("utf-8", errors="replace"))
         return
     for first, text in element_chunks(text_blocks(stream), chunk_chars):
-        if text is None:
-            yield _piece(name, first, cut=True, error=S.ERROR_JSON)
+        if not text:
+            yield _piece(name, first, cut=True, error=S.ERROR_JSON if text is None else S.ERROR_UNWRAP)
         else:
             yield _piece(name, first, text, cut=True)
 

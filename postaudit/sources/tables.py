@@ -24,6 +24,12 @@ def write_by_job(df: DataFrame, path: str, mode: str = "append", buckets: int =
      .write.mode(mode).partitionBy("job_bucket").parquet(path))
 
 
+def write_by_id(flagged: DataFrame, path: str, mode: str = "append") -> None:
+    """Write flags in ranges of their id, each file sorted, so a lookup by id reads one row group of one file."""
+    (flagged.repartitionByRange("id").sortWithinPartitions("id").write.mode(mode)
+     .option("parquet.block.size", 16 << 20).parquet(path))
+
+
 def read_job(spark: SparkSession, path: str, job_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The table, or one job of it: only its bucket is listed and read."""
     table = spark.read.parquet(path)

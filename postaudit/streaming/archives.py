@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -11,11 +11,16 @@ from pyspark.sql.streaming import DataStreamWriter
 from postaudit import schema as S
 from postaudit.operators.dedupe import keep_first
 from postaudit.operators.jobs import job_upsert, progress_from_tables
+from postaudit.operators.routing import Policy
 from postaudit.operators.rules import drop_reposts, rule_scorer
 from postaudit.operators.scoring import Scorer
-from postaudit.plans.audit import audit_posts
+from postaudit.plans.audit import History, audit_posts, empty_history
 from postaudit.session import materialise
 from postaudit.sources.archives import ingest
+from postaudit.sources.tables import job_bucket, write_by_job
+
+COMPACT_EVERY = 50
+"""Batches after which the changed job rows are merged into a new whole table."""
 
 
 def watch_archives(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -29,60 +34,138 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows of the batches before this one; a batch that is run again sees what it saw before."""
-    return spark.read.schema(schema).parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+def _history(spark: SparkSession, tables: str, batch_id: int, posts: DataFrame, last: int | None) -> History:
+    """What the batches before this one have of the jobs of `posts` and of the posts that wait.
+
+    Only the buckets of these jobs are read (64 at most); a batch that is run again sees what it saw before.
+    """
+    none = empty_history(spark, posts)
+    if last is None:
+        return none
+    waiting = spark.read.schema(none.waiting.schema).parquet(f"{tables}/waiting/batch_id={last}")
+    touched = posts.select("job_id").union(waiting.select("job_id"))
+    buckets = [r[0] for r in touched.select(job_bucket(F.col("job_id"))).distinct().collect()]
+
+    def earlier(name: str, like: DataFrame) -> DataFrame:
+        made = spark.read.schema(f"{_ddl(like)}, batch_id INT, job_bucket INT").parquet(f"{tables}/{name}")
+        return made.filter((F.col("batch_id") < batch_id) & F.col("job_bucket").isin(buckets)).select(*like.columns)
+
+    return History(earlier("posts", posts), earlier("flagged", none.flagged), earlier("scored", none.scored), waiting)
+
+
+def _ddl(like: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+
+
+def _used(spark: SparkSession, tables: str, batch_id: int, day: dt.date) -> int:
+    """Calls of `day` in the batches before, from the small table of daily numbers."""
+    calls = spark.read.schema("day DATE, calls BIGINT, batch_id INT").parquet(f"{tables}/calls")
+    return calls.filter((F.col("batch_id") < batch_id) & (F.col("day") == F.lit(day))).agg(F.sum("calls")).first()[0] or 0
+
 
+def audit_batch(spark: SparkSession, files: DataFrame | None, jobs: DataFrame, policy: Policy, tables: str, batch_id: int,
+                now: dt.datetime, scorer: Scorer = rule_scorer, quota: int | None = None) -> None:
+    """One step of the stream: audit `files` and the waiting posts, and write every table under `batch_id`.
 
-def audit_stream(files: DataFrame, jobs: DataFrame | Callable[[DataFrame], DataFrame], phrases: Sequence[str],
+    The tables are posts, flagged, scored, waiting, bad_archives, bad_rows, jobs (status and counters of the
+    jobs that the batch has touched) and calls per day. `files` may be None, to take up waiting posts when no file
+    comes (a scheduled call, with a `batch_id` above the last).
+    """
+    if files is None:
+        files = spark.createDataFrame([], S.ARCHIVE_FILE)
+    read = ingest(files, now)
+    posts = materialise(keep_first(drop_reposts(read.posts)))
+    before = _history(spark, tables, batch_id, posts, last_batch(spark, tables, batch_id))
+    room = quota
+    if quota is not None and last_batch(spark, tables, batch_id) is not None:
+        room = max(quota - _used(spark, tables, batch_id, now.astimezone(dt.timezone.utc).date()), 0)
+    audit = audit_posts(posts, jobs, policy, now, scorer, before, failed=read.bad_archives, bad_rows=read.bad_rows,
+                        room=room)
+    for name, rows in {"posts": audit.posts, "flagged": audit.flagged, "scored": audit.new_scores}.items():
+        write_by_job(rows, f"{tables}/{name}/batch_id={batch_id}", mode="overwrite")
+    state = audit.status.join(audit.progress, "job_id", "left").withColumn("as_of", F.lit(now))
+    calls = audit.new_scores.groupBy(F.to_date("scored_at").alias("day")).agg(F.count(F.lit(1)).alias("calls"))
+    for name, rows in {"waiting": audit.waiting, "bad_archives": audit.bad_archives, "bad_rows": audit.bad_rows,
+                       "jobs": state, "calls": calls, "batches": spark.range(1).select(F.lit(now).alias("at"))}.items():
+        write_batch(rows, f"{tables}/{name}", batch_id)  # `batches` comes last and marks the batch as whole
+
+
+def last_batch(spark: SparkSession, tables: str, before: int = 1 << 62) -> int | None:
+    """The number of the last whole batch below `before`, None if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{tables}/batches")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    made = spark.read.schema("at TIMESTAMP, batch_id BIGINT").parquet(f"{tables}/batches")
+    return made.filter(F.col("batch_id") < before).agg(F.max("batch_id")).first()[0]
+
+
+def audit_stream(files: DataFrame, jobs: DataFrame | Callable[[DataFrame], DataFrame], policy: Policy,
                  tables: str, checkpoint: str, scorer: Scorer = rule_scorer, quota: int | None = None,
                  clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)) -> DataStreamWriter:
-    """Audit each micro-batch of files into `tables`/posts, flagged, scored, waiting and bad_archives.
+    """Audit each micro-batch of files into `tables`, see audit_batch.
 
-    `jobs` is the table of job_id and criteria, or makes it from the files of a batch. With a
-    `quota`, posts beyond it wait in their own table and are taken up again by the next
-    micro-batch, which then only reads what the last one left. Start the result with a trigger:
-    availableNow to drain the folder and stop, processingTime to keep watching.
+    `jobs` is the table of job_id and criteria, or makes it from the files of a batch. Posts beyond the
+    `quota`, or sent back by the scorer, wait with their criteria and are taken up by the next micro-batch,
+    or by `resume`. A post that an earlier batch has is not stored, scored or flagged again. Start the result with
+    a trigger: availableNow to drain the folder and stop, processingTime to keep watching.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = clock()
-        read = ingest(batch, now)
-        fresh = materialise(keep_first(drop_reposts(read.posts)))
+        # Numbers are doubled, so that a resume between two batches has a place.
         known = jobs if isinstance(jobs, DataFrame) else jobs(batch)
-        posts, earlier = fresh, None
-        if quota is not None and batch_id > 0:
-            posts = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{tables}/waiting/batch_id={batch_id - 1}"))
-            earlier = _before(spark, f"{tables}/scored", batch_id, S.SCORED_DDL)
-        audit = audit_posts(posts, known, phrases, now, scorer, earlier, quota, read.bad_archives)
-        for name, rows in {"posts": fresh, "flagged": audit.flagged, "scored": audit.new_scores,
-                           "waiting": audit.waiting, "bad_archives": audit.bad_archives}.items():
-            write_batch(rows, f"{tables}/{name}", batch_id)
+        audit_batch(batch.sparkSession, batch, known, policy, tables, 2 * batch_id, clock(), scorer, quota)
 
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+def resume(spark: SparkSession, jobs: DataFrame, policy: Policy, tables: str, scorer: Scorer = rule_scorer,
+           quota: int | None = None, now: dt.datetime | None = None) -> None:
+    """Take up waiting posts without new files, for instance after the quota's reset, while no stream is running.
+
+    Repeating it before the next micro-batch replaces what it wrote.
+    """
+    last = last_batch(spark, tables)
+    if last is not None:
+        audit_batch(spark, None, jobs, policy, tables, last + 1 - last % 2, now or dt.datetime.now(dt.timezone.utc), scorer, quota)
+
+
 def stream_progress(spark: SparkSession, tables: str) -> DataFrame:
     """Counters per job over all batches written so far."""
     posts, flagged, scored = (spark.read.parquet(f"{tables}/{t}") for t in ("posts", "flagged", "scored"))
     return progress_from_tables(posts, flagged, scored)
 
 
-def upsert_stream(updates: DataFrame, snapshots: str, checkpoint: str) -> DataStreamWriter:
-    """Keep job rows current: every micro-batch turns snapshot n into snapshot n + 1.
+def stream_status(spark: SparkSession, tables: str) -> DataFrame:
+    """The last status and counters of each job."""
+    made = spark.read.parquet(f"{tables}/jobs")
+    rest = [c for c in made.columns if c not in ("job_id", "batch_id")]
+    return made.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("s")).select("job_id", "s.*")
 
-    Snapshots are folders of their own, so a batch run again reads what it read before.
+
+def upsert_stream(updates: DataFrame, snapshots: str, checkpoint: str, every: int = COMPACT_EVERY) -> DataStreamWriter:
+    """Keep job rows current: each micro-batch writes the rows that it changes, `job_rows` merges them.
+
+    After `every` batches the rows are merged into a whole table, which later reads start from. Both are
+    folders of their own number, so a batch run again reads what it read before.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            batch = spark.read.parquet(f"{snapshots}/{batch_id - 1}").unionByName(
-                batch.withColumn("first_seq", F.struct("updated_at", "n")))
-        job_upsert(batch).write.mode("overwrite").parquet(f"{snapshots}/{batch_id}")
+        job_upsert(batch).write.mode("overwrite").parquet(f"{snapshots}/changes/batch_id={batch_id}")
+        if batch_id % every == every - 1:
+            job_rows(batch.sparkSession, snapshots, batch_id, every).write.mode("overwrite").parquet(
+                f"{snapshots}/whole/{batch_id // every}")
 
     return updates.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+def job_rows(spark: SparkSession, snapshots: str, batch_id: int, every: int = COMPACT_EVERY) -> DataFrame:
+    """Job rows after the batch `batch_id`: the last whole table before it and the changes since."""
+    whole = batch_id // every - 1
+    changes = spark.read.option("basePath", f"{snapshots}/changes").parquet(f"{snapshots}/changes")
+    rows = changes.filter(F.col("batch_id").between((whole + 1) * every, batch_id)).drop("batch_id")
+    if whole >= 0:
+        rows = spark.read.parquet(f"{snapshots}/whole/{whole}").unionByName(rows)
+    return job_upsert(rows)
+
+
 def daily_calls(scored: DataFrame, late: str = "1 day") -> DataFrame:
     """Running number of calls per day of `scored_at`; days close `late` after their end."""
     return (scored.withWatermark("scored_at", late).groupBy(F.window("scored_at", "1 day"))

@@ -19,16 +19,20 @@ RUN = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
 HEAD = "window.YTD.tweets.part0 = "
 
 
+def job_name():
+    return F.regexp_extract("path", r"([^/]*)\.[^.]*$", 1)
+
+
 def post(name, text, **entities):
     return {"tweet": {"id_str": name, "full_text": text, "created_at": "Mon Jan 02 15:04:05 +0000 2023",
                       "entities": entities}}
 
 
-FULL = post("1234567890", "This is a test tweet",
-            urls=[{"expanded_url": "https://example.com", "url": "https://t.co/abc"}],
-            hashtags=[{"text": "test"}], user_mentions=[{"screen_name": "user"}],
-            media=[{"media_url": "https://example.com/image.jpg"}])
-REPOST = post("0987654321", "RT @user: This is a retweet")
+FULL = post("71", "harbour at dawn",
+            urls=[{"expanded_url": "https://maps.test/h", "url": "https://s.test/1"}],
+            hashtags=[{"text": "boats"}], user_mentions=[{"screen_name": "pilot"}],
+            media=[{"media_url": "https://pics.test/7.png"}])
+REPOST = post("72", "RT @pilot: fog again")
 
 
 def js(*posts):
@@ -48,15 +52,15 @@ def folder(tmp_path_factory):
     path = tmp_path_factory.mktemp("archives")
     files = {
         "zip1.zip": zipped(data__other_js="[]", data__tweet_js=js(FULL, REPOST)),
-        "plain.js": js(post("1111111111", "Direct JS file test")),
-        "three.js": js(post("1", "Original"), post("2", "RT @user: x"), post("3", "RT @another: y")),
-        "text.js": b"not a zip file",
-        "nomember.zip": zipped(data__other_js="not tweets"),
-        "badjson.js": HEAD + "[invalid json];",
+        "plain.js": js(post("73", "no archive around it")),
+        "three.js": js(post("1", "own words"), post("2", "RT @b: p"), post("3", "RT @c: q")),
+        "text.js": b"words, no array",
+        "nomember.zip": zipped(data__other_js="no posts"),
+        "badjson.js": HEAD + "[neither, nor];",
         "junk.js": js(FULL)[:-1] + " extra]",
         "broken.zip": b"PK\x03\x04 and no more",
         "empty.js": HEAD + "[];",
-        "odd.js": HEAD + json.dumps([None, {"tweet": 5}, post("7", "kept")]) + ";",
+        "odd.js": HEAD + json.dumps([None, {"tweet": 5}, post("7", "kept"), post("", "no id")]) + ";",
         "utf.js": js(post("8", "good")).encode().replace(b"good", b"b\xffd"),
     }
     for name, body in files.items():
@@ -66,18 +70,18 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def read(spark, folder):
-    return A.ingest(A.scan_archives(spark, folder), RUN)
+    return A.ingest(A.scan_archives(spark, folder), RUN, job_name())
 
 
 def test_posts_of_good_archives(read):
     got = {(r.job_id, r.tweet_id): r for r in read.posts.collect()}
-    assert set(got) == {("zip1", "1234567890"), ("zip1", "0987654321"), ("plain", "1111111111"), ("three", "1"),
+    assert set(got) == {("zip1", "71"), ("zip1", "72"), ("plain", "73"), ("three", "1"),
                         ("three", "2"), ("three", "3"), ("odd", "7"), ("utf", "8")}
-    row = got["zip1", "1234567890"]
+    row = got["zip1", "71"]
     assert (row.text, row.links, row.hashtags, row.mentions, row.attachments) == (
-        "This is a test tweet", ["https://example.com"], ["#test"], ["@user"], ["https://example.com/image.jpg"])
+        "harbour at dawn", ["https://maps.test/h"], ["#boats"], ["@pilot"], ["https://pics.test/7.png"])
     assert row.created_at == dt.datetime(2023, 1, 2, 15, 4, 5) and row.created_at_ok and row.pos == 0
-    bare = got["plain", "1111111111"]
+    bare = got["plain", "73"]
     assert (bare.links, bare.hashtags, bare.mentions, bare.attachments) == ([], [], [], [])
     assert got["utf", "8"].text == "b�d"
 
@@ -89,19 +93,19 @@ def test_broken_archives_fail_as_a_whole(read):
     assert got["nomember"] == S.ERROR_PREFIX + S.ERROR_NO_MEMBER
     assert got["badjson"] == got["junk"] == S.ERROR_PREFIX + S.ERROR_JSON
     assert got["broken"].startswith(S.ERROR_PREFIX + S.ERROR_ZIP)
-    assert [(r.job_id, r.pos) for r in read.bad_rows.orderBy("pos").collect()] == [("odd", 0), ("odd", 1)]
+    assert [(r.job_id, r.pos) for r in read.bad_rows.orderBy("pos").collect()] == [("odd", 0), ("odd", 1), ("odd", 3)]
 
 
 def test_oversized_archive_is_refused(spark, folder):
-    read = A.ingest(A.scan_archives(spark, folder), RUN, max_bytes=30)
+    read = A.ingest(A.scan_archives(spark, folder), RUN, job_name(), max_bytes=30)
     refused = {r.job_id for r in read.bad_archives.collect() if "exceeds maximum" in r.error}
     assert "three" in refused and "text" not in refused
 
 
 def test_cut_archives_equal_whole_ones(spark, folder, read):
-    cut = A.ingest(A.scan_archives(spark, folder), RUN, chunk_chars=40)
+    cut = A.ingest(A.scan_archives(spark, folder), RUN, job_name(), chunk_chars=40)
     assert sorted(cut.posts.collect()) == sorted(read.posts.collect())
-    whole, pieces = ({r.job_id for r in i.bad_archives.collect()} for i in (read, cut))
+    whole, pieces = ({r.job_id: r.error for r in i.bad_archives.collect()} for i in (read, cut))
     assert whole == pieces
     assert sorted(cut.bad_rows.collect()) == sorted(read.bad_rows.collect())
 
@@ -171,3 +175,20 @@ def test_json_and_time_round_trips(spark):
     row = frame.select(json_to_array(array_to_json(F.col("a"))).alias("a"), rfc3339(F.col("t")).alias("s"),
                        from_rfc3339(rfc3339(F.col("t"))).alias("t")).first()
     assert (row.a, row.s, row.t) == (["a", 'b"'], "2024-01-02T03:04:05Z", dt.datetime(2024, 1, 2, 3, 4, 5))
+
+
+def test_the_same_error_whole_and_cut(spark, tmp_path):
+    broken = ["no array here", "a = [1, 2", 'a = [{"tweet": {"id_str": "1"}}', '[{"x": [1]}', "[1, 2] and ]", "[[1]", "a = "]
+    for i, text in enumerate(broken):
+        (tmp_path / f"{i}.js").write_text(text)
+    files = A.scan_archives(spark, str(tmp_path))
+    whole, cut = ({r.job_id: r.error for r in A.ingest(files, RUN, job_name(), chunk_chars=n).bad_archives.collect()} for n in (1000, 1))
+    assert whole == cut and len(whole) == len(broken)
+
+
+def test_files_of_one_name_are_jobs_of_their_own(spark, tmp_path):
+    for place in ("u1/posts.js", "u2/posts.js", "u2/posts.txt"):
+        (tmp_path / place).parent.mkdir(exist_ok=True)
+        (tmp_path / place).write_text(js(FULL))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    assert A.ingest(files, RUN).posts.select("job_id").distinct().count() == 3

@@ -50,6 +50,8 @@ def test_escape(spark):
     ('{"should_flag": false, "score": -3}', (False, 0.0, "", None, None)),
     ('{"score": 7}', (False, 1.0, "", None, None)), ("{}", (False, 0.0, "", None, None)),
     ("no", (None, None, None, None, "invalid response format: no")),
+    ("", (None, None, None, None, "invalid response format: ")),
+    (None, (None, None, None, None, "invalid response format: ")),
     ("} {", (None, None, None, None, "invalid response format: } {")),
     ('{"score": "high"}', (None, None, None, None, R.BAD_VERDICT)),
     ('{"should_flag": true', (None, None, None, None, 'invalid response format: {"should_flag": true')),
@@ -86,13 +88,9 @@ def test_calls(spark, status, body, attempt, outcome, delay):
     assert (row.c, row.d) == (outcome, delay)
 
 
-def test_delay_is_capped_and_messages(spark):
-    frame = spark.createDataFrame([(429, "b", 3), (500, "b", 0), (None, "b", 0), (200, "b", 0), (403, "b", 0), (418, "b", 0)],
-                                  "s INT, b STRING, a INT")
+def test_delay_is_capped(spark):
+    frame = spark.createDataFrame([(3,)], "a INT")
     assert frame.select(C.retry_delay(F.lit("rate_limited"), F.col("a"), 9)).first()[0] == 300.0
-    got = [r[0] for r in frame.select(C.call_error(F.col("s"), F.col("b"), "m")).collect()]
-    assert got == ["b", "Server error (500) - API is temporarily unavailable. Response: b", "API error: b", None,
-                   "Forbidden (403) - API key may not have access to model 'm'. Response: b", "HTTP 418: b"]
 
 
 def fake_model():
@@ -105,20 +103,67 @@ def fake_model():
     return answer
 
 
-def test_model_scorer_in_an_audit(spark):
-    rows = [("j", str(i), t, dt.datetime(2024, 1, 1), i) for i, t in enumerate(["rude", "nice", "mute", "crash", "rude"])]
-    posts = spark.createDataFrame(
+def posts_of(spark, texts):
+    rows = [("j", str(i), t, dt.datetime(2024, 1, 1), i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(
         rows, "job_id STRING, tweet_id STRING, text STRING, created_at TIMESTAMP, pos BIGINT").coalesce(1)
-    jobs = spark.createDataFrame([("j", None)], "job_id STRING, criteria STRING").select(
+
+
+def job_j(spark):
+    return spark.createDataFrame([("j", None)], "job_id STRING, criteria STRING").select(
         "job_id", parse_criteria(F.col("criteria")).alias("criteria"))
-    audit = audit_posts(posts, jobs, [], dt.datetime(2024, 2, 1), scorer=model_scorer(fake_model()))
+
+
+def test_model_scorer_in_an_audit(spark):
+    posts = posts_of(spark, ["rude", "nice", "mute", "crash", "rude"])
+    waits = []
+    scorer = model_scorer(fake_model(), pause=waits.append)
+    audit = audit_posts(posts, job_j(spark), [], dt.datetime(2024, 2, 1), scorer=scorer)
     got = {r.tweet_id: (r.result.should_flag, r.result.score, r.result.reason, r.score_status)
            for r in audit.scored.collect()}
     assert got == {
         "0": (True, 1.0, "bad tone", "scored"), "1": (False, 0.0, "", "scored"),
         "2": (False, 0.0, "Error: invalid response format: nothing to say", "failed"),
-        "3": (False, 0.0, "Error: boom", "failed"), "4": (True, 1.0, "bad tone", "scored")}
+        "3": (False, 0.0, "Error: retryable: boom", "failed"), "4": (True, 1.0, "bad tone", "scored")}
+    assert waits == [1.0, 2.0, 4.0]
     assert {(r.tweet_id, r.text, r.filter_reason) for r in audit.flagged.collect()} == {
         ("0", "rude", "llm_scorer"), ("4", "rude", "llm_scorer")}
     p = audit.progress.first()
     assert (p.total, p.processed, p.calls, p.flagged) == (5, 5, 3, 2)
+
+
+def service():
+    def answer(prompts):
+        kinds = {"spent": (429, "daily quota reached"), "locked": (401, "no key"), "broken": (400, "bad"), "silent": None}
+        return [next((a for k, a in kinds.items() if k in p), (200, '{"should_flag": true}')) for p in prompts]
+
+    return answer
+
+
+def test_statuses_of_a_service(spark):
+    posts = posts_of(spark, ["fine", "spent", "locked", "broken", "silent"])
+    audit = audit_posts(posts, job_j(spark), [], dt.datetime(2024, 2, 1), scorer=model_scorer(service(), pause=[].append))
+    got = {r.tweet_id: (r.score_status, r.score_error, r.result.should_flag) for r in audit.scored.collect()}
+    assert got == {"0": ("scored", None, True), "2": ("failed", "critical: 401: no key", False),
+                   "3": ("failed", "permanent: 400: bad", False),
+                   "4": ("failed", "invalid response format: ", False)}
+    assert [r.tweet_id for r in audit.waiting.collect()] == ["1"]
+    assert audit.status.first().status == "paused_quota"
+
+
+def test_rate_limited_calls_are_asked_again(spark, tmp_path):
+    def answer(prompts):
+        first = not (tmp_path / "seen").exists()
+        (tmp_path / "seen").touch()
+        return [(429, "slow down") if first else "{}" for _ in prompts]
+
+    waits = []
+    rows = model_scorer(answer, pause=waits.append)(
+        posts_of(spark, ["a", "b"]).crossJoin(job_j(spark).select(criteria_or_default(F.col("criteria")).alias("criteria"))))
+    assert {r.score_status for r in rows.collect()} == {"scored"} and waits == [60.0]
+
+
+def test_a_wrong_number_of_answers_fails_the_batch(spark):
+    rows = model_scorer(lambda prompts: ["{}"] * (len(prompts) + 1), pause=[].append)(
+        posts_of(spark, ["a", "b"]).crossJoin(job_j(spark).select(criteria_or_default(F.col("criteria")).alias("criteria"))))
+    assert {(r.score_status, r.score_error) for r in rows.collect()} == {("failed", "permanent: 400: 3 answers to 2 prompts")}

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from postaudit import catalog
 from postaudit.fixtures import Views
 from postaudit.operators import rules, serving
 
@@ -16,7 +17,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_no_cross_join_and_no_one_task_window(spark, name):
     text = plan(E.queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "NestedLoop" not in text

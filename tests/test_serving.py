@@ -6,7 +6,7 @@ import json
 import pytest
 
 from postaudit.functions.paging import page_bounds, page_offset
-from postaudit.operators import serving
+from postaudit.operators import ranking, serving
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -34,7 +34,7 @@ def test_pages_are_disjoint_and_whole(spark, monkeypatch):
     table = flags(spark, {"a": 10, "b": 2})
     shallow = [[r.id for r in serving.flagged_page(table, "a", p, 5).collect()] for p in (1, 2, 3)]
     assert [len(p) for p in shallow] == [5, 5, 0] and len(set(shallow[0] + shallow[1])) == 10
-    monkeypatch.setattr(serving, "TOP_K_ROWS", 0)
+    monkeypatch.setattr(ranking.narrow, "__defaults__", (1,))
     deep = [[r.id for r in serving.flagged_page(table, "a", p, 5).collect()] for p in (1, 2, 3)]
     assert deep == shallow
     meta = serving.page_meta(table, "a", 2, 4).first()
@@ -46,6 +46,7 @@ def test_counts(spark):
     table = flags(spark, {"a": 3, "b": 2})
     assert {r.job_id: r.n for r in serving.flagged_count_rollup(table).collect()} == {"a": 3, "b": 2, None: 5}
     assert [r.n for r in serving.flagged_count(table, "a").collect()] == [3]
+    assert [tuple(r) for r in serving.flagged_count(table, "none").collect()] == [("none", 0)]
     assert serving.flagged_by_id(table, "a-1").count() == 1 and serving.flagged_by_id(table, "q").count() == 0
 
 
@@ -61,8 +62,10 @@ def test_exports(spark, tmp_path):
     assert lines == sorted(f"https://x/a/{i}" for i in (0, 2, 3, 4, 5))
     one = serving.export_json(table, "a", limit=4).first()
     assert json.loads(one.payload) == {"urls": [f"https://x/a/{i}" for i in (4, 5, 2, 3)], "count": 4, "job_id": "a"}
-    both = {r.job_id: json.loads(r.payload) for r in serving.export_json_per_job(table, limit=2).collect()}
+    both = {r.job_id: json.loads(r.payload) for r in serving.export_json_per_job(table, 2).collect()}
     assert both["b"]["urls"] == ["https://x/b/2", "https://x/b/0"]
     assert both["a"]["urls"] == ["https://x/a/4", "https://x/a/5"]
+    parts = [json.loads(r.payload)["urls"] for r in serving.export_json_per_job(table, part_urls=2).collect()]
+    assert len(parts) > 2 and sorted(sum(parts, [])) == sorted(r.url for r in serving.export_urls(table).collect())
     everything = serving.export_json(table).first()
     assert (everything.job_id, everything.count) == ("", everything["count"]) or everything["count"] == 7

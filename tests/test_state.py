@@ -6,11 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from postaudit import session
 from postaudit.functions.criteria import DEFAULTS, parse_criteria
 from postaudit.functions.paging import quota_reset_at
 from postaudit.operators import dedupe, jobs, joins, pending, quota, ranking
-from postaudit.plans.audit import audit_posts, save_audit
+from postaudit.plans.audit import History, audit_posts, load_history, save_audit
 from postaudit.sources.tables import read_job, write_by_job
 
 T0 = dt.datetime(2024, 1, 1)
@@ -32,10 +31,12 @@ def make_jobs(spark, jobs_n=4):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_by_job_beyond_the_broadcast_limit(spark, how):
+def test_join_by_job_splits_hot_jobs_only(spark, how):
     posts, known = make_posts(spark), make_jobs(spark, 3)
     small = joins.join_by_job(posts, known, how)
-    large = joins.join_by_job(posts, known, how, limit_bytes=0, salts=3)
+    large = joins.join_by_job(posts, known, how, hot_posts=12)
+    assert "Generate explode" not in small._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in large._jdf.queryExecution().toString()
     assert sorted(map(str, small.collect())) == sorted(map(str, large.select(*small.columns).collect()))
     assert small.count() == (60 if how == "left" else 60 - posts.filter("job_id = 'job-3'").count())
 
@@ -45,10 +46,35 @@ def test_keep_first_on_one_hot_key(spark):
     random.Random(1).shuffle(rows)
     frame = spark.createDataFrame(rows, "job_id STRING, tweet_id STRING, text STRING, pos BIGINT").repartition(7)
     few = {r.tweet_id: (r.text, r.pos) for r in dedupe.keep_first(frame).collect()}
-    many = {r.tweet_id: (r.text, r.pos) for r in dedupe.keep_first(frame, limit_bytes=0).collect()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = {r.tweet_id: (r.text, r.pos) for r in dedupe.keep_first(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert few == many == {"hot": ("t0", 0), **{str(i): (f"u{i}", i) for i in range(5)}, "once": ("x", 9)}
 
 
+def test_keep_first_over_files_and_members(spark):
+    rows = [("j", "1", f"{p}{m}", i, p, m) for p in ("b", "a") for m in ("y", "x") for i in (0, 1)]
+    frame = spark.createDataFrame(rows, "job_id STRING, tweet_id STRING, text STRING, pos BIGINT, path STRING, member STRING")
+    assert [(r.path, r.member, r.pos) for r in dedupe.keep_first(frame).collect()] == [("a", "x", 0)]
+
+
+@pytest.mark.parametrize("close", [1, 40, 10_000])
+def test_narrow_and_admit(spark, monkeypatch, close):
+    rnd = random.Random(8)
+    times = [T0 + dt.timedelta(seconds=rnd.choice([0, 5, 60, 86400]) * rnd.randrange(50)) for _ in range(400)]
+    rows = [(t, rnd.randrange(5), f"j{i % 3}", str(i)) for i, t in enumerate(times)]
+    frame = spark.createDataFrame(rows, "created_at TIMESTAMP, pos INT, job_id STRING, tweet_id STRING")
+    monkeypatch.setattr(ranking, "CLOSE_ROWS", close)
+    monkeypatch.setattr(ranking.narrow, "__defaults__", (close,))
+    for room in (0, 1, 57, 399, 400, 1000):
+        got = {r.tweet_id for r in quota.admit(frame, room).filter("admitted").collect()}
+        assert got == {r[3] for r in sorted(rows)[:room]}
+    assert quota.admit(frame, 57).count() == 400 and quota.admit(frame.limit(0), 5).count() == 0
+
+
 def test_global_rank(spark):
     values = [(random.Random(i).randrange(20), i) for i in range(1000)]
     frame = spark.createDataFrame(values, "a INT, b INT").repartition(5)
@@ -130,6 +156,12 @@ def test_audit_of_posts(spark):
     assert {r.status for r in audit.status.collect()} == {"done"}
 
 
+def history(*audits):
+    """What the given runs leave for the next."""
+    join = lambda name: __import__("functools").reduce(lambda a, b: a.unionByName(b), [getattr(x, name) for x in audits])
+    return History(join("posts"), join("flagged"), join("new_scores"), audits[-1].waiting)
+
+
 def test_audit_pauses_at_the_quota_and_resumes(spark):
     posts, known = make_posts(spark), make_jobs(spark)
     flags, filtered = expected_audit(posts.collect())
@@ -137,15 +169,42 @@ def test_audit_pauses_at_the_quota_and_resumes(spark):
     first = audit_posts(posts, known, ["Crypto"], day, quota=20)
     assert first.scored.count() == 20 and first.waiting.count() == 60 - len(filtered) - 20
     assert "paused_quota" in {r.status for r in first.status.collect()}
-    blocked = audit_posts(posts, known, ["Crypto"], day, scored=first.scored, quota=20)
+    blocked = audit_posts(posts, known, ["Crypto"], day, before=history(first), quota=20)
     assert blocked.new_scores.count() == 0 and blocked.waiting.count() == first.waiting.count()
-    second = audit_posts(posts, known, ["Crypto"], day + dt.timedelta(days=1), scored=first.scored, quota=1000)
+    assert blocked.posts.count() == 0 == blocked.flagged.count()
+    # The criteria came with the waiting posts, so the jobs need not be known any more.
+    second = audit_posts(posts.limit(0), known.limit(0), ["Crypto"], day + dt.timedelta(days=1),
+                         before=history(first, blocked), quota=1000)
     assert second.waiting.count() == 0 and second.scored.count() == 60 - len(filtered)
     assert {r.status for r in second.status.collect()} == {"done"}
-    found = {r.tweet_id for r in first.flagged.collect()} | {r.tweet_id for r in second.flagged.collect()}
-    assert found == set(flags)
-    assert {r.id for r in first.flagged.collect()} & {r.id for r in second.flagged.collect()} == {
-        r.id for r in first.flagged.filter("filter_reason <> 'llm_scorer'").collect()}
+    found = [r.tweet_id for a in (first, blocked, second) for r in a.flagged.collect()]
+    assert sorted(found) == sorted(flags)
+
+
+def test_second_run_over_new_posts_of_known_jobs(spark):
+    posts, known = make_posts(spark), make_jobs(spark)
+    first = audit_posts(posts.filter("pos < 25"), known, ["Crypto"], T0)
+    second = audit_posts(posts, known, ["Crypto"], T0, before=history(first))
+    assert second.posts.count() == 35
+    flags, filtered = expected_audit(posts.collect())
+    assert sorted(r.tweet_id for a in (first, second) for r in a.flagged.collect()) == sorted(flags)
+    for r in second.progress.collect():
+        mine = [p for p in posts.collect() if p.job_id == r.job_id]
+        assert (r.total, r.processed, r.flagged) == (len(mine), len(mine), sum(p.tweet_id in flags for p in mine))
+    assert {r.status for r in second.status.collect()} == {"done"}
+
+
+def test_unknown_jobs_are_audited(spark):
+    posts = make_posts(spark, 6, 1)
+    audit = audit_posts(posts, make_jobs(spark).limit(0), ["Crypto"], T0)
+    assert {r.tweet_id for r in audit.flagged.collect()} == {"1", "2", "3"}
+    assert [(r.job_id, r.status) for r in audit.status.collect()] == [("job-0", "done")]
+
+
+def test_texts_are_judged_once(spark):
+    audit = audit_posts(make_posts(spark), make_jobs(spark), ["Crypto"], T0)
+    for frame in (audit.flagged, audit.progress, audit.status):
+        assert "crypto" not in frame._jdf.queryExecution().executedPlan().toString().lower()
 
 
 def test_counters_from_state_and_from_tables_agree(spark):
@@ -208,16 +267,19 @@ def test_tables_by_job(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(job_bucket" in one._jdf.queryExecution().toString()
 
 
-def test_saved_runs_replace_themselves(spark, tmp_path):
-    posts, known = make_posts(spark), make_jobs(spark)
-    audit = audit_posts(posts, known, ["Crypto"], T0)
+def test_saved_runs_make_one_row_per_post_and_flag(spark, tmp_path):
+    posts, known, path = make_posts(spark), make_jobs(spark), str(tmp_path)
+    audit = audit_posts(posts.filter("pos < 30"), known, ["Crypto"], T0)
+    for _ in range(2):
+        save_audit(audit, path, "a")
     for _ in range(2):
-        save_audit(audit, str(tmp_path), "a")
-    save_audit(audit, str(tmp_path), "b")
-    flagged = spark.read.parquet(f"{tmp_path}/flagged")
-    assert flagged.count() == 2 * audit.flagged.count() and set(flagged.select("run").distinct().collect()) == {
-        ("a",), ("b",)}
-    assert spark.read.parquet(f"{tmp_path}/jobs/run=a").count() == 4
+        again = audit_posts(posts, known, ["Crypto"], T0, before=load_history(spark, path, "b"))
+        save_audit(again, path, "b")
+    for table, n in (("posts", 60), ("flagged", len(expected_audit(posts.collect())[0])), ("flagged_by_id", None)):
+        rows = spark.read.parquet(f"{path}/{table}")
+        assert rows.count() == rows.select("tweet_id").distinct().count() == (n or rows.count())
+    assert spark.read.parquet(f"{path}/jobs/run=a").count() == 4
+    assert {r.total for r in spark.read.parquet(f"{path}/jobs/run=b").filter("job_id = 'job-0'").collect()} == {30}
 
 
 def test_hot_bucket_is_split_on_write(spark, tmp_path):
@@ -230,12 +292,3 @@ def test_hot_bucket_is_split_on_write(spark, tmp_path):
         assert read_job(spark, str(tmp_path / "t"), "job-0").count() == 20000
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-
-
-def test_own_folder_only_where_none_is_set(spark, monkeypatch):
-    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-
-    class Bare:
-        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
-
-    assert session.shared_dir(Bare()) == session.shared_dir(Bare()) != spark.conf.get("spark.checkpoint.dir")

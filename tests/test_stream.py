@@ -21,6 +21,10 @@ def write_archive(folder, name, first, n=6):
     (folder / f"{name}.js").write_text("window.YTD.tweets.part0 = " + json.dumps(posts) + ";")
 
 
+def short(job):
+    return job.rsplit("/", 1)[-1].removesuffix(".js")
+
+
 def jobs_of(files):
     return files.select(job_of_path().alias("job_id")).withColumn("criteria", parse_criteria(F.lit('{"tone": "calm"}')))
 
@@ -34,7 +38,7 @@ def start(spark, folder, out, **options):
 
 
 def flags(spark, out):
-    return sorted((r.job_id, r.tweet_id, r.filter_reason) for r in spark.read.parquet(f"{out}/tables/flagged").collect())
+    return sorted((short(r.job_id), r.tweet_id, r.filter_reason) for r in spark.read.parquet(f"{out}/tables/flagged").collect())
 
 
 def test_stream_equals_batch_and_restarts(spark, tmp_path):
@@ -45,23 +49,23 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     (folder / "bad.js").write_text("nothing here")
     assert start(spark, folder, tmp_path) == 2
     batch = audit_archives(scan_archives(spark, str(folder)), jobs_of(scan_archives(spark, str(folder))), ["Crypto"], NOW)
-    expected = sorted((r.job_id, r.tweet_id, r.filter_reason) for r in batch.flagged.collect())
+    expected = sorted((short(r.job_id), r.tweet_id, r.filter_reason) for r in batch.flagged.collect())
     assert len(expected) == 12 and flags(spark, tmp_path) == expected
-    assert [r.job_id for r in spark.read.parquet(f"{tmp_path}/tables/bad_archives").collect()] == ["bad"]
-    assert {r.job_id: r.status for r in batch.status.collect()} == {
+    assert [short(r.job_id) for r in spark.read.parquet(f"{tmp_path}/tables/bad_archives").collect()] == ["bad"]
+    assert {short(r.job_id): r.status for r in batch.status.collect()} == {
         "bad": "failed", "job0": "done", "job1": "done", "job2": "done"}
     assert start(spark, folder, tmp_path) == 0 and flags(spark, tmp_path) == expected
     write_archive(folder, "job9", 900)
     assert start(spark, folder, tmp_path) == 1
     assert len(flags(spark, tmp_path)) == 16
-    counts = {r.job_id: (r.total, r.processed, r.flagged) for r in St.stream_progress(spark, f"{tmp_path}/tables").collect()}
+    counts = {short(r.job_id): (r.total, r.processed, r.flagged) for r in St.stream_progress(spark, f"{tmp_path}/tables").collect()}
     assert counts == {j: (5, 5, 4) for j in ("job0", "job1", "job2", "job9")}
 
 
 def test_quota_carries_over(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    known = spark.createDataFrame([(f"job{i}",) for i in range(9)], "job_id STRING").withColumn(
+    known = spark.createDataFrame([(f"{folder}/job{i}.js",) for i in range(9)], "job_id STRING").withColumn(
         "criteria", parse_criteria(F.lit('{"tone": "calm"}')))
     files = St.watch_archives(spark, str(folder), max_files=1)
     day = iter(NOW + dt.timedelta(days=i) for i in range(100))
@@ -70,7 +74,7 @@ def test_quota_carries_over(spark, tmp_path):
         query = St.audit_stream(files, known, ["Crypto"], f"{tmp_path}/tables", f"{tmp_path}/checkpoint", quota=2,
                                 clock=lambda: next(day)).trigger(availableNow=True).start()
         query.awaitTermination()
-    scored = [(r.job_id, r.tweet_id) for r in spark.read.parquet(f"{tmp_path}/tables/scored").collect()]
+    scored = [(short(r.job_id), r.tweet_id) for r in spark.read.parquet(f"{tmp_path}/tables/scored").collect()]
     # Three of job0 need a score, one each of the others: two per day.
     assert len(scored) == len(set(scored)) == 5
     assert sorted(scored) == [("job0", "0"), ("job0", "1"), ("job0", "5"), ("job1", "100"), ("job2", "200")]
@@ -78,6 +82,53 @@ def test_quota_carries_over(spark, tmp_path):
     assert len(flags(spark, tmp_path)) == 4
 
 
+def test_waiting_posts_of_an_earlier_batchs_jobs_are_kept(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_archive(folder, "a", 0)
+    assert start(spark, folder, tmp_path, quota=1) == 1
+    write_archive(folder, "b", 100, n=1)
+    start(spark, folder, tmp_path, quota=1)
+    tables = f"{tmp_path}/tables"
+    last = St.last_batch(spark, tables)
+    waiting = spark.read.parquet(f"{tables}/waiting/batch_id={last}")
+    assert {short(r.job_id) for r in waiting.collect()} == {"a", "b"} and waiting.count() == 3
+    state = {short(r.job_id): r.status for r in St.stream_status(spark, tables).collect()}
+    assert state == {"a": "paused_quota", "b": "paused_quota"}
+    # No new file comes: a scheduled call after the reset takes them up.
+    none = spark.createDataFrame([], "job_id STRING").withColumn("criteria", parse_criteria(F.lit("{}")))
+    for _ in range(2):
+        St.resume(spark, none, ["Crypto"], tables, quota=10, now=NOW + dt.timedelta(days=1))
+    assert spark.read.parquet(f"{tables}/waiting/batch_id={St.last_batch(spark, tables)}").count() == 0
+    assert {r.status for r in St.stream_status(spark, tables).collect()} == {"done"}
+    scored = spark.read.parquet(f"{tables}/scored")
+    assert scored.count() == scored.select("job_id", "tweet_id").distinct().count() == 4
+
+
+def test_a_post_that_comes_again_is_one_row(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    job = lambda files: files.select(F.lit("job").alias("job_id")).distinct().withColumn(
+        "criteria", parse_criteria(F.lit('{"tone": "calm"}')))
+    for i, day in enumerate((NOW, NOW + dt.timedelta(days=1))):
+        (tmp_path / "copy").mkdir(exist_ok=True)
+        write_archive(tmp_path / "copy", "same", 0)
+        posts = St.ingest(scan_archives(spark, str(tmp_path / "copy")), day, F.lit("job"))
+        St.audit_batch(spark, scan_archives(spark, str(tmp_path / "copy")), job(posts.posts), ["Crypto"],
+                       f"{tmp_path}/tables", 2 * i, day)
+    for table in ("posts", "flagged", "scored"):
+        rows = spark.read.parquet(f"{tmp_path}/tables/{table}")
+        assert rows.count() == rows.select("tweet_id").distinct().count() > 0
+
+
+def test_bad_rows_are_written(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "odd.js").write_text('x = [null, {"tweet": {"full_text": "no id"}}, {"tweet": {"id_str": "1", "full_text": "kys"}}];')
+    start(spark, folder, tmp_path)
+    assert sorted(r.pos for r in spark.read.parquet(f"{tmp_path}/tables/bad_rows").collect()) == [0, 1]
+
+
 def test_upsert_stream(spark, tmp_path):
     folder = str(tmp_path / "updates")
     ddl = "id STRING, file_id STRING, status STRING, created_at TIMESTAMP, updated_at TIMESTAMP, n BIGINT"
@@ -86,9 +137,10 @@ def test_upsert_stream(spark, tmp_path):
     for part in range(3):
         everything.filter(F.col("n") % 3 == part).coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(ddl).parquet(folder)
-        St.upsert_stream(stream, f"{tmp_path}/snap", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/snap/2")
+        St.upsert_stream(stream, f"{tmp_path}/snap", f"{tmp_path}/ck", every=2).trigger(availableNow=True).start().awaitTermination()
+    last = St.job_rows(spark, f"{tmp_path}/snap", 2, 2)
     assert sorted(last.collect()) == sorted(jobs.job_upsert(everything).select(*last.columns).collect())
+    assert (tmp_path / "snap/whole/0").exists()
 
 
 def test_daily_calls_on_events(spark):
