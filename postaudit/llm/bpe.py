@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import regex
 import sentencepiece
@@ -22,6 +23,8 @@ CACHE = 200_000
 CACHE_BYTES = 64
 """Longer pre-tokens are not remembered, which bounds the cache."""
 PIECE_TOKENS = 1 << 16
+OUT_BYTES = 4 << 20
+"""Ids that a task hands on at a time."""
 
 
 def byte_letters() -> list[str]:
@@ -153,17 +156,19 @@ def tokenise(docs: DataFrame, vocabulary: str, pattern: str, digests_only: bool
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(ranks.value, pattern)
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * (not digests_only)]
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
+            rows, held = [], 0
+            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
                 ids = own.encode(text or "")
                 decoded = hashlib.sha256(own.decode(ids)).hexdigest()
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded]
-                rows.append(row if digests_only else [*row, list(memoryview(ids).cast("I"))])
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * (not digests_only)]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+                row = [doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded]
+                rows.append(row if digests_only else [*row, np.frombuffer(ids, "<i4")])
+                held += len(ids)
+                if held > OUT_BYTES and not digests_only:  # ids of a whole batch would be many times its texts
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
