@@ -37,7 +37,7 @@ GROUP = 4096
 # ---------------------------------------------------------------- anchors
 
 
-def _least(keys: np.ndarray, width: int) -> np.ndarray:
+def running_least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least key of each window of `width` keys, from running minima of blocks in both directions."""
     n = len(keys)
     blocks = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -62,7 +62,7 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator
         hashes *= np.uint64(0xD6E8FEB86659FD93)
         hashes ^= hashes >> np.uint64(32)
         keys = (hashes & ~low) | np.arange(size, dtype=np.uint64)  # of equal grams the first
-        chosen = (_least(keys, length - gram + 1) & low).astype(np.int64)
+        chosen = (running_least(keys, length - gram + 1) & low).astype(np.int64)
         turn = np.flatnonzero(chosen[1:] != chosen[:-1]) + 1
         first, last = np.concatenate([[0], turn]), np.concatenate([turn - 1, [len(chosen) - 1]])
         yield first + at, last + at, hashes[chosen[first]].view(np.int64)
