@@ -17,11 +17,12 @@ FLAGGED, NEEDS_SCORING, PROCESSED = "flagged_now", "needs_scoring", "processed"
 Policy = Sequence[str] | DataFrame | None
 
 
-def route(posts: DataFrame, policy: Policy, scorer_present: bool = True) -> DataFrame:
+def route(posts: DataFrame, policy: Policy, scorer_present: bool = True, whole_words: bool = False,
+          forbidden_words: bool = False) -> DataFrame:
     """Adds `filter_result` and `route` to posts that carry their job's criteria.
 
     `policy` is a list of phrases, a table (rank, phrase) of any size, or None: without a policy no filter
-    applies, the fixed ones neither.
+    applies, the fixed ones neither. `whole_words` and `forbidden_words` are options of a list, see apply_cascade.
     """
     rest = NEEDS_SCORING if scorer_present else PROCESSED
     if policy is None:
@@ -30,7 +31,7 @@ def route(posts: DataFrame, policy: Policy, scorer_present: bool = True) -> Data
     elif isinstance(policy, DataFrame):
         judged = apply_policy_cascade(posts, policy, has_own_criteria())
     else:
-        judged = apply_cascade(posts, policy, has_own_criteria())
+        judged = apply_cascade(posts, policy, has_own_criteria(), whole_words, forbidden_words)
     return judged.withColumn(
         "route", F.when(F.col("filter_result").isNotNull(), FLAGGED).otherwise(rest))
 

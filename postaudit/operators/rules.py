@@ -60,12 +60,16 @@ def keep_flagged(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("result.should_flag"))
 
 
-def first_phrase(low: Column, phrases: Sequence[str]) -> Column:
-    """Position in `phrases` of the first one contained, NULL when none is; empty ones are skipped."""
+def first_phrase(low: Column, phrases: Sequence[str], whole_words: bool = False) -> Column:
+    """Position in `phrases` of the first one contained, NULL when none is; empty ones are skipped.
+
+    With `whole_words` a phrase counts only where no letter, digit or underscore adjoins it.
+    """
     chain = None
     for rank, phrase in enumerate(phrases):
         if phrase:
-            hit = F.contains(low, F.lower(F.lit(phrase)))
+            hit = (F.rlike(low, F.lit(rf"(?U)(?<!\w)\Q{phrase.lower()}\E(?!\w)")) if whole_words
+                   else F.contains(low, F.lower(F.lit(phrase))))
             chain = F.when(hit, rank) if chain is None else chain.when(hit, rank)
     return F.lit(None).cast("int") if chain is None else chain
 
@@ -75,7 +79,8 @@ def bind_phrase(posts: DataFrame, phrases: Sequence[str]) -> DataFrame:
     return bind(bind_lowered(posts), "_rank", first_phrase(F.col("_low"), phrases)).drop("_low")
 
 
-def bind_step(posts: DataFrame, phrases: Sequence[str], gate: Column | None = None) -> DataFrame:
+def bind_step(posts: DataFrame, phrases: Sequence[str], gate: Column | None = None,
+              whole_words: bool = False) -> DataFrame:
     """Add `_step`, the first step of the cascade that hits `_low`.
 
     A position in `phrases`, then one number for threat and one for hate; NULL for no hit and
@@ -83,7 +88,7 @@ def bind_step(posts: DataFrame, phrases: Sequence[str], gate: Column | None = No
     """
     low, threat, hate = F.col("_low"), len(phrases), len(phrases) + 1
     step = F.coalesce(
-        first_phrase(low, phrases),
+        first_phrase(low, phrases, whole_words),
         F.when(contains_any(low, S.CASCADE_THREAT), threat),
         F.when(contains_any(low, S.CASCADE_HATE), hate))
     return bind(posts, "_step", step if gate is None else F.when(gate, step))
@@ -103,10 +108,20 @@ def cascade_result(step: Column, phrases: Sequence[str]) -> Column:
     ))
 
 
-def apply_cascade(posts: DataFrame, phrases: Sequence[str], gate: Column | None = None) -> DataFrame:
-    """Adds `filter_result`; rows for which `gate` does not hold are not looked at."""
-    return bind_step(bind_lowered(posts), phrases, gate).withColumn(
-        "filter_result", cascade_result(F.col("_step"), phrases)).drop("_low", "_step")
+def apply_cascade(posts: DataFrame, phrases: Sequence[str], gate: Column | None = None, whole_words: bool = False,
+                  forbidden_words: bool = False) -> DataFrame:
+    """Adds `filter_result`; rows for which `gate` does not hold are not looked at.
+
+    With `forbidden_words`, a word that the job's own criteria forbid blocks like a phrase, after the phrases.
+    """
+    stepped, result = bind_step(bind_lowered(posts), phrases, gate, whole_words), cascade_result(F.col("_step"), phrases)
+    if forbidden_words:
+        word = F.get(F.filter("criteria.forbidden_words", lambda w: (w != "") & F.contains(F.col("_low"), F.lower(w))), F.lit(0))
+        word = word if gate is None else F.when(gate, word)
+        blocked = F.struct(F.lit("blocked_phrase").alias("filter_reason"), F.lit(1.0).alias("score"),
+                           F.concat(F.lit(S.REASON_BLOCKED), word).alias("reason"))
+        result = F.when(F.col("_step") < len(phrases), result).when(word.isNotNull(), blocked).otherwise(result)
+    return stepped.withColumn("filter_result", result).drop("_low", "_step")
 
 
 def apply_policy_cascade(posts: DataFrame, policy: DataFrame, gate: Column | None = None) -> DataFrame:

@@ -140,3 +140,18 @@ def test_one_pass_equals_union(spark):
     once = routing.flag_in_one_pass(frame, ["crypto"], stamp)
     assert sorted(union.collect()) == sorted(once.collect())
     assert union.count() == 4
+
+
+def test_options_of_a_list(spark):
+    crit = "named_struct('forbidden_words', array('', 'Fog', 'zz'))"
+    frame = texts(spark, ["a cat.", "category", "dense FOG, cat", "fog and go die", "go die", "clear"]).withColumn(
+        "criteria", F.expr(f"CASE WHEN pos <> 5 THEN {crit} END"))
+
+    def reasons(**options):
+        rows = routing.route(frame, ["Cat"], **options).orderBy("pos").collect()
+        return [r.filter_result and r.filter_result.reason for r in rows]
+
+    cat, fog, threat = "Contains blocked phrase: Cat", "Contains blocked phrase: Fog", S.REASON_CASCADE_THREAT
+    assert reasons() == [cat, cat, cat, threat, threat, None]
+    assert reasons(whole_words=True) == [cat, None, cat, threat, threat, None]
+    assert reasons(forbidden_words=True) == [cat, cat, cat, fog, threat, None]
