@@ -81,7 +81,7 @@ def logistic(margins: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple
     return max(slope, 1e-6), offset
 
 def train(rows: list[tuple[int, np.ndarray]], share: float) -> Model:
-    """Fit on (label, indicators); `share` of all labelled rows have label 1, which the scores are calibrated to.
+    """Fit on (label, indicators); `share` of the labelled rows that are not held out have label 1, which the scores are calibrated to.
 
     Four fifths give ratios and weights whose margins on the last fifth fit the calibration; with one label
     only, the score is constant: near that label.
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most: in
     texts into indicators; only these, bounded by the sample and the number of buckets, reach the driver.
     """
     own = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    both = own.join(docs.select("doc_id"), "doc_id", "left_semi")
+    both = own.filter(~held_out(F.col("doc_id"))).join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r["label"]: r["count"] for r in both.groupBy("label").count().collect()}  # two rows
     sample = labelled_sample(both, per_label, most)
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postaudit.llm import features, langid, quality
 
@@ -110,3 +111,9 @@ def test_pieces_cut_at_white_space():
     parts = list(features.pieces(raw, 50))
     assert np.concatenate(parts).tolist() == raw.tolist() and max(map(len, parts)) <= 50
     assert all(features.SPACE[p[-1]] for p in parts[:-1])
+
+
+def test_held_out_labels_do_not_set_the_calibration(spark, docs, labels):
+    turned = labels.withColumn("quality", F.when(features.held_out(F.col("doc_id")), 1).otherwise(F.col("quality")))
+    a, b = quality.fit(docs, labels), quality.fit(docs, turned)
+    assert (a.slope, a.offset) == (b.slope, b.offset)
