@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from postaudit.llm import bpe, exact, langid, mixing, passages, quality, simhash, suffix, vptree, warc
+from postaudit.llm import bpe, divergence, exact, langid, mixing, passages, phrases, quality, simhash, suffix, vptree, warc
 from postaudit.llm.common import table
 
 
@@ -125,6 +125,82 @@ FROM bits
 """
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sized AS (SELECT lang, w, unnest(range(1, 1 + least(5, len(w)))) AS size FROM split),
+grams AS (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM sized),
+counts AS (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+    FROM grams GROUP BY ALL HAVING count(*) >= 100),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+several AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1),
+kept AS (
+    SELECT * FROM several s WHERE NOT EXISTS (
+        SELECT 1 FROM several b WHERE b.lang = s.lang AND b.size > s.size AND 100 * b.a >= 100 * s.a
+          AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM kept),
+scored AS (
+    SELECT c.lang, c.phrase, c.k, c.a, h.f AS l, t.f AS r, words.n,
+           (1000::HUGEINT * c.a * words.n // (h.f::HUGEINT * t.f))::BIGINT AS score
+    FROM cuts c
+    JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.k + 1:], ' ')
+    JOIN words ON words.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           row_number() OVER () AS row FROM documents),
+split AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS q FROM split GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+vocab AS (SELECT lang, count(*) AS v, sum(q)::BIGINT AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM split JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+    SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(v.n, 0) AS lang_n,
+           coalesce((SELECT sum(c) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::BIGINT AS n
+    FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN vocab v ON v.lang = g.lang),
+chances AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+           (1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (g.n + 2 * g.v))::BIGINT AS p,
+           (1 + 1000000000::HUGEINT * (k.q + 2) // (g.lang_n + 2 * g.v))::BIGINT AS q
+    FROM groups g JOIN kept k ON k.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p)::HUGEINT * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+    FROM chances a JOIN chances b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q)::HUGEINT * (p - q) // (p + q))::BIGINT AS value
+    FROM chances WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -137,6 +213,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_vantage_point_search": op9_vantage_point_search,
         "op10_warc_packages": op10_warc_packages,
+        "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_source_divergence": op12_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -147,4 +225,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": OP8_SQL,
         "op9_vantage_point_search": OP9_SQL,
         "op10_warc_packages": OP10_SQL,
+        "op11_phrase_collocations": OP11_SQL,
+        "op12_source_divergence": OP12_SQL,
     }
