@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,11 @@ LONGEST = 5
 TOP = 2000
 COVER = 100
 """A phrase goes if a longer candidate around it occurs in this many of 100 of its places."""
-SAMPLE = 4
+SAMPLE = 8
 """One document in so many proposes phrases; results don't depend on it."""
 MARGIN = 0.3
 """What is proposed has this share of the count that a phrase of `least` occurrences is expected to have in the sample."""
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 """Bytes of text whose phrases a task counts at once."""
 FILTER_BITS = 1 << 27
 """Most bits of a filter (16 MB); beyond 2**23 proposed phrases it lets more pass, which costs time and changes no result."""
@@ -32,7 +33,7 @@ FILTER_BITS = 1 << 27
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _NEXT = {n: re.compile(rb"(?:[ \t]*[^ \t\n]+){0,%d}" % n) for n in range(1, 16)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_COUNTED = "lang string, n int, phrase string, f long"
+_COUNTED = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
 # ---------------------------------------------------------------- hashes and filters
@@ -77,26 +78,18 @@ class Filter:
         return found
 
 
-def phrase_hashes(langs, phrases) -> np.ndarray:
-    """The hash of each (lang, phrase)."""
-    made = np.zeros(len(phrases), np.uint64)
-    for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-        words = phrase.encode("utf-8", "surrogatepass").split(b" ")
-        made[i] = fold(seed_of(lang), [np.array([word_hash(w)], np.uint64) for w in words])[0]
-    return made
-
-
-def make_filter(phrases: DataFrame) -> Filter:
-    """The filter of `phrases` (lang, phrase). Tasks set bits, which are merged by cell: only cells reach the driver."""
-    bits = Filter.bits_for(phrases.count())
+def make_filter(hashes: DataFrame) -> Filter:
+    """The filter of `hashes` (h). Tasks set bits, which are merged by cell: only cells reach the driver."""
+    bits = Filter.bits_for(hashes.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = np.unique(np.concatenate(Filter.places(phrase_hashes(batch["lang"], batch["phrase"]), bits)))
+            own = batch["h"].to_numpy(np.int64).view(np.uint64)
+            at = np.unique(np.concatenate(Filter.places(own, bits)))
             one = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
             yield pd.DataFrame({"cell": (at >> np.uint64(6)).astype(np.int64), "bits": one})
 
-    made = phrases.select("lang", "phrase").mapInPandas(run, "cell long, bits long")
+    made = hashes.select("h").mapInPandas(run, "cell long, bits long")
     found = made.groupBy("cell").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
     cells = np.zeros(bits // 64, np.uint64)
     cells[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
@@ -129,13 +122,22 @@ def parts(text: str, longest: int, limit: int) -> Iterator[tuple[bytes, bytes]]:
     yield raw[start:], b""
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Number of each key among the different ones, the first place of each of those, and how many they are."""
+    codes, found = pd.factorize(keys)
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return codes, first, len(found)
+
+
 def count_phrases(raw: bytes, after: bytes, lang: str, lengths: range, known: int, proposed: Filter | None,
-                  fresh: Filter | None) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(n, phrases, counts) of the phrases that begin in `raw`.
+                  fresh: Filter | None) -> Iterator[tuple[np.ndarray, list[str] | None, np.ndarray]]:
+    """(hashes, phrases or None, counts) of the phrases that begin in `raw`.
 
-    Words are all counted. A longer phrase is counted if `proposed` holds what it is without its last and without its
-    first word, which it does for all that is proposed and for its negative border; of phrases over `known` words it says
-    nothing, and those count as held if they were counted. With `fresh`, one of the two must be in that too.
+    A phrase of several words is looked at if it is held without its last and without its first word: by `proposed`, or,
+    beyond `known` words, by having been looked at. So all that is proposed is counted, by its words, and its
+    negative border by hash (by its words at the greatest length); every word belongs to one or the other. With `fresh`,
+    only phrases in it or with a part in it are counted, all by their words, and all of those are held.
     """
     mark = raw.replace(b"\n", b" . ").split()  # a lone full stop can't be a word
     own = len(mark)
@@ -143,63 +145,85 @@ def count_phrases(raw: bytes, after: bytes, lang: str, lengths: range, known: in
     names = [b"."] + list(set(mark) - {b"."})
     place = dict(zip(names, range(len(names))))
     codes = np.fromiter(map(place.__getitem__, mark), np.int64, len(mark))
-    if 1 in lengths and own:
-        counts = np.bincount(codes[:own], minlength=len(names))
-        counts[0] = 0
-        at = np.flatnonzero(counts)
-        yield 1, [names[i].decode("utf-8", "surrogatepass") for i in at], counts[at]
-    if proposed is None or lengths.stop <= 2:
-        return
+    del mark, place
     seed, hashes = seed_of(lang), np.array([word_hash(w) for w in names], np.uint64)
-    one = fold(seed, [hashes])
-    held = proposed.has(one)
-    held[0] = False
-    ok, rank = held[codes], codes
-    new = fresh.has(one)[codes] if fresh else None
-    for n in range(2, lengths.stop):
-        at = np.flatnonzero(ok[:-1] & ok[1:])
-        if not len(at):
-            return
-        key, first, inverse = np.unique(rank[at] * len(names) + codes[at + n - 1], return_index=True, return_inverse=True)
-        first = at[first]
-        if n in lengths:
-            counts = np.bincount(inverse[at < own], minlength=len(key))
-            sent = np.flatnonzero((counts > 0) & (new[first] | new[first + 1]) if fresh else counts > 0)
-            words = codes[first[sent][:, None] + np.arange(n)].tolist()
-            yield n, [b" ".join([names[c] for c in row]).decode("utf-8", "surrogatepass") for row in words], counts[sent]
-        ok, rank_next = np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
-        rank_next[at], rank = inverse, rank_next
-        if n <= known or fresh:
-            hashed = fold(seed, [hashes[codes[first + k]] for k in range(n)])
-        ok[at] = proposed.has(hashed)[inverse] if n <= known else True
+    at, rank, first, size = np.arange(len(codes)), codes, None, len(names)
+    ok, new = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+    for n in range(1, lengths.stop):
+        if n == 1:
+            words = np.arange(len(names))[:, None]
+            hashed = fold(seed, [hashes])
+            counts = np.bincount(codes[:own], minlength=size)
+            counts[0] = 0
+        else:
+            at = np.flatnonzero(ok[:-1] & ok[1:])
+            if not len(at):
+                return
+            inverse, first, size = distinct(rank[at] * len(names) + codes[at + n - 1])
+            first = at[first]
+            words = codes[first[:, None] + np.arange(n)]
+            hashed = fold(seed, [hashes[words[:, k]] for k in range(n)])
+            counts = np.bincount(inverse[at < own], minlength=size)
+        held = proposed.has(hashed) if proposed and n <= known else np.full(size, n > 1)
         if fresh:
-            new = np.zeros(len(codes), bool)
-            new[at] = fresh.has(hashed)[inverse]
+            part = fresh.has(hashed)
+            if n > 1:
+                part |= new[first] | new[first + 1]
+            held |= part
+            spoken, silent = part, np.zeros(size, bool)
+        else:
+            spoken = held & (n <= known) if lengths.start == 1 and proposed else np.zeros(size, bool)
+            if proposed and n > known and n == lengths.stop - 1 and lengths.start == 1:
+                spoken = np.ones(size, bool)
+            silent = ~spoken
+        if n in lengths:
+            named = np.flatnonzero(spoken & (counts > 0))
+            if len(named):
+                phrases = [b" ".join([names[c] for c in row]).decode("utf-8", "surrogatepass") for row in words[named].tolist()]
+                yield hashed[named], phrases, counts[named]
+            rest = np.flatnonzero(silent & (counts > 0))
+            if len(rest):
+                yield hashed[rest], None, counts[rest]
+            if n == 1 and not fresh:
+                yield np.zeros(1, np.uint64), [""], counts.sum(keepdims=True)
+        if n == 1:
+            held[0] = False
+            ok, rank = held[codes], codes
+            new = part[codes] if fresh else new
+        else:
+            ok, rank = np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
+            ok[at], rank[at] = held[inverse], inverse
+            if fresh:
+                new = np.zeros(len(codes), bool)
+                new[at] = part[inverse]
 
 
 def counted(docs: DataFrame, lengths: range, known: int = 0, proposed: Filter | None = None, fresh: Filter | None = None,
             chunk: int = CHUNK) -> DataFrame:
-    """lang, n, phrase, f of what `count_phrases` counts in `docs` (lang, text); a row with n = 0 has a lang's words."""
+    """h, lang, phrase, f of what `count_phrases` counts in `docs` (lang, text); lang and phrase are null where only the
+    hash is kept, and the row with phrase '' has all words of a lang.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((proposed, fresh))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
         size = 0
 
-        def rows(lang: str, raw: bytes, after: bytes = b"") -> Iterator[pd.DataFrame]:
-            for n, phrases, counts in count_phrases(raw, after, lang, lengths, known, *sent.value):
-                yield pd.DataFrame({"lang": lang, "n": n, "phrase": pd.Series(phrases, dtype=object), "f": counts})
-                if n == 1:
-                    yield pd.DataFrame({"lang": [lang], "n": [0], "phrase": [""], "f": [counts.sum()]})
+        def rows(lang: str, raw: bytes, after: bytes = b"") -> Iterator[pa.RecordBatch]:
+            for hashed, phrases, counts in count_phrases(raw, after, lang, lengths, known, *sent.value):
+                n = len(hashed)
+                texts = [pa.array([lang] * n, pa.string()), pa.array(phrases, pa.string())] if phrases else [pa.nulls(n, pa.string())] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(hashed.view(np.int64)), *texts, pa.array(counts)], schema=_COUNTED)
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             for lang, raws in waiting.items():
                 yield from rows(lang, b"\n".join(raws))
             waiting.clear()
 
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"]):
-                for part, after in parts(text, lengths.stop - 1, chunk):
+            for i in range(batch.num_rows):  # one text at a time leaves Arrow's memory
+                lang = batch.column(0)[i].as_py()
+                for part, after in parts(batch.column(1)[i].as_py(), lengths.stop - 1, chunk):
                     if after:
                         yield from rows(lang, part, after)
                         continue
@@ -210,17 +234,18 @@ def counted(docs: DataFrame, lengths: range, known: int = 0, proposed: Filter |
                         size = 0
         yield from flush()
 
-    return docs.select("lang", "text").mapInPandas(run, _COUNTED).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    made = docs.select("lang", "text").mapInArrow(run, "h long, lang string, phrase string, f long")
+    return made.groupBy("h", "lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 # ---------------------------------------------------------------- mining
 
 
 def propose(docs: DataFrame, least: int, longest: int, sample: int, folder: str | None = None) -> DataFrame:
-    """(lang, phrase) of what is frequent in the sample, up to longest - 1 words; whatever it misses, passes mend."""
+    """(h) of what is frequent in the sample, up to longest - 1 words; whatever it misses, the passes mend."""
     some = docs.filter(F.pmod(F.xxhash64("place", "text"), F.lit(sample)) == 0)
     enough = F.col("f") >= max(1, math.ceil(MARGIN * least / sample))
-    keep = lambda found: materialise(found.filter((F.col("n") > 0) & enough).select("lang", "phrase"), folder)
+    keep = lambda found: materialise(found.filter(F.col("phrase").isNull() & enough).select("h"), folder)
     found = keep(counted(some, range(1, 2)))
     if longest > 2:
         found = found.union(keep(counted(some, range(2, 3), 1, make_filter(found))))
@@ -231,35 +256,25 @@ def propose(docs: DataFrame, least: int, longest: int, sample: int, folder: str
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE,
              folder: str | None = None) -> tuple[DataFrame, int]:
-    """lang, n, phrase, f of every phrase of 1 to `longest` words with f >= `least`, exactly, and the full passes taken.
+    """lang, phrase, f of every phrase of 1 to `longest` words with f >= `least`, exactly, and the full passes taken.
 
-    `docs` has place, lang and text. The first full pass counts all words, what the sample proposed and its
-    negative border. A border phrase that proves frequent is a failure: it may be part of phrases that no pass has
-    counted. Failures join what is proposed, and a pass counts the phrases that hold one, until none is new.
+    `docs` has place, lang and text; the row with phrase '' has all words of a lang. The first full pass counts what the
+    sample proposed and its negative border, which holds every other word. Border phrases are counted by hash, and a sum
+    of `least` or more is a failure: it, and phrases around it that no pass has counted, may be frequent. A phrase that
+    the first pass left out has a part that is held by nothing and whose own parts are all held: a failure, if the phrase is
+    frequent. So one expansion over all phrases with a failure in them, by their words, closes the border.
     """
-    proposed = propose(docs, least, longest, sample, folder)
-    known = longest - 1
-    own = make_filter(proposed)
-    found = materialise(counted(docs, range(1, longest + 1), known, own).filter((F.col("n") == 0) | (F.col("f") >= least)), folder)
-    passes, last = 1, found
-    while True:
-        sent = docs.sparkSession.sparkContext.broadcast(own)
-
-        def missed(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[~sent.value.has(phrase_hashes(batch["lang"], batch["phrase"]))].astype(object)
-
-        failures = materialise(last.filter((F.col("n") > 0) & (F.col("n") <= known)).select("lang", "phrase")
-                               .mapInPandas(missed, "lang string, phrase string"), folder)
-        if failures.isEmpty():
-            return found, passes
-        proposed = proposed.union(failures)
-        own = make_filter(proposed)
-        last = materialise(counted(docs, range(2, longest + 1), known, own, make_filter(failures))
-                           .filter(F.col("f") >= least), folder)
-        # A phrase that two passes have counted has the same total in both.
-        found = materialise(found.union(last).groupBy("lang", "n", "phrase").agg(F.max("f").alias("f")), folder)
-        passes += 1
+    first = make_filter(propose(docs, least, longest, sample, folder))
+    enough = (F.col("f") >= least) | (F.col("phrase") == "")
+    found = materialise(counted(docs, range(1, longest + 1), longest - 1, first).filter(enough), folder)
+    failures = found.filter("phrase IS NULL").select("h")
+    named = found.filter("phrase IS NOT NULL").select("lang", "phrase", "f")
+    if failures.isEmpty():
+        return named, 1
+    more = counted(docs, range(1, longest + 1), longest - 1, first, make_filter(failures)).filter(F.col("f") >= least)
+    # A phrase that both passes have counted by its words has the same total in both.
+    both = named.unionByName(more.select("lang", "phrase", "f")).groupBy("lang", "phrase").agg(F.max("f").alias("f"))
+    return materialise(both, folder), 2
 
 
 def top_of_groups(rows: DataFrame, group: str, order: list, k: int, spread) -> DataFrame:
@@ -290,10 +305,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     rows = docs.select(F.col("doc_id").alias("place"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce("text", F.lit("")).alias("text"))
     found, _ = frequent(rows, least, longest, sample, folder)
-    words = found.filter("n = 0").select("lang", F.col("f").alias("words"))
-    counts = found.filter("n > 0").select("lang", "phrase", "f")
-    several = found.filter("n > 1").select("lang", "phrase", F.col("f").alias("a"), F.col("n").alias("size"),
-                                           F.split("phrase", " ").alias("w"))
+    words = found.filter("phrase = ''").select("lang", F.col("f").alias("words"))
+    counts = found.filter("phrase <> ''").select("lang", "phrase", "f")
+    several = counts.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
+    several = several.withColumn("size", F.size("w")).filter("size > 1")
     inner = several.filter("size > 2").select("lang", "a", "w", F.explode(F.expr("sequence(2, size - 1)")).alias("m"))
     inner = inner.select("lang", "a", "w", "m", F.explode(F.expr("sequence(1, size(w) - m + 1)")).alias("i"))
     around = (inner.select("lang", F.array_join(F.slice("w", F.col("i"), F.col("m")), " ").alias("phrase"), "a")
