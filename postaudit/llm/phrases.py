@@ -25,7 +25,7 @@ SAMPLE = 8
 """One document in so many proposes phrases; results don't depend on it."""
 MARGIN = 0.3
 """What is proposed has this share of the count that a phrase of `least` occurrences is expected to have in the sample."""
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 """Bytes of text whose phrases a task counts at once."""
 FILTER_BITS = 1 << 27
 """Most bits of a filter (16 MB); beyond 2**23 proposed phrases it lets more pass, which costs time and changes no result."""
@@ -33,6 +33,7 @@ FILTER_BITS = 1 << 27
 _MARKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _NEXT = {n: re.compile(rb"(?:[ \t]*[^ \t\n]+){0,%d}" % n) for n in range(1, 16)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_KEPT = np.uint64(0xFFFFFFFFFFFF0000)  # 48 bits; phrases that share them only add to a border sum, which is an upper bound
 _COUNTED = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -49,7 +50,7 @@ def fold(seed: int, words: list[np.ndarray]) -> np.ndarray:
     for word in words:
         made = (made ^ word) * _MIX
         made ^= made >> np.uint64(29)
-    return made
+    return made & _KEPT
 
 
 def word_hash(word: bytes) -> int:
@@ -235,7 +236,7 @@ def counted(docs: DataFrame, lengths: range, known: int = 0, proposed: Filter |
         yield from flush()
 
     made = docs.select("lang", "text").mapInArrow(run, "h long, lang string, phrase string, f long")
-    return made.groupBy("h", "lang", "phrase").agg(F.sum("f").alias("f"))
+    return made.groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f"))
 
 
 # ---------------------------------------------------------------- mining
