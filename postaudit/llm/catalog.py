@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from postaudit.llm import bpe, divergence, exact, langid, mixing, passages, phrases, quality, simhash, suffix, vptree, warc
+from postaudit.llm import bpe, descent, divergence, exact, langid, mixing, passages, phrases, quality, simhash, suffix, vptree, warc
 from postaudit.llm.common import table
 
 
@@ -201,6 +201,10 @@ FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' O
 """
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_dedup(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -215,6 +219,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc_packages": op10_warc_packages,
         "op11_phrase_collocations": op11_phrase_collocations,
         "op12_source_divergence": op12_source_divergence,
+        "op13_embedding_near_dedup": op13_embedding_near_dedup,
         "pipeline": corpus_pipeline.run,
     }
 

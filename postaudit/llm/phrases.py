@@ -23,7 +23,7 @@ COVER = 100
 """A phrase goes if a longer candidate around it occurs in this many of 100 of its places."""
 SAMPLE = 8
 """One document in so many proposes phrases; results don't depend on it."""
-MARGIN = 0.3
+MARGIN = 0.6
 """What is proposed has this share of the count that a phrase of `least` occurrences is expected to have in the sample."""
 CHUNK = 2 << 20
 """Bytes of text whose phrases a task counts at once."""
