@@ -1,63 +1,120 @@
-"""Blocked phrases held in a table (rank, phrase) instead of a list."""
+"""Blocked phrases held in a table (rank, phrase) instead of a list: an index by rare grams, joined with the texts' grams."""
 
 from __future__ import annotations
 
-import math
-
-import ahocorasick
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
+from postaudit.session import materialise
+
+GRAM = 4
+"""Characters of a gram; a shorter phrase is its own gram."""
+SAMPLE = 64
+"""One text in so many tells how often a gram occurs; that only decides which gram a phrase is found by."""
+HOT_SHARE = 1000
+"""A gram that more than one text in so many has is hot, and its texts are dealt to several tasks,"""
+HOT_LEAST = 1000
+"""if so many sampled texts have it."""
+
+
+def text_key(low: Column) -> Column:
+    """Equal texts hold equal phrases, so each different text is searched once."""
+    return F.unhex(F.sha2(low, 256))
+
+
+def grams(low: Column, size: int) -> Column:
+    """Hashes of the different runs of `size` characters of a text."""
+    chars = F.split(low, "")
+    starts = F.sequence(F.lit(1), F.length(low) - size + 1)
+    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(chars, i, F.lit(size)), "")))
+    return F.array_distinct(F.when(F.length(low) >= size, runs).otherwise(F.array().cast("array<bigint>")))
+
+
+def whole_word(low: Column, phrase: Column) -> Column:
+    """Whether `low` holds `phrase` where no letter, digit or underscore adjoins it."""
+    # A lower-cased phrase holds no \\E, which would end the quotation.
+    return F.rlike(low, F.concat(F.lit(r"(?U)(?<!\w)\Q"), phrase, F.lit(r"\E(?!\w)")))
+
+
+def phrase_index(policy: DataFrame, texts: DataFrame, size: int = GRAM) -> tuple[DataFrame, list[int]]:
+    """(gram, low, rank, phrase, often) with the gram that each phrase is found by, and the lengths of grams in use.
 
-PIECE_BYTES = 16 << 20
-"""Phrases that a task searches for at once; a larger policy is searched for in several pieces."""
+    A phrase is found by the gram that fewest of the sampled `texts` (key, low) have. Equal phrases are one, that of lowest rank.
+    """
+    wanted = (policy.filter(F.coalesce("phrase", F.lit("")) != "")
+              .select(F.lower("phrase").alias("low"), F.struct(F.col("rank").cast("bigint").alias("rank"), "phrase").alias("named"))
+              .groupBy("low").agg(F.min("named").alias("named")).withColumn("size", F.least(F.length("low"), F.lit(size))))
+    wanted = materialise(wanted.select("low", "named.rank", "named.phrase", "size"))
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())  # `size` rows at most
+    some = texts.filter(F.pmod(F.hash("key"), F.lit(SAMPLE)) == 0)
+    seen = explode_grams(some, sizes).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    own = wanted.select("low", "rank", "phrase", F.explode(_by_size(F.col("low"), sizes, F.col("size"))).alias("gram"))
+    rated = own.join(seen, "gram", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    rarest = rated.groupBy("low", "rank", "phrase").agg(F.min(F.struct("often", "gram")).alias("by"))
+    return materialise(rarest.select("by.gram", "low", "rank", "phrase", "by.often")), sizes
+
+
+def _by_size(low: Column, sizes: list[int], size: Column) -> Column:
+    chosen = F.array().cast("array<bigint>")
+    for n in sizes:
+        chosen = F.when(size == n, grams(low, n)).otherwise(chosen)
+    return chosen
+
+
+def explode_grams(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, gram) of each text's different grams of the given lengths."""
+    every = F.flatten(F.array(*[grams(F.col("low"), n) for n in sizes])) if sizes else F.array().cast("array<bigint>")
+    return texts.select("key", F.explode(every).alias("gram"))
 
-_FOUND = "rank bigint, phrase string"
 
+def candidates(texts: DataFrame, index: DataFrame, sizes: list[int]) -> DataFrame:
+    """(key, low_phrase, rank, phrase): phrases whose gram a text has; only keys and grams move.
+
+    Hot grams are known from the sample. A text has few grams for its length, so few grams can be in one text of a
+    thousand: they are broadcast, and the rows that have one are dealt to parts, each with its own copy of the phrases.
+    """
+    total = texts.filter(F.pmod(F.hash("key"), F.lit(SAMPLE)) == 0).count()
+    parts = F.greatest(F.ceil(F.col("often") / max(total / HOT_SHARE, HOT_LEAST)), F.lit(1)).cast("int").alias("parts")
+    rated = index.select(*index.columns, parts)
+    hot = rated.filter("parts > 1").select("gram", "parts").distinct()
+    found = explode_grams(texts, sizes).join(F.broadcast(hot), "gram", "left")
+    found = found.select("key", "gram", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).alias("part"))
+    copies = F.explode(F.expr("sequence(0L, CAST(parts - 1 AS BIGINT))")).alias("part")
+    dealt = rated.select("gram", F.col("low").alias("low_phrase"), "rank", "phrase", copies)
+    return found.join(dealt, ["gram", "part"]).select("key", "low_phrase", "rank", "phrase")
 
-def _searcher(rows: list[tuple[str, int, str]], spark) -> callable:
-    """A column function from lower-cased text to the contained phrase of lowest rank, in one pass over the text."""
-    sent = spark.sparkContext.broadcast(rows)
-    made: dict[str, ahocorasick.Automaton] = {}
 
-    @F.pandas_udf(_FOUND)
-    def first(lows: pd.Series) -> pd.DataFrame:
-        if "own" not in made:
-            own = ahocorasick.Automaton()
-            for low, rank, phrase in sent.value:
-                own.add_word(low, min((rank, phrase), own.get(low, (rank, phrase))))
-            own.make_automaton()
-            made["own"] = own
-        found = [min((hit for _, hit in made["own"].iter(low)), default=(None, None)) if low else (None, None)
-                 for low in lows]
-        return pd.DataFrame({"rank": pd.array([r for r, _ in found], "Int64"), "phrase": [p for _, p in found]})
+def first_phrases(texts: DataFrame, policy: DataFrame, whole_words: bool = False, size: int = GRAM) -> DataFrame:
+    """(key, first) of the texts (key, low; different) that hold a phrase; first is struct(rank, phrase) of the lowest rank.
 
-    return first
+    Each candidate is confirmed in the whole text, so a hash that two grams share changes nothing. Neither texts nor
+    phrases are ever collected: a text has one row per candidate, and those are reduced by aggregation.
+    """
+    index, sizes = phrase_index(policy, texts, size)
+    met = texts.join(candidates(texts, index, sizes), "key")
+    low, phrase = F.col("low"), F.col("low_phrase")
+    held = met.filter(F.contains(low, phrase) & (whole_word(low, phrase) if whole_words else F.lit(True)))
+    return held.groupBy("key").agg(F.min(F.struct("rank", "phrase")).alias("first"))
 
 
-def first_of_policy(policy: DataFrame, low: Column, piece_bytes: int = PIECE_BYTES) -> Column:
-    """struct(rank, phrase) of the policy's first phrase that lower-cased text `low` contains, NULL where none is.
+def with_first_phrase(posts: DataFrame, policy: DataFrame, gate: Column | None = None, whole_words: bool = False,
+                      size: int = GRAM) -> DataFrame:
+    """`posts` with `_first`, struct(rank, phrase) of the policy's first phrase that the lower-cased text contains.
 
-    Empty phrases are skipped. Pieces of bounded size go to the tasks, as many as the policy needs; each
-    is one pass over the texts, whatever the number of its phrases.
+    NULL where none is, where the text is NULL and where `gate` does not hold. Empty phrases are skipped; a policy without
+    phrases finds nothing. Equal texts are merged before anything else, so a text that a third of all posts
+    repeat is looked at once.
     """
-    spark = policy.sparkSession
-    wanted = policy.filter(F.coalesce("phrase", F.lit("")) != "").select(
-        F.lower("phrase").alias("low"), F.col("rank").cast("bigint").alias("rank"), "phrase")
-    size = wanted.agg(F.sum(F.octet_length("low") + F.octet_length("phrase") + 64)).first()[0] or 0
-    pieces, best = max(1, math.ceil(size / piece_bytes)), F.lit(None).cast(f"struct<{_FOUND}>")
-    for piece in range(pieces if size else 0):
-        part = wanted.filter(F.pmod(F.xxhash64("low"), F.lit(pieces)) == piece).collect()  # piece_bytes, about
-        if not part:
-            continue
-        found = _searcher([tuple(r) for r in part], spark)(low)
-        best = F.least(best, F.when(found["rank"].isNotNull(), found))
-    return best
-
-
-def match_policy(posts: DataFrame, policy: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    low = F.lower("text")
+    wanted = posts.filter(F.col("text").isNotNull() & (F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))))
+    texts = materialise(wanted.select(text_key(low).alias("key"), low.alias("low")).dropDuplicates(["key"]))
+    first = materialise(first_phrases(texts, policy, whole_words, size))
+    keyed = posts.withColumn("_key", F.when(F.lit(True) if gate is None else gate, text_key(low)))
+    return keyed.join(first.select(F.col("key").alias("_key"), F.col("first").alias("_first")), "_key", "left").drop("_key")
+
+
+def match_policy(posts: DataFrame, policy: DataFrame, whole_words: bool = False, size: int = GRAM) -> DataFrame:
     """Posts that contain a policy phrase, with the one of lowest rank: job_id, tweet_id, phrase, reason."""
-    judged = posts.select("job_id", "tweet_id", first_of_policy(policy, F.lower("text"), piece_bytes).alias("_first"))
+    judged = with_first_phrase(posts.select("job_id", "tweet_id", "text"), policy, None, whole_words, size)
     hit = judged.filter(F.col("_first").isNotNull()).select("job_id", "tweet_id", F.col("_first.phrase").alias("phrase"))
     return hit.withColumn("reason", F.concat(F.lit(S.REASON_BLOCKED), F.col("phrase")))

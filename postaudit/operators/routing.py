@@ -22,14 +22,14 @@ def route(posts: DataFrame, policy: Policy, scorer_present: bool = True, whole_w
     """Adds `filter_result` and `route` to posts that carry their job's criteria.
 
     `policy` is a list of phrases, a table (rank, phrase) of any size, or None: without a policy no filter
-    applies, the fixed ones neither. `whole_words` and `forbidden_words` are options of a list, see apply_cascade.
+    applies, the fixed ones neither. See apply_cascade for `whole_words` and `forbidden_words`.
     """
     rest = NEEDS_SCORING if scorer_present else PROCESSED
     if policy is None:
         nothing = F.lit(None).cast("struct<filter_reason: string, score: double, reason: string>")
         judged = posts.withColumn("filter_result", nothing)
     elif isinstance(policy, DataFrame):
-        judged = apply_policy_cascade(posts, policy, has_own_criteria())
+        judged = apply_policy_cascade(posts, policy, has_own_criteria(), whole_words, forbidden_words)
     else:
         judged = apply_cascade(posts, policy, has_own_criteria(), whole_words, forbidden_words)
     return judged.withColumn(

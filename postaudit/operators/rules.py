@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postaudit import schema as S
 from postaudit.functions.text import bind, bind_lowered, contains_any, is_repost
-from postaudit.operators.policy import first_of_policy
+from postaudit.operators.policy import with_first_phrase
 
 _ABUSIVE, _HATE, _THREAT = 1, 2, 4
 _LABELS = {_ABUSIVE: "abusive", _HATE: "hate_speech", _THREAT: "threatening"}
@@ -116,22 +116,32 @@ def apply_cascade(posts: DataFrame, phrases: Sequence[str], gate: Column | None
     """
     stepped, result = bind_step(bind_lowered(posts), phrases, gate, whole_words), cascade_result(F.col("_step"), phrases)
     if forbidden_words:
-        word = F.get(F.filter("criteria.forbidden_words", lambda w: (w != "") & F.contains(F.col("_low"), F.lower(w))), F.lit(0))
-        word = word if gate is None else F.when(gate, word)
-        blocked = F.struct(F.lit("blocked_phrase").alias("filter_reason"), F.lit(1.0).alias("score"),
-                           F.concat(F.lit(S.REASON_BLOCKED), word).alias("reason"))
-        result = F.when(F.col("_step") < len(phrases), result).when(word.isNotNull(), blocked).otherwise(result)
+        word = forbidden_word(gate)
+        result = F.when(F.col("_step") < len(phrases), result).when(word.isNotNull(), _blocked(word)).otherwise(result)
     return stepped.withColumn("filter_result", result).drop("_low", "_step")
 
 
-def apply_policy_cascade(posts: DataFrame, policy: DataFrame, gate: Column | None = None) -> DataFrame:
-    """apply_cascade with the phrases of a table (rank, phrase)."""
-    first = first_of_policy(policy, F.col("_low"))
-    stepped = bind(bind_step(bind_lowered(posts), [], gate), "_first", first if gate is None else F.when(gate, first))
-    blocked = F.struct(F.lit("blocked_phrase").alias("filter_reason"), F.lit(1.0).alias("score"),
-                       F.concat(F.lit(S.REASON_BLOCKED), F.col("_first.phrase")).alias("reason"))
-    return stepped.withColumn("filter_result", F.when(F.col("_first").isNotNull(), blocked).otherwise(
-        cascade_result(F.col("_step"), []))).drop("_low", "_step", "_first")
+def forbidden_word(gate: Column | None) -> Column:
+    """The first word that the job's own criteria forbid and `_low` contains."""
+    word = F.get(F.filter("criteria.forbidden_words", lambda w: (w != "") & F.contains(F.col("_low"), F.lower(w))), F.lit(0))
+    return word if gate is None else F.when(gate, word)
+
+
+def _blocked(phrase: Column) -> Column:
+    return F.struct(F.lit("blocked_phrase").alias("filter_reason"), F.lit(1.0).alias("score"),
+                    F.concat(F.lit(S.REASON_BLOCKED), phrase).alias("reason"))
+
+
+def apply_policy_cascade(posts: DataFrame, policy: DataFrame, gate: Column | None = None, whole_words: bool = False,
+                         forbidden_words: bool = False) -> DataFrame:
+    """apply_cascade with the phrases of a table (rank, phrase), which is never held as a whole, see with_first_phrase."""
+    found = with_first_phrase(posts, policy, gate, whole_words)
+    stepped, result = bind_step(bind_lowered(found), [], gate), cascade_result(F.col("_step"), [])
+    if forbidden_words:
+        word = forbidden_word(gate)
+        result = F.when(word.isNotNull(), _blocked(word)).otherwise(result)
+    first = F.when(F.col("_first").isNotNull(), _blocked(F.col("_first.phrase"))).otherwise(result)
+    return stepped.withColumn("filter_result", first).drop("_low", "_step", "_first")
 
 
 def has_own_criteria() -> Column:

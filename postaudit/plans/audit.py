@@ -52,12 +52,12 @@ class Audit:
 
 
 def audit_archives(files: DataFrame, jobs: DataFrame, policy: Policy, run_ts: dt.datetime,
-                   job_id: Column | None = None, **options) -> Audit:
-    """Ingest `files` and audit their posts, see audit_posts. `jobs` holds job_id and criteria.
+                   job_id: Column | None = None, all_parts: bool = False, max_bytes: int | None = None, **options) -> Audit:
+    """Ingest `files` and audit their posts, see ingest and audit_posts. `jobs` holds job_id and criteria.
 
     The distinct originals are written once; every later step reads that table.
     """
-    read = ingest(files, run_ts, job_id)
+    read = ingest(files, run_ts, job_id, all_parts, max_bytes)
     posts = materialise(keep_first(drop_reposts(read.posts)))
     return audit_posts(posts, jobs, policy, run_ts, failed=read.bad_archives, bad_rows=read.bad_rows, **options)
 
@@ -99,13 +99,13 @@ def _score_rows(scored: DataFrame, stamp: Column) -> DataFrame:
         "created_at", "result", "score_status", "score_error", stamp.alias("scored_at"))
 
 
-def judge(posts: DataFrame, policy: Policy, scorer: Scorer) -> DataFrame:
+def judge(posts: DataFrame, policy: Policy, scorer: Scorer, **options) -> DataFrame:
     """One row per post with route and filter_result, and for the built-in scorer also result, written once.
 
     Flags, waiting posts and counters are all derived from it. The built-in scorer judges in the same pass and
     then only flagged texts are kept; another scorer needs the texts of all posts that are to be scored.
     """
-    judged, keep = route(posts, policy), F.lit(True)
+    judged, keep = route(posts, policy, **options), F.lit(True)
     if scorer is rule_scorer:
         hits = bind_hits(bind_lowered(judged), F.col("route") == NEEDS_SCORING)
         judged = hits.withColumn("result", F.when(F.col("_hits").isNotNull(), rule_result(F.col("_hits"))))
@@ -118,8 +118,9 @@ def judge(posts: DataFrame, policy: Policy, scorer: Scorer) -> DataFrame:
 def audit_posts(posts: DataFrame, jobs: DataFrame, policy: Policy, run_ts: dt.datetime,
                 scorer: Scorer = rule_scorer, before: History | None = None,
                 quota: int | None = None, failed: DataFrame | None = None,
-                bad_rows: DataFrame | None = None, room: int | None = None) -> Audit:
-    """Filter, score and flag distinct original posts.
+                bad_rows: DataFrame | None = None, room: int | None = None, whole_words: bool = False,
+                forbidden_words: bool = False) -> Audit:
+    """Filter, score and flag distinct original posts; see apply_cascade for `whole_words` and `forbidden_words`.
 
     Posts that an earlier run (`before`) has are left out, and its waiting posts taken up, with the criteria
     they came with. A job that `jobs` does not name counts as one without criteria, and has a status as any
@@ -139,7 +140,7 @@ def audit_posts(posts: DataFrame, jobs: DataFrame, policy: Policy, run_ts: dt.da
         fresh = materialise(match_keys(posts, before.posts, POST_KEY, "left_anti"))
         again = resume_pending(before.waiting, before.scored)
         work = join_by_job(fresh, known, "left").unionByName(again.select(*posts.columns, "criteria"))
-    verdicts = judge(work, policy, scorer)
+    verdicts = judge(work, policy, scorer, whole_words=whole_words, forbidden_words=forbidden_words)
     waiting = verdicts.filter(F.col("route") == NEEDS_SCORING)
     chosen, kept_back = waiting, waiting.limit(0).select(*POST_KEY)
     if room is None and quota is not None:

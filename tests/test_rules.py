@@ -92,8 +92,8 @@ def test_cascade_without_phrases(spark, phrases):
         "threat", "threat", "hate_speech", "threat", None, None]
 
 
-@pytest.mark.parametrize("piece", [40, 1 << 20])
-def test_policy_table(spark, piece):
+@pytest.mark.parametrize("size", [1, 2, 4])
+def test_policy_table(spark, size):
     phrases = ["", "zz", "Stupid", "a", "ÄRGER", "late", "quick brown", "é", "LATE"]
     table = spark.createDataFrame(list(enumerate(phrases)), "rank INT, phrase STRING")
     frame = texts(spark, ["the Quick Brown fox", "stupid and late", "zZ", "", None, "xyz", "große ärger", "café É",
@@ -103,12 +103,45 @@ def test_policy_table(spark, piece):
         hit = next((p for p in phrases if p and row.text and p.lower() in row.text.lower()), None)
         if hit:
             expected[row.tweet_id] = hit
-    matched = policy.match_policy(frame, table, piece)
+    matched = policy.match_policy(frame, table, size=size)
     assert {r.tweet_id: r.phrase for r in matched.collect()} == expected
     assert matched.first().reason.startswith("Contains blocked phrase: ")
     assert policy.match_policy(frame, table.limit(0)).count() == 0
 
 
+def test_policy_plan_moves_no_phrases_to_the_driver(spark, monkeypatch):
+    frame = texts(spark, [f"text {i} with word{i % 7} and the rest" for i in range(300)] + ["same words here"] * 200)
+    table = spark.createDataFrame([(i, f"word{i}") for i in range(5)] + [(9, "the rest"), (3, "same words")], "rank INT, phrase STRING")
+    monkeypatch.setattr(policy, "HOT_SHARE", 10 ** 6)
+    got = policy.match_policy(frame, table)
+    want = {f"word{i}": sum(1 for j in range(300) if j % 7 == i) for i in range(5)}
+    want |= {"the rest": sum(1 for j in range(300) if j % 7 > 4), "same words": 200}
+    assert {r.phrase: r["count"] for r in got.groupBy("phrase").count().collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_hot_grams_are_dealt(spark, monkeypatch):
+    """Every text has the phrases' grams, so with a low bound all are hot; the result stays the same."""
+    frame = texts(spark, [f"abab {i}" for i in range(3000)])
+    table = spark.createDataFrame([(2, "abab"), (1, "bab 1"), (0, "ab 29")], "rank INT, phrase STRING")
+    plain = sorted(policy.match_policy(frame, table).collect())
+    monkeypatch.setattr(policy, "SAMPLE", 1)
+    monkeypatch.setattr(policy, "HOT_LEAST", 10)
+    assert sorted(policy.match_policy(frame, table).collect()) == plain and len(plain) == 3000
+
+
+def test_options_of_a_table(spark):
+    crit = "named_struct('forbidden_words', array('', 'Fog', 'zz'))"
+    frame = texts(spark, ["a cat.", "category", "dense FOG, cat", "fog and go die", "go die", "clear", None]).withColumn(
+        "criteria", F.expr(f"CASE WHEN pos <> 5 THEN {crit} END"))
+    table = spark.createDataFrame([(0, "Cat")], "rank INT, phrase STRING")
+    for options in ({}, {"whole_words": True}, {"forbidden_words": True}, {"whole_words": True, "forbidden_words": True}):
+        by_list, by_table = ([(r.pos, r.filter_result) for r in routing.route(frame, p, **options).orderBy("pos").collect()]
+                             for p in (["Cat"], table))
+        assert by_list == by_table
+
+
 def test_routes_by_list_table_and_without_policy(spark):
     phrases = ["", "zzz", "cRyPto", "love"]
     frame = texts(spark, CASES).withColumn("criteria", F.expr("CASE WHEN pos <> 3 THEN named_struct('tone', 'x') END"))
