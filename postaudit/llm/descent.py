@@ -23,7 +23,7 @@ SEEDS = 3
 """Random partitions that the first lists come from."""
 BUCKET = 256
 """Vectors of a part of such a partition, about."""
-ROUNDS = 12
+ROUNDS = 20
 """Most rounds; the audit usually ends them before."""
 AUDIT = 1024
 """Vectors whose links are all looked up, as queries against all rows, to measure recall."""
@@ -101,7 +101,7 @@ def _side(seed: int, planes: int):
     return side
 
 
-def first_lists(vectors: DataFrame, size: int, seeds: int, bucket: int, folder: str | None = None) -> DataFrame:
+def first_lists(vectors: DataFrame, size: int, seeds: range, bucket: int, folder: str | None = None) -> DataFrame:
     """a, b, score: each vector's best `size` among those that random hyperplanes put in one part with it.
 
     `vectors` has id, vec and width. A part is cut by as many planes as leave `bucket` vectors on average, so a dense
@@ -110,7 +110,7 @@ def first_lists(vectors: DataFrame, size: int, seeds: int, bucket: int, folder:
     total = vectors.count()
     planes = max(0, math.ceil(math.log2(max(1, total) / bucket)))
     found = None
-    for seed in range(seeds):
+    for seed in seeds:
         cells = materialise(vectors.select("id", "width", "vec", _side(seed, planes)("vec").alias("cell")), folder)
         loads = cells.groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * bucket)).cast("int").alias("parts"))
         dealt = cells.join(loads, ["width", "cell"]).withColumn("deal", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts")))
@@ -219,13 +219,14 @@ def neighbour_lists(vectors: DataFrame, least: float = LEAST, size: int = LIST,
                     folder: str | None = None) -> tuple[DataFrame, float]:
     """a, b, score, length of the lists of `vectors` (id, width, vec), and the audited share of links that they hold.
 
-    Rounds go on until they add under 1/1000 to the links, no list has grown and the audit finds `recall`. A list
+    Rounds go on until they add under 1/1000 to the links, no list has grown and the audit finds `recall`; while it does not,
+    another random partition adds to the lists. A list
     whose members are all links is saturated and becomes four times as long, up to `longest`; in an audit a
     saturated vector's missing links count as found, as they are counted in full afterwards.
     """
     wanted = audit_links(vectors, audit, least, folder)
-    lists = materialise(shortened(first_lists(vectors, size, seeds, bucket, folder).withColumn("fresh", F.lit(True)), None, size), folder)
-    links, share = -1, 0.0
+    lists = materialise(shortened(first_lists(vectors, size, range(seeds), bucket, folder).withColumn("fresh", F.lit(True)), None, size), folder)
+    links, share, turn = -1, 0.0, seeds
     for _ in range(rounds):
         per = lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length"), F.min("score").alias("last"))
         full = (F.col("n") >= F.col("length")) & (F.col("last") >= least)
@@ -240,12 +241,17 @@ def neighbour_lists(vectors: DataFrame, least: float = LEAST, size: int = LIST,
         share = 1 - lost / max(1, wanted.count())
         before, links = links, held.count()
         grew = not lengths.filter("grown").isEmpty()
-        if not grew and before >= 0 and links <= before * 1.001 and share >= recall:
+        still = not grew and before >= 0 and links <= before * 1.001
+        if still and share >= recall:
             break
         # A list that has grown meets all its neighbours anew.
         lists = lists.drop("length").join(lengths.select("a", "length", "grown"), "a").withColumn("fresh", F.col("fresh") | F.col("grown"))
         lists = materialise(lists.drop("grown"), folder)
-        found = improved(vectors, lists, size).withColumn("fresh", F.lit(True))
+        found = improved(vectors, lists, size)
+        if still:  # lists that find nothing new are stuck: another partition brings vectors together anew
+            found = found.unionByName(first_lists(vectors, size, range(turn, turn + 1), bucket, folder))
+            turn += 1
+        found = found.withColumn("fresh", F.lit(True))
         old = lists.select("a", "b", "score", F.lit(False).alias("fresh"))
         lists = materialise(shortened(old.unionByName(found), lengths.select("a", "length"), size), folder)
     return lists, share

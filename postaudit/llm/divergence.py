@@ -153,6 +153,8 @@ def _walk(top: int):
     """What a task does with the branches of two blocks of groups over one segment."""
     def run(heads: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
+        if heads.empty:  # a block that no group fell into
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("lang", "source", "part", "item", "value")})
         heads = heads.sort_values(["block", "place"]).reset_index(drop=True)
         size, v, lang_total = int(heads["size"].iloc[0]), int(heads["v"].iloc[0]), int(heads["lang_n"].iloc[0])
         lang, alike = heads["lang"].iloc[0], heads["low"].iloc[0] == heads["high"].iloc[0]
