@@ -52,6 +52,7 @@ ERROR_NO_MEMBER = "no tweet.js or tweets.js file found in ZIP archive"
 ERROR_ZIP = "failed to open ZIP archive"
 ERROR_UNWRAP = "could not extract JSON from JS wrapper - file may not be a valid tweet.js file"
 ERROR_JSON = "failed to parse JSON"
+ERROR_OPEN = "failed to open file"
 ERROR_PREFIX = "failed to parse archive: "
 
 # --- row types -------------------------------------------------------------------------

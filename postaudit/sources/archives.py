@@ -14,12 +14,15 @@ from postaudit.functions.posts import post_columns
 from postaudit.functions.text import bind, bind_body
 from postaudit.operators.joins import match_keys
 from postaudit.session import materialise
-from postaudit.sources.chunks import CHUNK_CHARS, read_archive
+from postaudit.sources.chunks import CHUNK_CHARS, read_archive, read_path
 
 _PIECE_DDL = "path STRING, member STRING, first_pos BIGINT, js STRING, cut BOOLEAN, error STRING"
 
 _PIECES_PER_BATCH = 1000
 
+WHOLE_BYTES = 256 << 20
+"""A longer file is not carried in a row."""
+
 
 @dataclass(frozen=True)
 class Ingested:
@@ -28,9 +31,26 @@ class Ingested:
     bad_rows: DataFrame
 
 
+def whole_bytes(spark: SparkSession) -> int:
+    """Length up to which a file's bytes come with its row; longer ones are opened by the task that reads them."""
+    return min(WHOLE_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+
+
+def with_long_files(listed: DataFrame) -> DataFrame:
+    """Rows of the binaryFile source, where `content` is NULL for files above whole_bytes: their bytes are not read.
+
+    The condition on `length` is pushed into the source, which knows it before it opens a file.
+    """
+    limit = whole_bytes(listed.sparkSession)
+    kind = listed.schema["content"].dataType
+    long = listed.filter(F.col("length") > limit).select(
+        *[c for c in listed.columns if c != "content"], F.lit(None).cast(kind).alias("content"))
+    return listed.filter(F.col("length") <= limit).unionByName(long)
+
+
 def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder as rows path, modificationTime, length, content."""
-    return spark.read.format("binaryFile").load(path)
+    """Files of a folder as rows path, modificationTime, length, content; see with_long_files."""
+    return with_long_files(spark.read.format("binaryFile").load(path))
 
 
 def is_zip(content: Column) -> Column:
@@ -43,12 +63,18 @@ def js_text(content: Column) -> Column:
 
 
 def read_pieces(files: DataFrame, all_parts: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The one Python step of the ingest: each file becomes rows path, member, first_pos, js, cut, error."""
+    """The one Python step of the ingest: each file becomes rows path, member, first_pos, js, cut, error.
+
+    A row without `content` names a long file, which is opened and read in blocks. Several such rows are dealt to
+    as many tasks as there are, as listing them costs next to nothing.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, chars = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                for piece in read_archive(bytes(content), all_parts, chunk_chars):
+                pieces = (read_path(path, all_parts, chunk_chars) if content is None
+                          else read_archive(bytes(content), all_parts, chunk_chars))
+                for piece in pieces:
                     held.append({"path": path, **piece})
                     chars += len(piece["js"] or "")
                     if chars >= chunk_chars or len(held) >= _PIECES_PER_BATCH:

@@ -8,6 +8,10 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 
 from postaudit import schema as S
 
@@ -103,24 +107,48 @@ def element_chunks(blocks: Iterable[tuple[str, bool]],
         yield first, None if ends else ""
 
 
-def read_archive(content: bytes, all_parts: bool = False,
+def open_path(path: str) -> io.RawIOBase:
+    """A file as a stream that seeks, so that a ZIP's directory and a member's blocks are all that is read of it."""
+    scheme, mark, rest = path.partition("://")
+    if not mark or scheme == "file":  # the binaryFile source gives file:/a/b, with no character escaped
+        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:/+", "/", path))
+    host, _, place = rest.partition("/")
+    system, place = fs.FileSystem.from_uri(f"{re.sub('^s3[an]$', 's3', scheme)}://{host}/{quote(place)}")
+    return system.open_input_file(place)
+
+
+def read_path(path: str, all_parts: bool = False, chunk_chars: int = CHUNK_CHARS) -> Iterator[dict]:
+    """Pieces of the archive at `path`, see read_archive; memory doesn't grow with the file."""
+    try:
+        with open_path(path) as stream:
+            yield from read_archive(stream, all_parts, chunk_chars)
+    except (OSError, ValueError, pa.ArrowException) as failure:
+        yield _piece(error=f"{S.ERROR_OPEN}: {type(failure).__name__}")
+
+
+def read_archive(content: bytes | io.RawIOBase, all_parts: bool = False,
                  chunk_chars: int = CHUNK_CHARS) -> Iterator[dict]:
-    """Pieces of one archive: member, first_pos, js, cut, error.
+    """Pieces of one archive, its bytes or a stream that seeks: member, first_pos, js, cut, error.
 
     A member of ordinary length is one piece holding the JS text as it is (cut False); unwrapping
     and parsing are left to Spark. A longer one is cut into JSON arrays (cut True).
     """
+    stream = io.BytesIO(content) if isinstance(content, bytes) else content
     try:
-        if not content.startswith(bytes.fromhex(S.ZIP_MAGIC_HEX)):
-            yield from _read_member(io.BytesIO(content), len(content), "", chunk_chars)
+        magic = bytes.fromhex(S.ZIP_MAGIC_HEX)
+        is_zip = stream.read(len(magic)) == magic
+        size = stream.seek(0, io.SEEK_END)
+        stream.seek(0)
+        if not is_zip:
+            yield from _read_member(stream, size, "", chunk_chars)
             return
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        with zipfile.ZipFile(stream) as archive:
             names = post_members(archive.namelist(), all_parts)
             if not names:
                 yield _piece(error=S.ERROR_NO_MEMBER)
             for name in names:
-                with archive.open(name) as stream:
-                    yield from _read_member(stream, archive.getinfo(name).file_size, name, chunk_chars)
+                with archive.open(name) as member:
+                    yield from _read_member(member, archive.getinfo(name).file_size, name, chunk_chars)
     except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as failure:
         yield _piece(error=f"{S.ERROR_ZIP}: {failure}")
 

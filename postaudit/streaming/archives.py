@@ -16,7 +16,7 @@ from postaudit.operators.rules import drop_reposts, rule_scorer
 from postaudit.operators.scoring import Scorer
 from postaudit.plans.audit import History, audit_posts, empty_history
 from postaudit.session import materialise
-from postaudit.sources.archives import ingest
+from postaudit.sources.archives import ingest, with_long_files
 from postaudit.sources.tables import job_bucket, write_by_job
 
 COMPACT_EVERY = 50
@@ -24,9 +24,9 @@ COMPACT_EVERY = 50
 
 
 def watch_archives(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
-    """New files of `folder`, at most `max_files` per micro-batch."""
-    return (spark.readStream.format("binaryFile").schema(S.ARCHIVE_FILE)
-            .option("maxFilesPerTrigger", max_files).load(folder))
+    """New files of `folder`, at most `max_files` per micro-batch; a long file comes without its bytes, see with_long_files."""
+    return with_long_files(spark.readStream.format("binaryFile").schema(S.ARCHIVE_FILE)
+                           .option("maxFilesPerTrigger", max_files).load(folder))
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -64,23 +64,24 @@ def _used(spark: SparkSession, tables: str, batch_id: int, day: dt.date) -> int:
 
 
 def audit_batch(spark: SparkSession, files: DataFrame | None, jobs: DataFrame, policy: Policy, tables: str, batch_id: int,
-                now: dt.datetime, scorer: Scorer = rule_scorer, quota: int | None = None) -> None:
+                now: dt.datetime, scorer: Scorer = rule_scorer, quota: int | None = None, all_parts: bool = False,
+                max_bytes: int | None = None, **options) -> None:
     """One step of the stream: audit `files` and the waiting posts, and write every table under `batch_id`.
 
     The tables are posts, flagged, scored, waiting, bad_archives, bad_rows, jobs (status and counters of the
     jobs that the batch has touched) and calls per day. `files` may be None, to take up waiting posts when no file
-    comes (a scheduled call, with a `batch_id` above the last).
+    comes (a scheduled call, with a `batch_id` above the last). See ingest and audit_posts for the options.
     """
     if files is None:
         files = spark.createDataFrame([], S.ARCHIVE_FILE)
-    read = ingest(files, now)
+    read = ingest(files, now, all_parts=all_parts, max_bytes=max_bytes)
     posts = materialise(keep_first(drop_reposts(read.posts)))
     before = _history(spark, tables, batch_id, posts, last_batch(spark, tables, batch_id))
     room = quota
     if quota is not None and last_batch(spark, tables, batch_id) is not None:
         room = max(quota - _used(spark, tables, batch_id, now.astimezone(dt.timezone.utc).date()), 0)
     audit = audit_posts(posts, jobs, policy, now, scorer, before, failed=read.bad_archives, bad_rows=read.bad_rows,
-                        room=room)
+                        room=room, **options)
     for name, rows in {"posts": audit.posts, "flagged": audit.flagged, "scored": audit.new_scores}.items():
         write_by_job(rows, f"{tables}/{name}/batch_id={batch_id}", mode="overwrite")
     state = audit.status.join(audit.progress, "job_id", "left").withColumn("as_of", F.lit(now))
@@ -101,7 +102,7 @@ def last_batch(spark: SparkSession, tables: str, before: int = 1 << 62) -> int |
 
 def audit_stream(files: DataFrame, jobs: DataFrame | Callable[[DataFrame], DataFrame], policy: Policy,
                  tables: str, checkpoint: str, scorer: Scorer = rule_scorer, quota: int | None = None,
-                 clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)) -> DataStreamWriter:
+                 clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc), **options) -> DataStreamWriter:
     """Audit each micro-batch of files into `tables`, see audit_batch.
 
     `jobs` is the table of job_id and criteria, or makes it from the files of a batch. Posts beyond the
@@ -112,20 +113,21 @@ def audit_stream(files: DataFrame, jobs: DataFrame | Callable[[DataFrame], DataF
     def run(batch: DataFrame, batch_id: int) -> None:
         # Numbers are doubled, so that a resume between two batches has a place.
         known = jobs if isinstance(jobs, DataFrame) else jobs(batch)
-        audit_batch(batch.sparkSession, batch, known, policy, tables, 2 * batch_id, clock(), scorer, quota)
+        audit_batch(batch.sparkSession, batch, known, policy, tables, 2 * batch_id, clock(), scorer, quota, **options)
 
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def resume(spark: SparkSession, jobs: DataFrame, policy: Policy, tables: str, scorer: Scorer = rule_scorer,
-           quota: int | None = None, now: dt.datetime | None = None) -> None:
+           quota: int | None = None, now: dt.datetime | None = None, **options) -> None:
     """Take up waiting posts without new files, for instance after the quota's reset, while no stream is running.
 
     Repeating it before the next micro-batch replaces what it wrote.
     """
     last = last_batch(spark, tables)
     if last is not None:
-        audit_batch(spark, None, jobs, policy, tables, last + 1 - last % 2, now or dt.datetime.now(dt.timezone.utc), scorer, quota)
+        audit_batch(spark, None, jobs, policy, tables, last + 1 - last % 2, now or dt.datetime.now(dt.timezone.utc), scorer, quota,
+                    **options)
 
 
 def stream_progress(spark: SparkSession, tables: str) -> DataFrame:

@@ -13,7 +13,7 @@ from postaudit import schema as S
 from postaudit.functions.posts import parse_created_at
 from postaudit.functions.text import array_to_json, from_rfc3339, json_to_array, rfc3339
 from postaudit.sources import archives as A
-from postaudit.sources.chunks import element_chunks, post_members, read_archive
+from postaudit.sources.chunks import BLOCK_BYTES, element_chunks, post_members, read_archive, read_path
 
 RUN = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
 HEAD = "window.YTD.tweets.part0 = "
@@ -192,3 +192,67 @@ def test_files_of_one_name_are_jobs_of_their_own(spark, tmp_path):
         (tmp_path / place).write_text(js(FULL))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
     assert A.ingest(files, RUN).posts.select("job_id").distinct().count() == 3
+
+
+@pytest.fixture
+def long_folder(tmp_path, spark):
+    """Files around a limit of 2,000 bytes, which also is the binaryFile source's own, so their bytes can't come in a row."""
+    rng = random.Random(3)
+    many = [post(str(i), f"text {i} " + "".join(rng.choices("abcdefgh", k=40))) for i in range(200)]
+    files = {"short.js": js(post("900", "short")), "long name+1.js": js(*many), "long.zip": zipped(data__tweets_js=js(*many)),
+             "both.zip": zipped(data__tweets_js=js(*many[:100]), data__tweets_part1_js=js(*many[100:])),
+             "cut.zip": zipped(data__tweets_js=js(*many))[:-30], "junk.js": "words " * 1000}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body if isinstance(body, bytes) else body.encode())
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    yield str(tmp_path)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+
+def test_files_above_the_row_limit(spark, long_folder):
+    files = A.scan_archives(spark, long_folder)
+    carried = {r.path.rsplit("/", 1)[1]: r.has for r in files.select("path", F.col("content").isNotNull().alias("has")).collect()}
+    assert len(carried) == 6 and [n for n, has in carried.items() if has] == ["short.js"]
+    for all_parts, both in ((False, 100), (True, 200)):
+        read = A.ingest(files, RUN, F.element_at(F.split("path", "/"), -1), all_parts=all_parts, chunk_chars=3000)
+        counts = {r.job_id: r["count"] for r in read.posts.groupBy("job_id").count().collect()}
+        assert counts == {"short.js": 1, "long name+1.js": 200, "long.zip": 200, "both.zip": both}
+        bad = {r.job_id: r.error for r in read.bad_archives.collect()}
+        assert set(bad) == {"cut.zip", "junk.js"} and bad["cut.zip"].startswith(S.ERROR_PREFIX + S.ERROR_ZIP)
+
+
+def test_long_files_equal_short_ones(spark, long_folder):
+    """The same rows, whether a file's bytes come with its row or the task opens it."""
+    key = ["path", "member", "pos", "tweet"]
+    opened = A.parse_pieces(A.read_pieces(A.scan_archives(spark, long_folder))).select(*key).collect()
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(1 << 30))
+    carried = A.parse_pieces(A.read_pieces(A.scan_archives(spark, long_folder))).select(*key).collect()
+    by = lambda r: (r.path, r.member or "", r.pos or 0)
+    assert sorted(opened, key=by) == sorted(carried, key=by) and len(opened) > 500
+
+
+def test_the_limit_is_pushed_into_the_source(spark, long_folder):
+    plan = A.scan_archives(spark, long_folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [IsNotNull(length)") == 2 or plan.count("LessThanOrEqual(length,2000)") == 1
+
+
+def test_a_missing_long_file_is_a_bad_archive(tmp_path):
+    [piece] = read_path(str(tmp_path / "none.zip"))
+    assert piece["error"].startswith(S.ERROR_OPEN)
+
+
+def test_a_long_member_is_read_in_blocks():
+    """No read asks for much more than a block, and the pieces held stay near the cut, however long the file is."""
+    class Watched(io.BytesIO):
+        most = 0
+
+        def read(self, size=-1):
+            made = super().read(size)
+            self.most = max(self.most, len(made))
+            return made
+
+    body = (HEAD + "[" + ",".join(json.dumps(post(str(i), "x" * 500)) for i in range(60_000)) + "]").encode()
+    for stream in (Watched(body), Watched(zipped(data__tweets_js=body))):
+        sizes = [len(p["js"]) for p in read_archive(stream, chunk_chars=1 << 20)]
+        assert sum(sizes) > 30_000_000 and max(sizes) < 3 << 20 and stream.most <= BLOCK_BYTES
