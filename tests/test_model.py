@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from postaudit.functions import calls as C, responses as R
 from postaudit.functions.criteria import criteria_or_default, parse_criteria
 from postaudit.functions.prompts import build_prompt, escape_text
-from postaudit.operators.scoring import model_scorer
-from postaudit.plans.audit import audit_posts
+from postaudit.operators.scoring import model_scorer, waves
+from postaudit.plans.audit import History, audit_posts
 
 
 def prompt_for(spark, text, criteria):
@@ -167,3 +167,35 @@ def test_a_wrong_number_of_answers_fails_the_batch(spark):
     rows = model_scorer(lambda prompts: ["{}"] * (len(prompts) + 1), pause=[].append)(
         posts_of(spark, ["a", "b"]).crossJoin(job_j(spark).select(criteria_or_default(F.col("criteria")).alias("criteria"))))
     assert {(r.score_status, r.score_error) for r in rows.collect()} == {("failed", "permanent: 400: 3 answers to 2 prompts")}
+
+
+def test_waves_grow():
+    assert waves(0) == waves(200) == [1 << 30]
+    assert waves(2500, 200) == [(1 << 30) * 200 // 2500, (1 << 30) * 2200 // 2500, 1 << 30]
+    assert len(waves(10 ** 10)) == 9
+
+
+@pytest.mark.parametrize("answer,asked_as", [((401, "no key"), "failed"), ((429, "daily quota reached"), "waiting")])
+def test_a_model_out_of_order_gets_one_wave(spark, tmp_path, answer, asked_as):
+    """The posts that were not asked wait, and are answered by a later run once the model works."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def down(prompts):
+        for p in prompts:
+            (calls / str(hash(p))).touch()
+        return [answer] * len(prompts)
+
+    posts, now = posts_of(spark, [f"text number {i}" for i in range(500)]), dt.datetime(2024, 2, 1)
+    audit = audit_posts(posts, job_j(spark), [], now, scorer=model_scorer(down, pause=[].append, wave=20))
+    asked = len(list(calls.iterdir()))
+    assert 5 <= asked <= 60
+    rows = audit.scored.collect()
+    assert {r.score_status for r in rows} == ({"failed"} if asked_as == "failed" else set())
+    assert len(rows) == (asked if asked_as == "failed" else 0) and audit.waiting.count() == 500 - len(rows)
+    assert audit.status.first().status != "done" and audit.progress.first().processed == len(rows)
+
+    before = History(audit.posts, audit.flagged, audit.scored, audit.waiting)
+    later = audit_posts(posts, job_j(spark), [], now, scorer=model_scorer(fake_model(), wave=20), before=before)
+    assert later.waiting.count() == 0 and later.progress.first().processed == 500
+    assert later.new_scores.filter("score_status = 'scored'").count() == 500 - len(rows)
