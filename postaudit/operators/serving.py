@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from postaudit import schema as S
 from postaudit.functions.paging import page_bounds, page_offset, total_pages
-from postaudit.operators.joins import join_by_job
 from postaudit.operators.ranking import global_rank, narrow, top_per_key
+from postaudit.session import materialise
 
 # URLs of one JSON payload, about; a longer export comes in several.
 PART_URLS = 10_000
+BROADCAST_JOBS = 100_000
+"""Job names that are sent to every task at most."""
 
 
 def _newest_first():
@@ -96,12 +98,33 @@ def export_json(flagged: DataFrame, job_id: str | None = None, limit: int | None
 def export_json_per_job(flagged: DataFrame, limit: int | None = None, part_urls: int = PART_URLS) -> DataFrame:
     """Payloads of each job: job_id, part, count, payload; all its flags, or its newest `limit`.
 
-    A job of up to `part_urls` flags is one payload. A larger one is dealt to several by id, each in order,
-    so no payload grows with the job.
+    Parts are consecutive stretches of the newest-first order, about `part_urls` flags each, so a job's parts one after
+    the other are its whole list, and no payload grows with the job.
     """
     rows = flagged.select("job_id", "flagged_at", "id", "url")
     if limit is not None:
         rows = top_per_key(rows, "job_id", _newest_first(), limit, spread_by="id")
-    sizes = rows.groupBy("job_id").agg(F.ceil(F.count(F.lit(1)) / part_urls).cast("int").alias("parts"))
-    dealt = join_by_job(rows.withColumnRenamed("id", "tweet_id"), sizes).withColumnRenamed("tweet_id", "id")
-    return _payload(dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    large = materialise(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_urls))
+    if large.isEmpty():
+        return _payload(rows.withColumn("part", F.lit(0)))
+    return _payload(_in_stretches(rows, large, part_urls))
+
+
+def _in_stretches(rows: DataFrame, large: DataFrame, part_urls: int) -> DataFrame:
+    """`rows` with `part`, the stretch of their job's newest-first order that they lie in; 0 for all jobs but `large`.
+
+    A large job's flags are counted by moment and, within a moment, by as many leading characters of the id as make
+    its slices smaller than a part; one running sum over these counts cuts the job. Only the counts, far fewer than flags, are sorted.
+    """
+    parts = F.broadcast if large.count() <= BROADCAST_JOBS else (lambda df: df)
+    kept = rows.join(parts(large.select("job_id")), "job_id", "left_anti").withColumn("part", F.lit(0))
+    own = rows.join(parts(large.select("job_id")), "job_id", "left_semi")
+    moments = own.groupBy("job_id", "flagged_at").agg(F.count(F.lit(1)).alias("n"))
+    depth = F.greatest(F.ceil(F.log(16.0, F.col("n") * 8 / part_urls)), F.lit(0)).cast("int").alias("depth")
+    depths = materialise(moments.select("job_id", "flagged_at", depth))
+    sliced = own.join(depths, ["job_id", "flagged_at"]).withColumn("head", F.expr("substring(id, 1, depth)")).drop("depth")
+    counts = sliced.groupBy("job_id", "flagged_at", "head").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("job_id").orderBy(F.desc("flagged_at"), "head").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = materialise(counts.select("job_id", "flagged_at", "head", F.floor(
+        F.coalesce(F.sum("n").over(before), F.lit(0)) / part_urls).cast("int").alias("part")))
+    return kept.unionByName(sliced.join(cuts, ["job_id", "flagged_at", "head"]).drop("head").select(*rows.columns, "part"))

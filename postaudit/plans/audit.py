@@ -62,31 +62,50 @@ def audit_archives(files: DataFrame, jobs: DataFrame, policy: Policy, run_ts: dt
     return audit_posts(posts, jobs, policy, run_ts, failed=read.bad_archives, bad_rows=read.bad_rows, **options)
 
 
+def run_numbers(spark: SparkSession, path: str) -> dict[str, int]:
+    """The number of each run saved under `path`, in the order in which they were first saved; one row a run."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/runs")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    saved = spark.read.schema("number BIGINT, run STRING").parquet(f"{path}/runs")
+    return {r.run: r.number for r in saved.collect()}
+
+
 def save_audit(audit: Audit, path: str, run: str) -> None:
     """Write the tables of one run under `path`/<table>/run=<run>; saving again replaces that run only.
 
-    Runs that are given the earlier ones as History leave one row per post and per flag over all of them.
+    Runs that are given the earlier ones as History leave one row per post and per flag over all of them. A run keeps
+    the number that it got when it was first saved, and `runs`, written last, marks it as whole.
     """
+    spark = audit.posts.sparkSession
+    numbers = run_numbers(spark, path)
     for name in ("posts", "flagged", "new_scores"):
         write_by_job(getattr(audit, name), f"{path}/{name}/run={run}", mode="overwrite")
     write_by_id(audit.flagged, f"{path}/flagged_by_id/run={run}", mode="overwrite")
     for name in ("waiting", "bad_archives", "bad_rows"):
         getattr(audit, name).write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
     audit.status.join(audit.progress, "job_id", "left").write.mode("overwrite").parquet(f"{path}/jobs/run={run}")
+    number = numbers.get(run, max(numbers.values(), default=0) + 1)
+    spark.range(1).select(F.lit(number).cast("bigint").alias("number")).write.mode("overwrite").parquet(f"{path}/runs/run={run}")
 
 
 def load_history(spark: SparkSession, path: str, run: str) -> History:
-    """The tables saved by the runs named before `run`; the last of those left the waiting posts.
+    """The tables of the runs that were saved before `run` first was, or of all if it is new; the last left the waiting posts.
 
-    Runs are ordered by name, so that saving `run` again starts from the same history.
+    Runs are ordered by the number that saving gave them, whatever their names, so saving `run` again starts from
+    the same history. Without an earlier run there is no history, which is an error: leave `before` out.
     """
+    numbers = run_numbers(spark, path)
+    earlier = [n for n, at in numbers.items() if at < numbers.get(run, at + 1)]
+    if not earlier:
+        raise ValueError(f"no run was saved in {path} before {run}")
+
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}").withColumn("run", F.col("run").cast("string")).filter(F.col("run") < run)
+        return spark.read.parquet(f"{path}/{name}").withColumn("run", F.col("run").cast("string")).filter(F.col("run").isin(earlier))
 
-    waiting = table("waiting")
-    last = table("jobs").agg(F.max("run")).first()[0] or ""
+    last = max(earlier, key=numbers.get)
     plain = [table(n).drop("run", "job_bucket") for n in ("posts", "flagged", "new_scores")]
-    return History(*plain, waiting.filter(F.col("run") == last).drop("run"))
+    return History(*plain, table("waiting").filter(F.col("run") == last).drop("run"))
 
 
 def _score_rows(scored: DataFrame, stamp: Column) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from postaudit.functions.paging import page_bounds, page_offset
 from postaudit.operators import ranking, serving
@@ -69,3 +70,25 @@ def test_exports(spark, tmp_path):
     assert len(parts) > 2 and sorted(sum(parts, [])) == sorted(r.url for r in serving.export_urls(table).collect())
     everything = serving.export_json(table).first()
     assert (everything.job_id, everything.count) == ("", everything["count"]) or everything["count"] == 7
+
+
+@pytest.mark.parametrize("moments", [1, 3, 400])
+def test_parts_one_after_the_other_are_the_whole_list(spark, moments):
+    """Large jobs among small ones, all flags of a run at one moment or at many."""
+    flags = spark.range(1500).select(
+        F.when(F.col("id") % 3 > 0, "big").when(F.col("id") % 2 == 0, "other").otherwise(
+            F.concat(F.lit("s"), F.col("id") % 9)).alias("job_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("id") % moments)).alias("flagged_at"),
+        F.sha2(F.col("id").cast("string"), 256).alias("id"), F.concat(F.lit("u"), F.col("id")).alias("url"))
+    whole = {}
+    for r in flags.orderBy(F.desc("flagged_at"), "id").collect():
+        whole.setdefault(r.job_id, []).append(r.url)
+    rows = serving.export_json_per_job(flags, part_urls=100).orderBy("job_id", "part").collect()
+    got, parts = {}, {}
+    for r in rows:
+        body = json.loads(r.payload)
+        assert r["count"] == body["count"] == len(body["urls"]) <= 200 and body["job_id"] == r.job_id
+        got.setdefault(r.job_id, []).extend(body["urls"])
+        parts.setdefault(r.job_id, []).append(r.part)
+    assert got == whole
+    assert len(parts["big"]) >= 8 and len(parts["other"]) >= 2 and all(p == [0] for j, p in parts.items() if j[0] == "s")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postaudit.functions.criteria import DEFAULTS, parse_criteria
 from postaudit.functions.paging import quota_reset_at
 from postaudit.operators import dedupe, jobs, joins, pending, quota, ranking
-from postaudit.plans.audit import History, audit_posts, load_history, save_audit
+from postaudit.plans.audit import History, audit_posts, load_history, run_numbers, save_audit
 from postaudit.sources.tables import read_job, write_by_job
 
 T0 = dt.datetime(2024, 1, 1)
@@ -282,6 +282,22 @@ def test_saved_runs_make_one_row_per_post_and_flag(spark, tmp_path):
     assert {r.total for r in spark.read.parquet(f"{path}/jobs/run=b").filter("job_id = 'job-0'").collect()} == {30}
 
 
+def test_runs_are_ordered_by_number_not_by_name(spark, tmp_path):
+    """run-10 sorts before run-9; its history has run-9 nevertheless, and no post is stored or flagged twice."""
+    path, known, posts = str(tmp_path), make_jobs(spark), make_posts(spark)
+    with pytest.raises(ValueError, match="no run was saved"):
+        load_history(spark, path, "run-9")
+    save_audit(audit_posts(posts.filter("pos < 30"), known, ["Crypto"], T0, quota=3), path, "run-9")
+    save_audit(audit_posts(posts, known, ["Crypto"], T0, before=load_history(spark, path, "run-10")), path, "run-10")
+    assert run_numbers(spark, path) == {"run-9": 1, "run-10": 2}
+    assert load_history(spark, path, "run-10").posts.count() == 30
+    assert load_history(spark, path, "2024").posts.count() == 60
+    for table in ("posts", "flagged"):
+        rows = spark.read.parquet(f"{path}/{table}")
+        assert rows.count() == rows.select("tweet_id").distinct().count()
+    assert spark.read.parquet(f"{path}/waiting").filter("run = 'run-10'").count() == 0
+
+
 def test_hot_bucket_is_split_on_write(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
     try:
