@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from postaudit import schema as S
 from postaudit.operators.pending import QUEUE_ORDER
-from postaudit.operators.ranking import global_rank, narrow
+from postaudit.operators.ranking import between, global_rank, moment, narrow
 
 
 def quota_usage(scored: DataFrame) -> DataFrame:
@@ -31,11 +31,21 @@ def admit(waiting: DataFrame, room: int) -> DataFrame:
     keys = waiting.select(*QUEUE_ORDER)
     if room <= 0:
         return keys.withColumn("admitted", F.lit(False))
-    at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62)))
-    low, high, before = narrow(keys, at, room, room)
-    ranked = global_rank(keys.filter(at.between(low, high)), [F.col(c) for c in QUEUE_ORDER], "_rank")
-    edge = ranked.withColumn("admitted", F.col("_rank") <= F.lit(room - before)).drop("_rank")
-    return keys.filter(~at.between(low, high)).withColumn("admitted", at < low).unionByName(edge)
+    timed, untimed = keys.filter(F.col("created_at").isNotNull()), keys.filter(F.col("created_at").isNull())
+    first = untimed.count()  # posts without a time come first in the queue
+    if first >= room:
+        placed = global_rank(untimed, [F.col(c) for c in QUEUE_ORDER], "_rank")
+        early = placed.withColumn("admitted", F.col("_rank") <= F.lit(room)).drop("_rank")
+        return early.unionByName(timed.withColumn("admitted", F.lit(False)))
+    early = untimed.withColumn("admitted", F.lit(True))
+    low, high, before = narrow(timed, "created_at", False, room - first, room - first)
+    if low > high:  # there is room for all
+        return early.unionByName(timed.withColumn("admitted", F.lit(True)))
+    near = between(timed, "created_at", low, high)
+    ranked = global_rank(timed.filter(near), [F.col(c) for c in QUEUE_ORDER], "_rank")
+    edge = ranked.withColumn("admitted", F.col("_rank") <= F.lit(room - first - before)).drop("_rank")
+    rest = timed.filter(~near).withColumn("admitted", F.col("created_at") < moment(timed, "created_at", low))
+    return early.unionByName(rest).unionByName(edge)
 
 
 def room_left(scored: DataFrame, day: dt.date, limit: int = S.DAILY_QUOTA) -> int:

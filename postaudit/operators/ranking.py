@@ -36,37 +36,49 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
             .drop("_part", "_row", "_start"))
 
 
-def narrow(df: DataFrame, key: Column, first: int, last: int, close: int = CLOSE_ROWS) -> tuple[int, int, int]:
-    """(low, high, before): a range of the integer `key` that holds the rows `first` to `last` (from 1) in
-    ascending order, and the number of rows below it.
+def moment(df: DataFrame, column: str, micros: int) -> Column:
+    """A constant of the column's own type, so that a comparison with it reaches the scan."""
+    return F.timestamp_micros(F.lit(micros).cast("bigint")).cast(df.schema[column].dataType)
 
-    Each round counts the rows of a thousand slices of the range, in one aggregate over the key alone, and goes on in
-    those that hold the wanted rows. It ends with few rows to sort, or with one key value.
+
+def between(df: DataFrame, column: str, low: int, high: int) -> Column:
+    return (F.col(column) >= moment(df, column, low)) & (F.col(column) <= moment(df, column, high))
+
+
+def narrow(df: DataFrame, column: str, descending: bool, first: int, last: int, close: int = CLOSE_ROWS) -> tuple[int, int, int]:
+    """(low, high, before): a range of the time `column`, in microseconds, that holds the rows `first` to `last` (from 1)
+    of its order, and the number of rows before it. Rows without a time are left out. Nothing in range: low is above high.
+
+    A round is one sketch of the range's quantiles, which proposes a narrower range, and one exact count of what
+    lies in it and before it, which corrects it. Ranges are conditions on the column itself. It ends with few
+    rows to sort, or with one moment.
     """
-    keys = df.select(key.alias("k"))
-    ends = keys.agg(F.min("k").alias("low"), F.max("k").alias("high")).first()
-    low, high, before = ends["low"] or 0, ends["high"] or 0, 0
-    while low < high:
-        width = (high - low) // SLICES + 1
-        inside = keys.filter(F.col("k").between(low, high))
-        counts = sorted(tuple(r) for r in inside.groupBy(  # 1,001 rows at most
-            F.floor((F.col("k") - low) / width).cast("bigint").alias("s")).count().collect())
-        ahead, held, lowest, highest = before, 0, None, high
-        for slot, n in counts:
-            if lowest is None and ahead + n >= first:
-                lowest, before = slot, ahead
-            if lowest is not None:
-                held += n
-            ahead += n
-            if lowest is not None and ahead >= last:
-                highest = min(high, low + (slot + 1) * width - 1)
-                break
-        if lowest is None:  # fewer rows than asked for
-            return high + 1, high + 1, ahead
-        low, high, same = low + lowest * width, highest, (low, high)
-        if held <= close or (low, high) == same:
-            break
-    return low, high, before
+    at = F.unix_micros(F.col(column).cast("timestamp"))
+    fractions = F.array(*[F.lit(i / SLICES) for i in range(SLICES + 1)])
+    low, high, before = None, None, 0
+    while True:
+        inside = df.filter(F.col(column).isNotNull()) if low is None else df.filter(between(df, column, low, high))
+        found = inside.select(at.alias("k")).agg(
+            F.count(F.lit(1)).alias("n"), F.percentile_approx("k", fractions, F.lit(10 * SLICES)).alias("q")).first()
+        n, cuts = found["n"], found["q"]
+        if before + n < first:
+            return 1, 0, before + n
+        ends = cuts[0], cuts[-1]
+        place = lambda rank: (rank - before) * SLICES / n
+        near = max(0, int(place(first)) - 2), min(SLICES, int(place(min(last, before + n))) + 3)
+        if descending:
+            near = SLICES - near[1], SLICES - near[0]
+        tried = cuts[near[0]], cuts[near[1]]
+        if tried != ends:
+            ahead = F.count_if(F.col("k") > tried[1]) if descending else F.count_if(F.col("k") < tried[0])
+            reach = between(df, column, tried[0], ends[1]) if descending else between(df, column, ends[0], tried[1])
+            exact = inside.filter(reach).select(at.alias("k")).agg(ahead.alias("ahead"), F.count(F.lit(1)).alias("seen")).first()
+            if before + exact["ahead"] < first and (before + exact["seen"] >= last or exact["seen"] == n):
+                before, n = before + exact["ahead"], exact["seen"] - exact["ahead"]
+                ends = tried
+        if n <= close or ends[0] == ends[1] or (low, high) == ends:
+            return ends[0], ends[1], before
+        low, high = ends
 
 
 def top_per_key(df: DataFrame, key: str, order: Sequence[Column], n: int, spread_by: str,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from postaudit import schema as S
 from postaudit.functions.paging import page_bounds, page_offset, total_pages
-from postaudit.operators.ranking import global_rank, narrow, top_per_key
+from postaudit.operators.ranking import between, global_rank, narrow, top_per_key
 from postaudit.session import materialise
 
 # URLs of one JSON payload, about; a longer export comes in several.
@@ -32,9 +32,8 @@ def flagged_page(flagged: DataFrame, job_id: str | None = None, page: int | None
     page, size = page_bounds(page, size)
     start = page_offset(page, size)
     rows = of_job(flagged, job_id)
-    newest = -F.unix_micros(F.col("flagged_at").cast("timestamp"))
-    low, high, before = narrow(rows, newest, start + 1, start + size)
-    near = rows.filter(newest.between(low, high))
+    low, high, before = narrow(rows, "flagged_at", True, start + 1, start + size)
+    near = rows.filter(between(rows, "flagged_at", low, high))
     if low < high:
         return near.orderBy(*_newest_first()).offset(start - before).limit(size)
     # One moment may hold any number of flags.

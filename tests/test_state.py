@@ -73,6 +73,24 @@ def test_narrow_and_admit(spark, monkeypatch, close):
         got = {r.tweet_id for r in quota.admit(frame, room).filter("admitted").collect()}
         assert got == {r[3] for r in sorted(rows)[:room]}
     assert quota.admit(frame, 57).count() == 400 and quota.admit(frame.limit(0), 5).count() == 0
+    holes = frame.withColumn("created_at", F.when(F.col("pos") > 0, F.col("created_at")))
+    order = sorted(holes.collect(), key=lambda r: (r.created_at is not None, r.created_at or T0, r.pos, r.job_id, r.tweet_id))
+    for room in (5, 200):
+        assert {r.tweet_id for r in quota.admit(holes, room).filter("admitted").collect()} == {r.tweet_id for r in order[:room]}
+
+
+def test_the_cut_is_a_pushed_down_range(spark, tmp_path):
+    frame = spark.range(5000).select((F.lit(T0) + F.make_interval(secs=F.col("id") * 7 % 4001)).alias("created_at"))
+    frame.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    times = sorted(r[0] for r in stored.collect())
+    for descending, order in ((False, times), (True, times[::-1])):
+        low, high, before = ranking.narrow(stored, "created_at", descending, 1200, 1210, 100)
+        near = stored.filter(ranking.between(stored, "created_at", low, high))
+        held = sorted((r[0] for r in near.collect()), reverse=descending)
+        assert len(held) <= 100 and held[1199 - before:1210 - before] == order[1199:1210]
+        assert "GreaterThanOrEqual(created_at" in near._jdf.queryExecution().executedPlan().toString()
+    assert ranking.narrow(stored, "created_at", True, 6000, 6001)[2] == 5000
 
 
 def test_global_rank(spark):
