@@ -115,8 +115,9 @@ def flagged_union(v: Views) -> DataFrame:
 
 
 def policy_table(v: Views) -> DataFrame:
-    """A policy of many phrases: the heads of the benchmark's items."""
-    table = v.table("benchmark").select(F.col("item_id").alias("rank"), F.substring("text", 1, 24).alias("phrase"))
+    """A policy of many phrases: all that stands between the punctuation marks of the benchmark's items."""
+    pieces = v.table("benchmark").select("item_id", F.posexplode(F.split("text", r"[.,;:!?\n]")))
+    table = pieces.select((F.col("item_id") * 100_000 + F.col("pos")).alias("rank"), F.trim("col").alias("phrase"))
     return policy.match_policy(v.originals, table).select("tweet_id", "phrase", "reason")
 
 

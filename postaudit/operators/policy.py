@@ -24,10 +24,13 @@ def text_key(low: Column) -> Column:
 
 def grams(low: Column, size: int) -> Column:
     """Hashes of the different runs of `size` characters of a text."""
-    chars = F.split(low, "")
-    starts = F.sequence(F.lit(1), F.length(low) - size + 1)
-    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(chars, i, F.lit(size)), "")))
-    return F.array_distinct(F.when(F.length(low) >= size, runs).otherwise(F.array().cast("array<bigint>")))
+    def runs(chars: Column) -> Column:
+        run = lambda i: F.xxhash64(F.concat(*[F.get(chars, i + k) for k in range(size)]))
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - size), run)
+
+    # The characters are an argument of a function, so that they are split off once a text and not once a run.
+    made = F.get(F.transform(F.array(F.split(low, "")), runs), F.lit(0))
+    return F.array_distinct(F.when(F.length(low) >= size, made).otherwise(F.array().cast("array<bigint>")))
 
 
 def whole_word(low: Column, phrase: Column) -> Column:

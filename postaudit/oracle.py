@@ -229,7 +229,9 @@ _QUERIES = {
           ON phrase <> '' AND contains(lower(text), lower(phrase)) GROUP BY tweet_id""",
     "policy_table": f"""
         SELECT tweet_id, min_by(phrase, rank) AS phrase, {_text(S.REASON_BLOCKED)} || min_by(phrase, rank) AS reason
-        FROM originals JOIN (SELECT item_id AS rank, text[1:24] AS phrase FROM benchmark)
+        FROM originals JOIN (
+            SELECT item_id * 100000 + unnest(range(len(parts))) AS rank, trim(unnest(parts), ' ') AS phrase
+            FROM (SELECT item_id, regexp_split_to_array(text, '[.,;:!?\\n]') AS parts FROM benchmark))
           ON phrase <> '' AND contains(lower(text), lower(phrase)) GROUP BY tweet_id""",
     "second_run_flags": "SELECT job_id, tweet_id, filter_reason, score, reason FROM flags",
     "second_run_progress": """
