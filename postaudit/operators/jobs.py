@@ -31,18 +31,38 @@ def job_progress(state: DataFrame) -> DataFrame:
         F.count_if(F.col("processed") & F.col("should_flag")).alias("flagged"))
 
 
+def count_changes(posts: DataFrame, flagged: DataFrame, scored: DataFrame) -> DataFrame:
+    """What these rows add to the counters of their jobs: job_id and schema.COUNTS, one row per job.
+
+    Changes of several runs or batches add up, so counters are kept by adding and no post is counted twice.
+    """
+    none = F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    when = lambda test: F.when(test, one).otherwise(none)
+
+    def part(rows: DataFrame, **columns) -> DataFrame:
+        return rows.select("job_id", *[columns.get(c, none).alias(c) for c in S.COUNTS])
+
+    rows = part(posts, posts=one).unionByName(
+        part(flagged, flagged=one, filtered=when(F.col("filter_reason") != S.SCORER_REASON))).unionByName(
+        part(scored, scored=one, calls=when(F.col("score_status") == "scored")))
+    return add_counts(rows)
+
+
+def add_counts(changes: DataFrame) -> DataFrame:
+    """One row per job, the sum of its changes."""
+    return changes.groupBy("job_id").agg(*[F.sum(c).alias(c) for c in S.COUNTS])
+
+
+def progress_from_counts(changes: DataFrame) -> DataFrame:
+    """Counters per job from any number of changes; a job without posts has none."""
+    return add_counts(changes).filter("posts > 0").select(
+        "job_id", F.col("posts").alias("total"), (F.col("filtered") + F.col("scored")).alias("processed"), "calls", "flagged")
+
+
 def progress_from_tables(posts: DataFrame, flagged: DataFrame, scored: DataFrame) -> DataFrame:
-    """The same counters from the stored tables: three counts per job, no post is joined to another."""
-    by_filter = F.count_if(F.col("filter_reason") != S.SCORER_REASON)
-    totals = posts.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
-    flags = flagged.groupBy("job_id").agg(F.count(F.lit(1)).alias("flagged"), by_filter.alias("_filtered"))
-    calls = scored.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("_scored"), F.count_if(F.col("score_status") == "scored").alias("calls"))
-    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
-    return (totals.join(flags, "job_id", "left").join(calls, "job_id", "left")
-            .select("job_id", "total",
-                    (F.coalesce("_filtered", F.lit(0)) + F.coalesce("_scored", F.lit(0))).alias("processed"),
-                    zero("calls"), zero("flagged")))
+    """The same counters from the stored tables: one grouping of job ids, no post is joined to another."""
+    return progress_from_counts(count_changes(posts, flagged, scored))
 
 
 def job_status(jobs: DataFrame, progress: DataFrame, failed: DataFrame, waiting: DataFrame) -> DataFrame:

@@ -11,33 +11,37 @@ from postaudit import schema as S
 from postaudit.functions.criteria import criteria_or_default
 from postaudit.functions.text import bind_lowered
 from postaudit.operators.dedupe import POST_KEY, keep_first
-from postaudit.operators.jobs import job_status, progress_from_tables
+from postaudit.operators.jobs import count_changes, job_status, progress_from_counts
 from postaudit.operators.joins import join_by_job, match_keys
 from postaudit.operators.pending import resume_pending
 from postaudit.operators.quota import admit, room_left
 from postaudit.operators.routing import NEEDS_SCORING, Policy, filter_flags, route, scorer_flags, union_flags
 from postaudit.operators.rules import bind_hits, drop_reposts, rule_result, rule_scorer
 from postaudit.operators.scoring import SCORED, WAITING, Scorer
-from postaudit.session import materialise
+from postaudit.session import folder_exists, materialise
 from postaudit.sources.archives import ingest
 from postaudit.sources.tables import write_by_id, write_by_job
 
 
 @dataclass(frozen=True)
 class History:
-    """What earlier runs have left: all their posts, flags and scores, and the posts that still wait for a score."""
+    """What earlier runs have left: all their posts, flags and scores, and the posts that still wait for a score.
+
+    `counts` holds what they added to the counters; without it the counters are made from the tables once more.
+    """
 
     posts: DataFrame
     flagged: DataFrame
     scored: DataFrame
     waiting: DataFrame
+    counts: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Audit:
     """Result tables of a run: its new posts, flags and scores, and the posts that wait after it, with criteria.
 
-    `scored`, `progress` and `status` cover earlier runs as well.
+    `scored`, `progress` and `status` cover earlier runs as well; `counts` is what this run adds to the counters.
     """
 
     posts: DataFrame
@@ -49,6 +53,7 @@ class Audit:
     status: DataFrame
     bad_archives: DataFrame
     bad_rows: DataFrame
+    counts: DataFrame
 
 
 def audit_archives(files: DataFrame, jobs: DataFrame, policy: Policy, run_ts: dt.datetime,
@@ -64,8 +69,7 @@ def audit_archives(files: DataFrame, jobs: DataFrame, policy: Policy, run_ts: dt
 
 def run_numbers(spark: SparkSession, path: str) -> dict[str, int]:
     """The number of each run saved under `path`, in the order in which they were first saved; one row a run."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/runs")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not folder_exists(spark, f"{path}/runs"):
         return {}
     saved = spark.read.schema("number BIGINT, run STRING").parquet(f"{path}/runs")
     return {r.run: r.number for r in saved.collect()}
@@ -82,7 +86,7 @@ def save_audit(audit: Audit, path: str, run: str) -> None:
     for name in ("posts", "flagged", "new_scores"):
         write_by_job(getattr(audit, name), f"{path}/{name}/run={run}", mode="overwrite")
     write_by_id(audit.flagged, f"{path}/flagged_by_id/run={run}", mode="overwrite")
-    for name in ("waiting", "bad_archives", "bad_rows"):
+    for name in ("waiting", "bad_archives", "bad_rows", "counts"):
         getattr(audit, name).write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
     audit.status.join(audit.progress, "job_id", "left").write.mode("overwrite").parquet(f"{path}/jobs/run={run}")
     number = numbers.get(run, max(numbers.values(), default=0) + 1)
@@ -103,9 +107,12 @@ def load_history(spark: SparkSession, path: str, run: str) -> History:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}").withColumn("run", F.col("run").cast("string")).filter(F.col("run").isin(earlier))
 
+    # Runs saved before there were counts have none; their counters come from the tables.
+    counted = all(folder_exists(spark, f"{path}/counts/run={n}") for n in earlier)
+    counts = table("counts").drop("run") if counted else None
     last = max(earlier, key=numbers.get)
     plain = [table(n).drop("run", "job_bucket") for n in ("posts", "flagged", "new_scores")]
-    return History(*plain, table("waiting").filter(F.col("run") == last).drop("run"))
+    return History(*plain, table("waiting").filter(F.col("run") == last).drop("run"), counts)
 
 
 def _score_rows(scored: DataFrame, stamp: Column) -> DataFrame:
@@ -176,15 +183,18 @@ def audit_posts(posts: DataFrame, jobs: DataFrame, policy: Policy, run_ts: dt.da
     kept_back = kept_back.unionByName(answered.filter(F.col("score_status") == WAITING).select(*POST_KEY))
     later = match_keys(work, kept_back, POST_KEY, "left_semi").select(*posts.columns, "criteria")
     flagged = union_flags(filter_flags(verdicts, stamp), scorer_flags(now, stamp))
-    every, all_posts, all_flags = now, fresh, flagged
+    counts = materialise(count_changes(fresh, flagged, now))
+    every, changes = now, counts
     if before is not None:
         every = before.scored.select(*now.columns).unionByName(now)
-        all_posts = before.posts.select("job_id").unionByName(fresh.select("job_id"))
-        all_flags = before.flagged.select("job_id", "filter_reason").unionByName(flagged.select("job_id", "filter_reason"))
-    progress = progress_from_tables(all_posts, all_flags, every)
+        earlier = before.counts
+        if earlier is None:
+            earlier = count_changes(before.posts, before.flagged, before.scored)
+        changes = earlier.select(*counts.columns).unionByName(counts)
+    progress = progress_from_counts(changes)
     named = known.select("job_id").union(progress.select("job_id")).union(failed.select("job_id")).distinct()
     status = job_status(named, progress, failed, later.select("job_id", F.lit(False).alias("admitted")))
-    return Audit(fresh, flagged, every, now, later, progress, status, failed, bad_rows)
+    return Audit(fresh, flagged, every, now, later, progress, status, failed, bad_rows, counts)
 
 
 def empty_history(spark: SparkSession, posts: DataFrame) -> History:

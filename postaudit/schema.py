@@ -55,6 +55,10 @@ ERROR_JSON = "failed to parse JSON"
 ERROR_OPEN = "failed to open file"
 ERROR_PREFIX = "failed to parse archive: "
 
+# Counters of a job that add up over runs and batches.
+COUNTS = ("posts", "filtered", "flagged", "scored", "calls")
+COUNTS_DDL = "job_id STRING, " + ", ".join(f"{c} BIGINT" for c in COUNTS)
+
 # --- row types -------------------------------------------------------------------------
 
 RAW_POST_DDL = (

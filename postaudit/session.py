@@ -71,6 +71,11 @@ def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def clear_interim(spark: SparkSession, folder: str | None = None) -> None:
     """Remove the session's interim tables, once nothing that was made from them is still to be read."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(interim_dir(spark, folder))

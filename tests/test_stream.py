@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postaudit.functions.criteria import parse_criteria
 from postaudit.operators import jobs
+from postaudit.operators.serving import flagged_by_id
 from postaudit.plans.audit import audit_archives
 from postaudit.sources.archives import job_of_path, scan_archives
 from postaudit.streaming import archives as St
@@ -152,3 +153,86 @@ def test_daily_calls_on_events(spark):
     query.awaitTermination()
     expected = events.groupBy(F.to_date("ts").alias("day")).count()
     assert sorted(spark.table("calls").collect()) == sorted(expected.collect())
+
+
+def test_segments_are_few_and_cover_whole_periods():
+    for n in range(0, 2000, 7):
+        made = St.segments(n, 10)
+        assert [a for a, _ in made] == [0, *[b for _, b in made]][:len(made)]
+        assert (made[-1][1] if made else 0) == n // 10 * 10 and len(made) <= (n // 10).bit_length()
+
+
+def one_batch(spark, tables, folder, number, n=6):
+    folder.mkdir(exist_ok=True)
+    write_archive(folder, folder.name, 100 * int(folder.name[3:]), n)
+    files = scan_archives(spark, str(folder))
+    St.audit_batch(spark, files, jobs_of(files), ["Crypto"], tables, number, NOW, every=2)
+
+
+def test_a_late_batch_reads_no_more_history_than_an_early_one(spark, tmp_path, monkeypatch):
+    read, tables = [], f"{tmp_path}/tables"
+
+    def places(*args):
+        made = read_places(*args)
+        read.append(len(made.inputFiles()))
+        return made
+
+    read_places = St.read_places
+    monkeypatch.setattr(St, "read_places", places)
+    for i in range(5):
+        one_batch(spark, tables, tmp_path / f"job{i}", i)
+    assert read == [0] * 4  # archives of new jobs have no history, whatever the number of batches
+
+    # A lookup by id reads what was merged (four batches are one segment by now) and the batches since.
+    every = spark.read.parquet(f"{tables}/flagged").select("id", "job_id", "tweet_id")
+    flags = St.stream_flags(spark, tables, 2)
+    assert sorted(flags.select(*every.columns).collect()) == sorted(every.collect())
+    one = flagged_by_id(flags, every.first().id)
+    assert one.count() == 1 and "EqualTo(id" in one._jdf.queryExecution().toString()
+    folders = {"/".join(f.split("/tables/")[1].split("/")[:2]) for f in one.inputFiles()}
+    assert folders == {"flagged_by_id/0-4", "flagged/batch_id=4"}
+
+    # An archive that comes again meets the posts of its own batch only; a batch that is run again replaces its rows.
+    for _ in range(2):
+        one_batch(spark, tables, tmp_path / "job2", 5, n=12)
+    assert read[4:] == [1, 1]
+    posts, flagged, scored = (spark.read.parquet(f"{tables}/{t}") for t in ("posts", "flagged", "scored"))
+    assert posts.count() == posts.select("job_id", "tweet_id").distinct().count() == 5 * 5 + 5
+    columns = ["job_id", "total", "processed", "calls", "flagged"]
+    assert sorted(St.stream_progress(spark, tables, 2).select(*columns).collect()) == sorted(
+        jobs.progress_from_tables(posts, flagged, scored).select(*columns).collect())
+    state = {short(r.job_id): (r.status, r.total) for r in St.stream_status(spark, tables).collect()}
+    assert state == {f"job{i}": ("done", 10 if i == 2 else 5) for i in range(5)}
+
+
+def test_an_untouched_job_keeps_its_status(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = [f"{folder}/job{i}.js" for i in range(9)]
+    known = spark.createDataFrame([(n,) for n in names], "job_id STRING").withColumn(
+        "criteria", parse_criteria(F.lit('{"tone": "calm"}')))
+    for i in range(3):
+        write_archive(folder, f"job{i}", 100 * i)
+        files = St.watch_archives(spark, str(folder))
+        St.audit_stream(files, known, ["Crypto"], f"{tmp_path}/tables", f"{tmp_path}/checkpoint", clock=lambda: NOW).trigger(
+            availableNow=True).start().awaitTermination()
+    state = {short(r.job_id): r.status for r in St.stream_status(spark, f"{tmp_path}/tables", known).collect()}
+    assert state == {f"job{i}": "done" if i < 3 else "queued" for i in range(9)}
+
+
+def test_admission_by_bytes_and_moved_files(spark, tmp_path):
+    folder, done = tmp_path / "in", tmp_path / "done"
+    folder.mkdir()
+    write_archive(folder, "large", 0, n=600)
+    for i in range(3):
+        write_archive(folder, f"small{i}", 1000 * (i + 1), n=2)
+    limit = (folder / "small0.js").stat().st_size * 2 + 1
+    files = St.watch_archives(spark, str(folder), max_bytes=limit, done=str(done))
+    query = St.audit_stream(files, jobs_of, ["Crypto"], f"{tmp_path}/tables", f"{tmp_path}/checkpoint",
+                            clock=lambda: NOW).trigger(availableNow=True).start()
+    query.awaitTermination()
+    batches = [p for p in query.recentProgress if p["numInputRows"] > 0]
+    posts = spark.read.parquet(f"{tmp_path}/tables/posts")
+    assert len(batches) >= 2 and posts.select("job_id").distinct().count() == 4
+    sizes = posts.filter("NOT contains(job_id, 'large')").groupBy("batch_id").agg(F.countDistinct("job_id").alias("n"))
+    assert max(r.n for r in sizes.collect()) <= 2  # three small files exceed the limit; the large one is taken all the same
