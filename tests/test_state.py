@@ -55,6 +55,29 @@ def test_keep_first_on_one_hot_key(spark):
     assert few == many == {"hot": ("t0", 0), **{str(i): (f"u{i}", i) for i in range(5)}, "once": ("x", 9)}
 
 
+def test_keep_first_moves_only_rows_that_may_have_copies(spark, monkeypatch):
+    rows = [(f"job-{i % 3}", str(i % 4000), f"text {i}", i) for i in range(5000)]
+    frame = spark.createDataFrame(rows + [("job-0", None, "no id", 1), ("job-0", None, "no id", 2)],
+                                  "job_id STRING, tweet_id STRING, text STRING, pos INT")
+    first = {}
+    for job, post, text, pos in rows:
+        first.setdefault((job, post), (text, pos))
+    expected = sorted((*k, *v) for k, v in first.items())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits in (dedupe.FILTER_BITS, 1 << 15, 8):  # a filter that is full costs moves, not rows
+            monkeypatch.setattr(dedupe, "FILTER_BITS", bits)
+            made = dedupe.keep_first(frame)
+            body = made._jdf.queryExecution().executedPlan().toString()
+            got = made.collect()
+            assert sorted(tuple(r) for r in got if r.tweet_id is not None) == expected
+            assert sorted(r.pos for r in got if r.tweet_id is None) == [1, 2]
+            moves = [x for x in body.splitlines() if "Exchange" in x and "Broadcast" not in x]
+            assert len(moves) == 1 and "SortMergeJoin" not in body
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_keep_first_over_files_and_members(spark):
     rows = [("j", "1", f"{p}{m}", i, p, m) for p in ("b", "a") for m in ("y", "x") for i in (0, 1)]
     frame = spark.createDataFrame(rows, "job_id STRING, tweet_id STRING, text STRING, pos BIGINT, path STRING, member STRING")
