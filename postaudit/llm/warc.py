@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import re
 import struct
 import uuid
@@ -26,6 +27,8 @@ PACKAGE_RECORDS = 20_000
 """Records of a package, which bounds the index that a task holds."""
 RUN_BYTES = 4 << 20
 """Neighbouring records are read in one range of this size; a larger record is a range of its own."""
+TASK_BYTES = 32 << 20
+"""Packed bytes of ranges that a reading task is given, about."""
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -255,12 +258,19 @@ def read_ranges(ranges: DataFrame, payloads: bool = True) -> DataFrame:
     return made.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
-def read_archives(packages: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of `packages` (path): indexes first, then their ranges dealt anew to all tasks."""
-    return read_ranges(runs(packages).repartition("path", "start"), payloads)
+def read_archives(packages: DataFrame, payloads: bool = True, interim: str | None = None) -> DataFrame:
+    """All records of `packages` (path): indexes first, then their ranges dealt anew to all tasks.
+
+    Ranges are rows of a few bytes that stand for megabytes, so the number of tasks comes from the bytes they
+    stand for, and a given number isn't joined to fewer by adaptive execution. No packages, no records; columns other than path are not read.
+    """
+    ranges = materialise(runs(packages), interim)
+    size = ranges.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, n) -> a + n)"))).first()[0] or 0
+    tasks = max(math.ceil(size / TASK_BYTES), ranges.sparkSession.sparkContext.defaultParallelism)
+    return read_ranges(ranges.repartition(tasks, "path", "start"), payloads)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Write `pages` to packages in the shared folder and read all records back, without their payloads."""
     at = f"{interim_dir(pages.sparkSession, folder)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, at, min_bytes, folder), payloads=False)
+    return read_archives(write_archives(pages, at, min_bytes, folder), False, folder)

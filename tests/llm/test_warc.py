@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import io
+import random
 import struct
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,16 @@ def test_a_broken_payload_is_an_error():
     assert warc.read_record(raw)["payload"] == b"abc"
     with pytest.raises(ValueError, match="digest"):
         warc.read_record(raw.replace(b"abc", b"abd"))
+
+
+def test_ranges_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    """One package's ranges, rows of a few bytes, are not left to one task by adaptive execution."""
+    monkeypatch.setattr(warc, "RUN_BYTES", 4000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 2000)
+    rng = random.Random(4)
+    rows = [(i, "u", "".join(rng.choices("abcdefghij", k=1000))) for i in range(200)]
+    packages = warc.write_archives(frame(spark, rows).coalesce(1), f"file://{tmp_path}")
+    found = warc.read_archives(packages).select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.page_id for r in found) == list(range(200))
+    per_task = Counter(r.task for r in found)
+    assert len(per_task) >= 12 and max(per_task.values()) <= 60
