@@ -50,8 +50,35 @@ def test_drop_keeps_columns_and_one_row(spark):
 
 def test_buckets_hold_ranges_within_capacity(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
-    index = exact.build_index(docs, 100)
+    index, rows = exact.build_index(docs, 100)
+    assert rows.join(index, ["bucket", "key", "sha"]).count() == 4000
     buckets = index.groupBy("bucket", "depth").count().collect()
     assert len(buckets) > 40 and max(b["count"] for b in buckets) <= 100
     assert len({b.bucket for b in buckets}) == len(buckets)
     assert index.filter("chain > 1").count() == 0
+
+
+def test_texts_of_one_key_are_chained(spark, monkeypatch):
+    """With a key of four values most texts collide; bytes decide, and each text has a place of its own in its chain."""
+    whole = exact.F.xxhash64
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: whole(*c).bitwiseAND(exact.F.lit(3)))
+    found = exact.exact_dedup(frame(spark, ROWS), 3)
+    rows = found.collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=repr) == brute(ROWS)
+    places = {(r.bucket, r.chain, r.text_sha256) for r in rows}
+    assert len(places) == len({r.text_sha256 for r in rows}) and max(r.chain for r in rows) > 1
+
+
+def test_hot_text_goes_to_several_owners(spark):
+    rows = [(i, "hot") for i in range(6000)] + [(6000 + i, f"t{i % 50}") for i in range(100)]
+    found = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=repr) == brute(rows)
+
+
+def test_owners_group_without_another_exchange_of_texts(spark, tmp_path, monkeypatch):
+    plans, keep = [], exact.materialise
+    monkeypatch.setattr(exact, "materialise", lambda df, folder=None: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or keep(df, folder))
+    exact.build_index(frame(spark, ROWS))
+    owned = next(p for p in plans if "rangepartitioning" in p and "text" in p.split("rangepartitioning")[0])
+    assert owned.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in owned
