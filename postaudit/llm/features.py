@@ -133,10 +133,17 @@ def held_out(doc_id):
 def labelled_sample(rows: DataFrame, per_label: int, most: int) -> DataFrame:
     """Up to `per_label` rows (doc_id, label) of each label and `most` in all, in order of a hash of the id.
 
-    Only ids that are not held out and have a label count. The bounds make the result safe to broadcast.
+    Only ids that are not held out and have a label count. The bounds make the result safe to broadcast. Rows are
+    first thinned by a threshold on that hash which leaves about twice the rows wanted of a label, so no task
+    ranks all rows of a label. Repeated rows count each; where a few ids make up a label's rows, fewer rows may be left.
     """
     rows = rows.filter((remainder(F.col("doc_id")) != 1) & F.col("label").isNotNull()).select("doc_id", "label")
-    order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
+    key = F.xxhash64("doc_id", F.lit(7))
+    order = [key, F.col("doc_id")]
+    # Every label's first row comes before any second one, so labels beyond the first `most` have no place.
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("of")).orderBy("label").limit(most)
+    share = key.cast("double") / 2.0**64 + 0.5
+    rows = rows.join(F.broadcast(sizes), "label").filter(share <= (2 * per_label + 200) / F.col("of")).drop("of")
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
     return (ranked.filter(F.col("place") <= per_label).orderBy("place", "label", *order).limit(most)
             .select("doc_id", "label"))
