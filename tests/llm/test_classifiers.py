@@ -117,3 +117,14 @@ def test_held_out_labels_do_not_set_the_calibration(spark, docs, labels):
     turned = labels.withColumn("quality", F.when(features.held_out(F.col("doc_id")), 1).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, turned)
     assert (a.slope, a.offset) == (b.slope, b.offset)
+
+
+def test_thinned_sample_is_the_plain_one(spark):
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 0 THEN 'rare' WHEN id % 50 = 1 THEN NULL ELSE 'often' END AS label")
+    plain = rows.selectExpr("doc_id", "label", "xxhash64(doc_id, 7) AS h", "crc32(cast(cast(doc_id AS string) AS binary)) % 3 AS part").collect()
+    expected = set()
+    for label in ("rare", "often"):
+        own = sorted((r.h, r.doc_id) for r in plain if r.label == label and r.part != 1)
+        expected |= {(i, label) for _, i in own[:300]}
+    assert {tuple(r) for r in features.labelled_sample(rows, 300, 5000).collect()} == expected
+    assert features.labelled_sample(rows.limit(0), 300, 5000).collect() == []
