@@ -1,5 +1,8 @@
 """Truth tables of the repost filter, the scorer and the cascade."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +134,51 @@ def test_hot_grams_are_dealt(spark, monkeypatch):
     assert sorted(policy.match_policy(frame, table).collect()) == plain and len(plain) == 3000
 
 
+def first_held(text, policy, whole_words=False):
+    """The phrase of least (rank, spelling) that a text holds, a missing rank before all others."""
+    def held(low, phrase):
+        return re.search(rf"(?<!\w){re.escape(phrase)}(?!\w)", low) if whole_words else phrase in low
+
+    order = sorted((rank is not None, rank or 0, phrase) for rank, phrase in policy if phrase)
+    return next((phrase for *_, phrase in order if held(text.lower(), phrase.lower())), None)
+
+
+@pytest.mark.parametrize("whole_words", [False, True])
+@pytest.mark.parametrize("few, many", [(500, 100_000), (500, 0), (0, 100_000), (0, 0)])
+def test_phrases_of_words_and_within_words(spark, monkeypatch, few, many, whole_words):
+    monkeypatch.setattr(policy, "FEW_SHORT", few)
+    monkeypatch.setattr(policy, "MANY_LONG", many)
+    monkeypatch.setattr(policy, "SAMPLE", 1)
+    monkeypatch.setattr(policy, "HOT_LEAST", 10)
+    rng = random.Random(7)
+    words = ["a", "fog", "Foggy", "late", "plate", "é", "x,", "\nrow", ""]
+    frame = texts(spark, [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(400)] + ["", " ", "nothing"])
+    table = [(rng.choice([None, 1, 2, 3, 50, 60]), " ".join(rng.choices(words, k=rng.randint(1, 5)))) for _ in range(40)]
+    table += [(70, " "), (71, "  "), (40, "og a"), (41, "ate late fo"), (42, " fog "), (43, "oggy é x"), (44, "no such inner words")]
+    if whole_words:  # next to an empty side a blank is no word
+        table = [(rank, phrase) for rank, phrase in table if phrase.strip()]
+    got = policy.match_policy(frame, spark.createDataFrame(table, "rank INT, phrase STRING"), whole_words)
+    assert {r.tweet_id: r.phrase for r in got.collect()} == {
+        r.tweet_id: first for r in frame.collect() if (first := first_held(r.text, table, whole_words))}
+
+
+def test_few_phrases_need_no_grams_of_the_texts(spark, monkeypatch):
+    """Inner words and a handful of short phrases do without the grams of all characters of all texts."""
+    def refused(*_):
+        raise AssertionError("the texts' characters were split")
+
+    monkeypatch.setattr(policy, "grams", refused)
+    frame = texts(spark, ["one two three four", "Late again", "plates"])
+    table = spark.createDataFrame([(1, "e two three f"), (2, "late")], "rank INT, phrase STRING")
+    got = policy.match_policy(frame, table)
+    assert {r.tweet_id: r.phrase for r in got.collect()} == {"0": "e two three f", "1": "late", "2": "late"}
+
+
+def test_hot_short_phrases_found_by_grams(spark, monkeypatch):
+    monkeypatch.setattr(policy, "FEW_SHORT", 0)
+    test_hot_grams_are_dealt(spark, monkeypatch)
+
+
 def test_options_of_a_table(spark):
     crit = "named_struct('forbidden_words', array('', 'Fog', 'zz'))"
     frame = texts(spark, ["a cat.", "category", "dense FOG, cat", "fog and go die", "go die", "clear", None]).withColumn(
