@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from postaudit import schema as S
+from postaudit import catalog, schema as S
 from postaudit.functions.text import is_repost, needed, shared_words, unwrap_js
 from postaudit.operators import policy, routing, rules
 
@@ -236,3 +236,10 @@ def test_options_of_a_list(spark):
     assert reasons() == [cat, cat, cat, threat, threat, None]
     assert reasons(whole_words=True) == [cat, None, cat, threat, threat, None]
     assert reasons(forbidden_words=True) == [cat, cat, cat, fog, threat, None]
+
+
+def test_policy_join_needs_no_grams(spark, monkeypatch):
+    """The query's two phrases are looked for in the texts as they stand; no text is split into characters."""
+    monkeypatch.setattr(policy, "explode_grams", lambda *_: pytest.fail("grams of all texts"))
+    rows = catalog.queries()["policy_join"](spark, "/root/testdata/sf0.001").collect()
+    assert {r.phrase for r in rows} == {"Crypto", "late"}
