@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postaudit import schema as S
@@ -18,7 +18,13 @@ from postaudit.sources.chunks import CHUNK_CHARS, read_archive, read_path
 
 _PIECE_DDL = "path STRING, member STRING, first_pos BIGINT, js STRING, cut BOOLEAN, error STRING"
 
-_PIECES_PER_BATCH = 1000
+_PIECE_TYPE = pa.schema([("path", pa.string()), ("member", pa.string()), ("first_pos", pa.int64()), ("js", pa.string()),
+                         ("cut", pa.bool_()), ("error", pa.string())])
+
+BATCH_BYTES = 4 << 20
+"""What a Python step holds of its results before it hands them on,"""
+BATCH_ROWS = 1000
+"""and how many rows at most."""
 
 WHOLE_BYTES = 256 << 20
 """A longer file is not carried in a row."""
@@ -62,28 +68,44 @@ def js_text(content: Column) -> Column:
     return F.make_valid_utf8(F.decode(content, "UTF-8"))
 
 
+def in_small_batches(rows: Iterator[tuple[dict, int]], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows with their sizes as batches of about BATCH_BYTES, so that a task's Python never holds what it makes of a whole input batch."""
+    held, size = [], 0
+    for row, length in rows:
+        held.append(row)
+        size += length
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(held, kind)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, kind)
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """The rows of Arrow batches; only the current row's values are Python objects."""
+    for batch in batches:
+        for values in zip(*[batch.column(c) for c in columns]):
+            yield tuple(v.as_py() for v in values)
+
+
 def read_pieces(files: DataFrame, all_parts: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """The one Python step of the ingest: each file becomes rows path, member, first_pos, js, cut, error.
 
     A row without `content` names a long file, which is opened and read in blocks. Several such rows are dealt to
-    as many tasks as there are, as listing them costs next to nothing.
+    as many tasks as there are, as listing them costs next to nothing. Spark sends up to 64 MB of files at once
+    (spark.sql.execution.arrow.maxBytesPerBatch); they are opened one by one, and the pieces go out in small batches.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, chars = [], 0
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                pieces = (read_path(path, all_parts, chunk_chars) if content is None
-                          else read_archive(bytes(content), all_parts, chunk_chars))
-                for piece in pieces:
-                    held.append({"path": path, **piece})
-                    chars += len(piece["js"] or "")
-                    if chars >= chunk_chars or len(held) >= _PIECES_PER_BATCH:
-                        yield pd.DataFrame(held)
-                        held, chars = [], 0
-        if held:
-            yield pd.DataFrame(held)
-
-    return files.select("path", "content").mapInPandas(run, _PIECE_DDL)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
+        for path, content in one_by_one(batches, "path", "content"):
+            read = (read_path(path, all_parts, chunk_chars) if content is None
+                    else read_archive(content, all_parts, chunk_chars))
+            for piece in read:
+                yield {"path": path, **piece}, len(piece["js"] or "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_small_batches(pieces(batches), _PIECE_TYPE)
+
+    return files.select("path", "content").mapInArrow(run, _PIECE_DDL)
 
 
 def parse_array(body: Column) -> Column:

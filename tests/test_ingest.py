@@ -6,6 +6,7 @@ import json
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,30 @@ def test_a_long_member_is_read_in_blocks():
     for stream in (Watched(body), Watched(zipped(data__tweets_js=body))):
         sizes = [len(p["js"]) for p in read_archive(stream, chunk_chars=1 << 20)]
         assert sum(sizes) > 30_000_000 and max(sizes) < 3 << 20 and stream.most <= BLOCK_BYTES
+
+
+class Given:
+    """In place of a table of files: takes the function that a task runs."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def one_batch(count, value, names):
+    """One Arrow batch of `count` rows."""
+    rows = [value(i) for i in range(count)]
+    return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+
+
+def test_pieces_leave_a_task_in_small_batches(monkeypatch):
+    """However many files come at once, their texts are not held together."""
+    monkeypatch.setattr(A, "BATCH_BYTES", 1000)
+    body = b'x = [{"tweet": {"id_str": "1", "full_text": "' + b"w" * 300 + b'"}}];'
+    files = one_batch(40, lambda i: (f"f{i}", body), ["path", "content"])
+    out = list(A.read_pieces(Given())(iter([files])))
+    assert max(sum(len(t) for t in b.column("js").to_pylist()) for b in out) < 1000 + len(body)
+    assert [(r["path"], r["js"], r["error"]) for b in out for r in b.to_pylist()] == [
+        (f"f{i}", body.decode(), None) for i in range(40)]
