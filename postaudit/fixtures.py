@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Iterator
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postaudit.functions.criteria import parse_criteria
@@ -20,6 +20,7 @@ from postaudit.operators.joins import join_by_job
 from postaudit.operators.pending import mark_processed
 from postaudit.operators.routing import FLAGGED, flag_in_one_pass, route
 from postaudit.operators.rules import drop_reposts, rule_scorer
+from postaudit.sources.archives import in_small_batches, one_by_one
 
 BLOCKED = ["", "Crypto", "late"]
 
@@ -68,11 +69,13 @@ def _zip_bytes(members: list[str], body: str) -> bytes:
     return out.getvalue()
 
 
-def _zip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({
-            "path": batch["path"],
-            "content": [_zip_bytes(MEMBERS[part % 3], body) for part, body in zip(batch["part"], batch["body"])]})
+def _zip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def zipped() -> Iterator[tuple[dict, int]]:
+        for path, part, body in one_by_one(batches, "path", "part", "body"):
+            content = _zip_bytes(MEMBERS[part % 3], body)
+            yield {"path": path, "content": content}, len(content)
+
+    return in_small_batches(zipped(), pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
 
 class Views:
@@ -237,7 +240,7 @@ class Views:
 
     @cached_property
     def zip_files(self) -> DataFrame:
-        return self.archives.select("path", "part", "body").mapInPandas(_zip_batches, "path STRING, content BINARY")
+        return self.archives.select("path", "part", "body").mapInArrow(_zip_batches, "path STRING, content BINARY")
 
     @cached_property
     def damaged_files(self) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postaudit import schema as S
+from postaudit.fixtures import _zip_batches
 from postaudit.functions.posts import parse_created_at
 from postaudit.functions.text import array_to_json, from_rfc3339, json_to_array, rfc3339
 from postaudit.sources import archives as A
@@ -284,3 +285,14 @@ def test_pieces_leave_a_task_in_small_batches(monkeypatch):
     assert max(sum(len(t) for t in b.column("js").to_pylist()) for b in out) < 1000 + len(body)
     assert [(r["path"], r["js"], r["error"]) for b in out for r in b.to_pylist()] == [
         (f"f{i}", body.decode(), None) for i in range(40)]
+
+
+def test_zipped_files_leave_a_task_in_small_batches(monkeypatch):
+    monkeypatch.setattr(A, "BATCH_BYTES", 1000)
+    bodies = [f"[{i}]" + "".join(map(chr, range(33, 33 + i))) for i in range(60)]
+    given = one_batch(60, lambda i: (f"j/{i}", i, bodies[i]), ["path", "part", "body"])
+    out = list(_zip_batches(iter([given])))
+    assert max(b.num_rows for b in out) < 10
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["path"] for r in rows] == [f"j/{i}" for i in range(60)]
+    assert [next(read_archive(r["content"]))["js"] for r in rows] == [b if i % 3 < 2 else None for i, b in enumerate(bodies)]
