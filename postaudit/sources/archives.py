@@ -86,6 +86,8 @@ def one_by_one(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tup
     for batch in batches:
         for values in zip(*[batch.column(c) for c in columns]):
             yield tuple(v.as_py() for v in values)
+        batch = values = None  # before the next one is read
+        pa.default_memory_pool().release_unused()
 
 
 def read_pieces(files: DataFrame, all_parts: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:

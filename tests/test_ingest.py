@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from postaudit import schema as S
+from postaudit import catalog, schema as S
 from postaudit.fixtures import _zip_batches
 from postaudit.functions.posts import parse_created_at
 from postaudit.functions.text import array_to_json, from_rfc3339, json_to_array, rfc3339
@@ -296,3 +296,9 @@ def test_zipped_files_leave_a_task_in_small_batches(monkeypatch):
     rows = [r for b in out for r in b.to_pylist()]
     assert [r["path"] for r in rows] == [f"j/{i}" for i in range(60)]
     assert [next(read_archive(r["content"]))["js"] for r in rows] == [b if i % 3 < 2 else None for i, b in enumerate(bodies)]
+
+
+def test_zipped_members_go_through_no_pandas_batches(spark):
+    """A frame of pandas would hold the objects of a whole batch, twice as both steps run in one task."""
+    plan = catalog.queries()["archive_zip_member"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().count("mapinarrow") >= 2 and "mapinpandas" not in plan.lower()
